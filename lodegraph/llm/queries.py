@@ -1,7 +1,8 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
 from .byte_bpe import op1_byte_bpe
+from .simhash import op3_simhash
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe,)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_simhash)}
 
 ORACLES: dict[str, str] = {}
