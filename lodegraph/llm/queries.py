@@ -1,8 +1,9 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
 from .byte_bpe import op1_byte_bpe
+from .decontaminate import op9_decontaminate
 from .simhash import op3_simhash
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_simhash)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_simhash, op9_decontaminate)}
 
 ORACLES: dict[str, str] = {}
