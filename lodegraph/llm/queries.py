@@ -7,7 +7,8 @@ from .quality import op2_quality
 from .secrets import op7_secrets
 from .simhash import op3_simhash
 from .toxicity import op6_toxicity
+from .warc import op5_warc
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_simhash, op6_toxicity, op7_secrets, op8_language, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_simhash, op5_warc, op6_toxicity, op7_secrets, op8_language, op9_decontaminate)}
 
 ORACLES: dict[str, str] = {}
