@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 
 from .common import add_columns
 
-#: Entries kept of the pieces and of the pairs of tokens seen last, for each Python worker.
-PIECES, PAIRS = 200_000, 500_000
+#: Pieces and pairs of tokens that a Python worker remembers; at the bound it starts afresh.
+PIECES, PAIRS = 400_000, 1_000_000
 
 
 def read_ranks(spark: SparkSession, path: str) -> bytes:
@@ -45,9 +45,8 @@ class Vocabulary:
             self.finder.add_word(token.decode("latin-1"), (len(token), rank))
         self.finder.make_automaton()
         self.longest = max(map(len, self.rank))
-        self.go_together = lru_cache(PAIRS)(self._go_together)
-        self.stands = lru_cache(PAIRS)(lambda t: self.merged(self.bytes[t]) == [t])
-        self.piece = lru_cache(PIECES)(self._piece)
+        self.pairs: dict[int, bool] = {}
+        self.pieces = _Pieces(self)
 
     def merged(self, data: bytes) -> list[int]:
         """The encoding by the definition: join the neighbours of least rank, leftmost first. For a few tokens' bytes only."""
@@ -59,13 +58,34 @@ class Vocabulary:
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return [self.rank[p] for p in parts]
 
-    def _go_together(self, a: int, b: int) -> bool:
-        return self.merged(self.bytes[a] + self.bytes[b]) == [a, b]
+    def go_together(self, a: int, b: int) -> bool:
+        """Whether the encoding of both tokens' bytes is the two; a = -1: whether b's is itself."""
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        before, alone = (self.bytes[a], [a]) if a >= 0 else (b"", [])
+        answer = self.pairs[(a + 1) << 32 | b] = self.merged(before + self.bytes[b]) == [*alone, b]
+        return answer
 
-    def _piece(self, data: bytes) -> bytes:
-        """Ids of one piece as little-endian unsigned 32-bit integers. A piece that is a token is that token."""
-        whole = self.rank.get(data)
-        return whole.to_bytes(4, "little") if whole is not None else pack(PrefixTable(self, data).tokens())
+
+class _Pieces(dict):
+    """Packed ids by piece. A piece that is a token is that token."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= PIECES:
+            self.clear()
+        data = piece.encode()
+        whole = self.vocabulary.rank.get(data)
+        ids = self[piece] = pack([whole] if whole is not None else PrefixTable(self.vocabulary, data).tokens())
+        return ids
+
+
+@lru_cache(1)
+def vocabulary_of(rank_file: bytes) -> Vocabulary:
+    """A worker's vocabulary, kept from task to task."""
+    return Vocabulary(rank_file)
 
 
 def pack(ids: list[int]) -> bytes:
@@ -93,16 +113,18 @@ class PrefixTable:
 
     def _entries(self, start: int):
         """(position, token) for every position from ``start`` on; reads ``self.last`` before it and as it grows."""
-        v = self.vocabulary
+        v, last = self.vocabulary, self.last
+        known, ask = v.pairs.get, v.go_together
         begin = max(0, start - v.longest + 1)
-        text, done = self.data[begin:].decode("latin-1"), start
+        text, done = self.data[begin:].decode("latin-1"), start - begin
         for end, (length, token) in v.finder.iter(text):
-            end += begin
             if end != done:
                 continue  # found already, or before the start
-            before = end - length
-            if v.stands(token) if before < 0 else v.go_together(self.last[before], token):
-                yield end, token
+            before = end - length + begin
+            left = last[before] if before >= 0 else -1
+            fits = known((left + 1) << 32 | token)
+            if ask(left, token) if fits is None else fits:
+                yield end + begin, token
                 done += 1
 
     def append(self, more: bytes) -> None:
@@ -120,7 +142,7 @@ class PrefixTable:
         """
         old, moved, agree = self.last[start:], len(new) - (stop - start), 0
         self.data[start:stop] = new
-        self.last = self.last[:start]
+        del self.last[start:]
         for at, token in self._entries(start):
             self.last.append(token)
             was = at - moved
@@ -139,7 +161,7 @@ class PrefixTable:
         return out[::-1]
 
 
-def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids", keep_text: bool = True) -> DataFrame:
     """``df`` with ``ids``: binary, the ids of the whole text as little-endian unsigned 32-bit integers.
 
     Each match of ``pattern`` is encoded by itself. Null and empty texts get no ids (empty binary). Equal rows get
@@ -149,15 +171,14 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: s
     held = df.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary file: under 1 MB
 
     def step():
-        vocabulary, find = Vocabulary(held.value), regex.compile(pattern).finditer
-        piece = vocabulary.piece
+        ids_of, find = vocabulary_of(held.value).pieces.__getitem__, regex.compile(pattern).finditer
 
         def one(text):
-            return b"".join([piece(m.group().encode()) for m in find(text)]) if text else b""
+            return b"".join(ids_of(m[0]) for m in find(text)) if text else b""
 
         return lambda texts: [[one(t) for t in texts]]
 
-    return add_columns(df, text, [T.StructField(ids, T.BinaryType())], step)
+    return add_columns(df, text, [T.StructField(ids, T.BinaryType())], step, keep_text)
 
 
 def decode(df: DataFrame, ranks: bytes, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -177,7 +198,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     ranks = read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    out = decode(encode(docs, ranks, public_tokenizers.PATTERN).drop("text"), ranks)
+    out = decode(encode(docs, ranks, public_tokenizers.PATTERN, keep_text=False), ranks)
     return out.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

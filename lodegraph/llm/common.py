@@ -80,13 +80,14 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
-def add_columns(df: DataFrame, text: str, fields: list[T.StructField], step: Callable[[], Callable]) -> DataFrame:
+def add_columns(df: DataFrame, text: str, fields: list[T.StructField], step: Callable[[], Callable], keep_text: bool = True) -> DataFrame:
     """``df`` with ``fields`` computed from the column ``text`` by Arrow batches.
 
     ``step()`` runs once a task and returns a function from a list of texts (None where null) to one
     list or Arrow array for each field. A column of ``df`` that bears the name of a new one is replaced.
+    Without ``keep_text`` the texts go to Python only, not back.
     """
-    names = {f.name for f in fields}
+    names = {f.name for f in fields} | (set() if keep_text else {text})
     kept = [f.name for f in df.schema.fields if f.name not in names]
     at = df.columns.index(text)
     schema = T.StructType([df.schema[c] for c in kept] + fields)
