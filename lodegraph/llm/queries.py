@@ -4,12 +4,13 @@ from .byte_bpe import op1_byte_bpe
 from .decontaminate import op9_decontaminate
 from .language import op8_language
 from .ngram_lm import op10_ngram_lm
+from .pii import op4_pii
 from .quality import op2_quality
 from .secrets import op7_secrets
 from .simhash import op3_simhash
 from .toxicity import op6_toxicity
 from .warc import op5_warc
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_simhash, op5_warc, op6_toxicity, op7_secrets, op8_language, op9_decontaminate, op10_ngram_lm)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_simhash, op4_pii, op5_warc, op6_toxicity, op7_secrets, op8_language, op9_decontaminate, op10_ngram_lm)}
 
 ORACLES: dict[str, str] = {}
