@@ -1,13 +1,68 @@
-"""Documents made ready for training, stage by stage."""
+"""Documents made ready for training, stage by stage.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last return the columns
+of ``documents``; its output is written and read again as the next one's input, so no stage's lineage reaches into another.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodegraph.llm import byte_bpe, decontaminate, language, pii, simhash
+from lodegraph.llm.common import table, written
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that have no language (null, or no letter) go; where ``lang`` is null, the language found is filled in."""
+    coder = language.fit(docs, allowed=language.learn_from())
+    found = language.identify(docs, coder).where("lang_pred <> 'und'")
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document of least id stays."""
+    prints = written(simhash.fingerprints(docs.select("doc_id", "text"), keep_text=False), "prints")
+    stay = simhash.near_duplicates(prints).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays"))
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stays"]), "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontaminate.mark(docs, table(spark, sf_dir, "benchmark")).where("n_hit = 0").select(docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to pseudonyms of the same format."""
+    found = pii.pseudonymise(docs, pii.EXAMPLE_KEY)
+    return found.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its token ids (little-endian unsigned 32-bit integers), decoded again and compared."""
+    import public_tokenizers
+
+    ranks = byte_bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    found = byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    whole = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return found.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long")).withColumn("round_trip", whole).drop("decoded")
+
 
-STAGES: list = []
+STAGES = [
+    ("language ID", language_id),
+    ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("PII", personal_data),
+    ("byte-level BPE", tokens),
+]
 
+#: SQL can express neither the classifier nor the permutations; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``; each but the last is a written table."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.split()[0].lower())
+    return STAGES[-1][1](spark, docs, sf_dir)
