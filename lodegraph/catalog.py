@@ -2,5 +2,4 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .queries import ORACLES, QUERIES, analysis, evaluation, grounding, io, merging, parsing, runs, vectors  # noqa: F401
