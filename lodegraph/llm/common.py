@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,8 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Text bytes that one Arrow slice handed to a step may hold; a single longer row is a slice of its own.
-SLICE_BYTES = 8 << 20
+#: Bytes that an Arrow batch between the JVM and Python, and a slice of it handed to a step, may hold; a single longer row
+#: is a batch of its own.
+BATCH_BYTES, SLICE_BYTES = 8 << 20, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +69,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes: by rows alone, one batch of long texts can take a worker's memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)([bkmg]?)b?", spark.conf.get(key).lower()).groups()
+    held = int(number) << {"k": 10, "m": 20, "g": 30}.get(unit, 0)
+    if held <= 0 or held > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose text in ``column`` stays under ``limit`` bytes."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist() if batch.num_rows else []
@@ -87,6 +98,7 @@ def add_columns(df: DataFrame, text: str, fields: list[T.StructField], step: Cal
     list or Arrow array for each field. A column of ``df`` that bears the name of a new one is replaced.
     Without ``keep_text`` the texts go to Python only, not back.
     """
+    small_batches(df.sparkSession)
     names = {f.name for f in fields} | (set() if keep_text else {text})
     kept = [f.name for f in df.schema.fields if f.name not in names]
     at = df.columns.index(text)

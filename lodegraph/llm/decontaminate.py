@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, slices, table, written
+from .common import add_columns, slices, small_batches, table, written
 
 #: Words of a window and of a shingle; text bytes of the items that are held in memory at once.
 WINDOW, SHINGLE, BLOCK_BYTES = 10, 3, 16 << 20
@@ -92,11 +92,12 @@ def _rarity(docs: DataFrame, text: str, items: list[tuple]) -> dict[tuple, int]:
                         seen.update({s for s in zip(*(words[k:] for k in range(n))) if s in place})
         yield pa.RecordBatch.from_arrays([pa.array([place[s] for s in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["shingle", "docs"])
 
+    small_batches(docs.sparkSession)
     counted = docs.mapInArrow(count, "shingle long, docs long").groupBy("shingle").agg(F.sum("docs").alias("docs"))
     return {held.value[r.shingle]: r.docs for r in counted.toLocalIterator()}
 
 
-def mark(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def mark(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, keep_text: bool = True) -> DataFrame:
     """``docs`` with n_words, n_hit, hit_spans (word positions, end exclusive) and hit_items (sorted).
 
     The items are held in blocks of about ``block_bytes``; one block is the rule. With more, the documents pass each
@@ -130,7 +131,7 @@ def mark(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "ite
         if b:
             before = F.struct("n_words", "n_hit", "hit_spans", "hit_items").alias("_before")
             found = written(found.select(*[c for c in found.columns if c not in ("n_words", "n_hit", "hit_spans", "hit_items")], before), "block")
-        found = add_columns(found, text, fields, step)
+        found = add_columns(found, text, fields, step, keep_text or b < blocks - 1)
         if b:
             spans = F.array_sort(F.concat("_before.hit_spans", "hit_spans"))
             merge = F.aggregate(spans, F.array().cast("array<struct<start: int, end: int>>"), lambda acc, s: F.when((F.size(acc) > 0) & (s["start"] <= F.element_at(acc, -1)["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))))
@@ -141,7 +142,7 @@ def mark(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "ite
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words that stand in windows of benchmark items."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = mark(docs, table(spark, sf_dir, "benchmark")).drop("text")
+    found = mark(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"),
         F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),

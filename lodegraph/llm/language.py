@@ -126,7 +126,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc: str = "doc
     return Coder([(a, b) for _, a, b in rows if has_letter(b)])
 
 
-def identify(docs: DataFrame, coder: Coder, text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, coder: Coder, text: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with lang_pred, score and ambiguous, from whole texts.
 
     Texts that are null or have no letter are ``und`` with score 0. Ties between languages go to the first by name.
@@ -134,7 +134,7 @@ def identify(docs: DataFrame, coder: Coder, text: str = "text") -> DataFrame:
     """
     held = docs.sparkSession.sparkContext.broadcast(coder)  # BUCKETS x bits floats: 1.8 MB for four languages
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
-    return add_columns(docs, text, fields, lambda: lambda texts: list(zip(*(held.value.decide(t) for t in texts), strict=True)))
+    return add_columns(docs, text, fields, lambda: lambda texts: list(zip(*(held.value.decide(t) for t in texts), strict=True)), keep_text)
 
 
 def learn_from(doc: str = "doc_id") -> Column:
@@ -145,5 +145,5 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language: doc_id, held_out, lang_pred, score, ambiguous."""
     docs = table(spark, sf_dir, "documents")
     coder = fit(docs, allowed=learn_from())
-    found = identify(docs.select("doc_id", "text"), coder).drop("text")
+    found = identify(docs.select("doc_id", "text"), coder, keep_text=False)
     return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "ambiguous")

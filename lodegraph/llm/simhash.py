@@ -49,13 +49,13 @@ def fingerprint_of(text: str | None, width: int = 4, seed: int = 42) -> int:
     return int.from_bytes(bits.tobytes(), "little", signed=True)
 
 
-def fingerprints(df: DataFrame, text: str = "text", out: str = "fp") -> DataFrame:
+def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", keep_text: bool = True) -> DataFrame:
     """``df`` with ``out``: the 64-bit SimHash as a signed long.
 
     Words are runs without ASCII white space, A-Z lower-cased; shingles are four words, repeats included. A text of
     fewer words is one shingle; null and wordless texts have fingerprint zero.
     """
-    return add_columns(df, text, [T.StructField(out, T.LongType())], lambda: lambda texts: [[fingerprint_of(t) for t in texts]])
+    return add_columns(df, text, [T.StructField(out, T.LongType())], lambda: lambda texts: [[fingerprint_of(t) for t in texts]], keep_text)
 
 
 def _near(a: str, b: str) -> Column:
@@ -129,5 +129,5 @@ def near_duplicates(prints: DataFrame, doc: str = "doc_id", block: int = BLOCK)
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and near-duplicate component."""
-    prints = written(fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "prints")
+    prints = written(fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False), "prints")
     return near_duplicates(prints).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

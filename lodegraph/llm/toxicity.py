@@ -22,7 +22,7 @@ from .common import add_columns, remainder, table
 
 #: Labelled documents of each class that are fitted to; least z of a scoring word; cost of any other word; most that a
 #: word may score; level of a significant segment; words that the lexicon may hold.
-FIT_DOCS, LEAST_Z, DRIFT, MOST, LEVEL, LEXICON = 6000, 3.0, 0.5, 6.0, 0.05, 50_000
+FIT_DOCS, LEAST_Z, DRIFT, MOST, LEVEL, LEXICON = 4000, 3.0, 0.5, 6.0, 0.05, 50_000
 #: Predicted toxic from this score on.
 CUT = 0.3
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
@@ -164,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc: str = "doc_
     return Model([(t, y) for _, t, y in rows], sizes)
 
 
-def judge(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def judge(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with score, and passages: array of (start, end, p), the significant toxic passages by characters.
 
     Null and empty texts get the score of a text without passages. Spans count characters of the lower-cased text.
@@ -172,12 +172,12 @@ def judge(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON words
     fields = T.StructType.fromDDL("score double, passages array<struct<start: int, end: int, p: double>>").fields
-    return add_columns(docs, text, fields, lambda: lambda texts: list(zip(*(held.value.judge(t) for t in texts), strict=True)))
+    return add_columns(docs, text, fields, lambda: lambda texts: list(zip(*(held.value.judge(t) for t in texts), strict=True)), keep_text)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity: doc_id, held_out, score, predicted, n_passages."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels"), allowed=remainder("doc_id", 4) != 2)
-    found = judge(docs, model).drop("text")
+    found = judge(docs, model, keep_text=False)
     return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))

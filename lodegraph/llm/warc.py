@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, table, written
+from .common import new_path, small_batches, table, written
 
 #: Bytes after which a new archive is begun; widest gap that a read spans; longest read; least payload that a revisit
 #: record may stand for.
@@ -111,6 +111,7 @@ def write(pages: DataFrame, page: str = "page_id", url: str = "url", html: str =
             if out is not None:
                 out.close()
 
+    small_batches(pages.sparkSession)
     chosen = pages.select(F.col(page).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), F.col("refers_to").cast("long").alias("refers_to"))
     return written(chosen.mapInArrow(archive, _INDEX), "index")
 
@@ -158,6 +159,7 @@ def read(index: DataFrame, where: Column | None = None, gap: int = GAP_BYTES, lo
                     rows.append((own("warc-record-id"), head["warc-target-uri"], kind, own("warc-refers-to"), int(head["x-payload-length"]), digest, body if kind == "response" else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
+    small_batches(index.sparkSession)
     return ranges(chosen, gap, longest).mapInArrow(fetch, _RECORD)
 
 
