@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, table, written
+from .common import remainder, small_batches, table, written
 
 #: Rows of a block; entries that a bucket gets on average; buckets of context frequency, by powers of two; rounds of EM.
 BLOCK_ROWS, BUCKET_ENTRIES, CONTEXT_BUCKETS, EM_ROUNDS = 2048, 1_000_000, 24, 50
@@ -73,55 +73,60 @@ class Block:
         return tokens, before, np.repeat(np.arange(len(sizes)), sizes)
 
 
-def _counted(keys: np.ndarray, weight: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order, how often each stands where weight is 1, and where fold is 1."""
+def _counted(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, their weights summed, and the place of each key among them."""
     order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
-    sums = [np.add.reduceat(x[order].astype(np.int64), first) if len(first) else np.empty(0, np.int64) for x in (weight, fold)]
-    return keys[first], sums[0].astype("<u4"), sums[1].astype("<u4")
+    ordered = keys[order]
+    first = np.r_[True, ordered[1:] != ordered[:-1]] if len(keys) else np.empty(0, bool)
+    index = np.cumsum(first) - 1
+    place = np.empty(len(keys), dtype=np.int64)
+    place[order] = index
+    return ordered[first], np.bincount(place, weight, int(first.sum())).astype(np.uint64), place
 
 
-_SENT = "kind int, bucket int, block long, entries long, keys binary, counts binary, folds binary"
-_TOTALS = "block long, kind int, keys binary, counts binary, folds binary, types long, tokens long, fold_tokens long, fold_types long"
+_SENT = "kind int, bucket int, block long, keys binary, counts binary"
+_TOTALS = "block long, kind int, bucket int, own int, more binary, counts binary, folds binary, types long, tokens long, fold_tokens long, fold_types long"
 
 
 def _blocked(docs: DataFrame, text: str, train: Column, fold: Column, doc: str, block_rows: int) -> DataFrame:
-    """(_block, doc, text, _train, _fold). A block is rows that stand together in a partition of the input."""
-    return docs.select(
-        F.col(doc).alias("doc"), F.col(text).alias("text"), train.cast("int").alias("train"), (train & fold).cast("int").alias("fold"),
-        F.floor(F.monotonically_increasing_id() / block_rows).cast("long").alias("block"),
-    )
+    """(doc, text, train, fold, block). A block is rows that stand together in a partition of the input: odd ones are the fold's."""
+    rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"), train.cast("int").alias("train"), (train & fold).cast("int").alias("fold"), F.monotonically_increasing_id().alias("_at"))
+    return rows.select("doc", "text", "train", "fold", (2 * F.floor(F.col("_at") / block_rows) + F.col("fold")).cast("long").alias("block"))
+
+
+def _keys(block: Block, train: list[int]) -> Iterator[tuple]:
+    """(kind, keys, counts in training, place of each token's key) of a block's words and bigrams."""
+    tokens, before, of = block.arrays()
+    weight = np.array(train, dtype=np.float64)[of] if len(tokens) else np.empty(0)
+    yield 1, *_counted(tokens, weight)
+    yield 2, *_counted(pair_hash(before, tokens), weight)
 
 
 def _send(blocked: DataFrame, buckets: int) -> DataFrame:
-    """Every block's words (kind 1) and bigrams (kind 2), counted, in one row for each bucket."""
-
-    def rows_of(number: int, block: Block, train: list[int], fold: list[int]) -> Iterator[tuple]:
-        tokens, before, of = block.arrays()
-        weights = np.array(train, dtype=np.int64)[of], np.array(fold, dtype=np.int64)[of]
-        for kind, keys in ((1, tokens), (2, pair_hash(before, tokens))):
-            keys, counts, folds = _counted(keys, *weights)
-            at = np.searchsorted(keys, np.array([(b << 64) // buckets for b in range(buckets)], dtype=np.uint64)) if buckets > 1 else np.array([0])
+    """Every block's words (kind 1) and bigrams (kind 2), counted, in one row for each bucket of the hash."""
+    starts = np.array([(b << 64) // buckets for b in range(buckets)], dtype=np.uint64)
+
+    def rows_of(number: int, block: Block, train: list[int]) -> Iterator[tuple]:
+        for kind, keys, counts, _ in _keys(block, train):
+            at = np.searchsorted(keys, starts)
             for b, (i, j) in enumerate(zip(at, [*at[1:], len(keys)], strict=True)):
                 if j > i:
-                    yield kind, b, number, int(j - i), _short(keys[i:j]), _short(counts[i:j]), _short(folds[i:j])
+                    yield kind, b, number, _short(np.diff(keys[i:j], prepend=np.uint64(0))), _short(counts[i:j])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, block, train, fold = None, Block(), [], []
+        open_blocks: dict[int, tuple[Block, list[int]]] = {}
         for batch in batches:
-            for text, t, f, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if n != number:
-                    if number is not None:
-                        yield _batch(rows_of(number, block, train, fold), _SENT)
-                    number, block, train, fold = n, Block(), [], []
+            for text, t, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                for old in [k for k in open_blocks if k // 2 != n // 2]:
+                    yield _batch(rows_of(old, *open_blocks.pop(old)), _SENT)
+                block, train = open_blocks.setdefault(n, (Block(), []))
                 block.add(text)
                 train.append(t)
-                fold.append(f)
-        if number is not None:
-            yield _batch(rows_of(number, block, train, fold), _SENT)
+        for old in list(open_blocks):
+            yield _batch(rows_of(old, *open_blocks.pop(old)), _SENT)
 
-    return blocked.select("text", "train", "fold", "block").mapInArrow(send, _SENT)
+    small_batches(blocked.sparkSession)
+    return blocked.select("text", "train", "block").mapInArrow(send, _SENT)
 
 
 def _batch(rows, schema: str) -> pa.RecordBatch:
@@ -132,69 +137,69 @@ def _batch(rows, schema: str) -> pa.RecordBatch:
 
 
 def _short(values: np.ndarray) -> bytes:
-    """The values in as few bytes each as the largest needs, the number of bytes first; sorted 64-bit keys stay whole."""
-    most = int(values.max()) if len(values) else 0
-    width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w))
-    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+    """The values in as few bytes each as the largest needs, the number of bytes first."""
+    values = values.astype("<u8")
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    return bytes([width]) + values.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def _long(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, dtype=f"<u{data[0]}", offset=1)
+    width = data[0]
+    out = np.zeros(((len(data) - 1) // width, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
+    return out.view("<u8").ravel()
 
 
 def _totals(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's sums, sent back to its blocks: all words; of the bigrams those that training has, of which others count 0."""
-    kind = int(key[0])
-    sent = [_long(x).astype(np.uint64) for x in pdf["keys"]]
+    """A bucket's sums, sent back to its blocks: only of what other blocks have too, as marks on the block's own keys and the totals there."""
+    kind, bucket = int(key[0]), int(key[1])
+    pdf = pdf.sort_values("block")
+    sent = [np.cumsum(_long(x), dtype=np.uint64) for x in pdf["keys"]]
+    own = [_long(x) for x in pdf["counts"]]
     keys, place = np.unique(np.concatenate(sent), return_inverse=True)
-    counts = np.bincount(place, np.concatenate([_long(x) for x in pdf["counts"]]).astype(np.float64), len(keys)).astype(np.uint64)
-    folds = np.bincount(place, np.concatenate([_long(x) for x in pdf["folds"]]).astype(np.float64), len(keys)).astype(np.uint64)
-    types, fold_types = int((counts > 0).sum()), int((counts > folds).sum())
+    weight = np.concatenate(own).astype(np.float64)
+    in_fold = np.repeat(pdf["block"].to_numpy() % 2, [len(x) for x in sent])
+    counts, folds = (np.bincount(place, w, len(keys)).astype(np.uint64) for w in (weight, weight * in_fold))
+    sums = {"types": int((counts > 0).sum()), "tokens": int(counts.sum()), "fold_tokens": int(folds.sum()), "fold_types": int((counts > folds).sum())}
     out, at = [], 0
-    for k, (block, own) in enumerate(zip(pdf["block"], sent, strict=True)):
-        here = place[at : at + len(own)]
-        at += len(own)
-        here = here[counts[here] > 0]
-        mine = {"types": types, "tokens": int(counts.sum()), "fold_tokens": int(folds.sum()), "fold_types": fold_types} if k == 0 else dict.fromkeys(("types", "tokens", "fold_tokens", "fold_types"), 0)
-        out.append({"block": block, "kind": kind, "keys": _short(keys[here]), "counts": _short(counts[here]), "folds": _short(folds[here]), **mine})
+    for block, mine in zip(pdf["block"], own, strict=True):
+        here = place[at : at + len(mine)]
+        at += len(mine)
+        more = counts[here] > mine
+        hit = here[more]
+        out.append({"block": block, "kind": kind, "bucket": bucket, "own": len(mine), "more": np.packbits(more).tobytes(), "counts": _short(counts[hit]), "folds": _short(folds[hit]) if block % 2 else b"", **sums})
+        sums = dict.fromkeys(sums, 0)  # a bucket's own sums stand in one row
     return pd.DataFrame(out, columns=[x.split()[0] for x in _TOTALS.split(", ")])
 
 
-class Totals:
-    """A block's totals, looked up by hash; what is not there counts 0."""
-
-    def __init__(self, rows: pd.DataFrame):
-        self.of = {}
-        for kind in (1, 2):
-            own = rows[rows["kind"] == kind]
-            parts = [np.concatenate([_long(x).astype(np.uint64) for x in own[c]]) if len(own) else np.empty(0, np.uint64) for c in ("keys", "counts", "folds")]
-            order = np.argsort(parts[0], kind="stable")
-            self.of[kind] = tuple(p[order] for p in parts)
-
-    def counts(self, kind: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        known, counts, folds = self.of[kind]
-        if not len(known):
-            return np.zeros(len(keys)), np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        hit = known[at] == keys
-        return np.where(hit, counts[at], 0).astype(np.float64), np.where(hit, folds[at], 0).astype(np.float64)
+class Estimates:
+    """For every token of a block: its count, its unigram estimate, its estimate after its context, the context's bucket.
 
+    ``rows`` are the block's totals; what they don't mark stands in this block alone. ``delete_fold``: the block is of the
+    fold, and all that the fold's blocks counted is left out.
+    """
 
-class Estimates:
-    """For every token of a block: its count, its unigram estimate, its estimate after its context, the context's bucket."""
-
-    def __init__(self, block: Block, totals: Totals, n: int, v: int, docs: int, delete_fold: bool):
-        tokens, before, self.doc = block.arrays()
-        c1, f1 = totals.counts(1, tokens)
-        c2, f2 = totals.counts(2, pair_hash(before, tokens))
-        if delete_fold:
-            c1, c2 = c1 - f1, c2 - f2
-        context = np.empty_like(c1)
-        context[1:] = c1[:-1]
+    def __init__(self, block: Block, train: list[int], rows: pd.DataFrame, n: int, v: int, docs: int, delete_fold: bool):
+        _, before, self.doc = block.arrays()
+        found = {}
+        for kind, keys, counts, place in _keys(block, train):
+            own = rows[rows["kind"] == kind].sort_values("bucket")
+            if int(own["own"].sum()) != len(keys):
+                raise ValueError("the documents changed between two readings: a block has not the n-grams that were counted")
+            if len(own):
+                more = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=k) for m, k in zip(own["more"], own["own"], strict=True)]).astype(bool)
+                counts[more] = np.concatenate([_long(x) for x in own["counts"]])
+                if delete_fold:
+                    folds = counts.copy()
+                    folds[more] = np.concatenate([_long(x) for x in own["folds"]])
+                    counts = counts - folds
+            found[kind] = counts.astype(np.float64)[place]
+        self.count, pairs = found[1], found[2]
+        context = np.empty_like(self.count)
+        context[1:] = self.count[:-1]
         context[before == START] = docs  # every text begins once
-        self.count = c1
-        self.unigram = (c1 + 1) / (n + v + 1)
-        self.bigram = np.where(context > 0, c2 / np.maximum(context, 1), 0.0)
+        self.unigram = (self.count + 1) / (n + v + 1)
+        self.bigram = np.where(context > 0, pairs / np.maximum(context, 1), 0.0)
         self.bucket = np.where(context > 0, np.minimum(np.log2(np.maximum(context, 1)).astype(int) + 1, CONTEXT_BUCKETS - 1), 0)
 
 
@@ -207,13 +212,20 @@ def learnt(seen: np.ndarray) -> np.ndarray:
         if n:
             w = 0.5
             for _ in range(EM_ROUNDS):
-                w = float((seen[b] * (w * ratio / (w * ratio + 1 - w))).sum() / n)
-            weights[b] = min(w, 0.999)  # unseen bigrams keep some probability
+                w = min(0.999, float((seen[b] * (w * ratio / (w * ratio + 1 - w))).sum() / n))  # unseen bigrams keep some probability
+            weights[b] = w
         else:
             weights[b] = weights[b - 1]  # no held-out context of this frequency: as the next rarer ones
     return weights
 
 
+def _read(rows: pd.DataFrame) -> tuple[Block, list[int]]:
+    block = Block()
+    for text in rows["text"]:
+        block.add(text)
+    return block, list(rows["train"])
+
+
 def _scored(blocked: DataFrame, totals: DataFrame, make, schema: str) -> DataFrame:
     return blocked.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(make, schema)
 
@@ -240,18 +252,15 @@ def score(docs: DataFrame, train: Column, fold: Column, text: str = "text", doc:
     def gather(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return pd.DataFrame({"cell": [], "seen": []})
-        block = Block()
-        for t in left["text"]:
-            block.add(t)
-        e = Estimates(block, Totals(right), fold_n, fold_v, docs_kept, True)
+        e = Estimates(*_read(left), right, fold_n, fold_v, docs_kept, True)
         ratio = e.bigram / e.unigram
         step = np.where(ratio > 0, 1 + np.clip(np.floor((np.log2(np.maximum(ratio, 1e-30)) - RATIO_LOW) * RATIO_STEPS), 0, steps - 2), 0).astype(int)
         cells, seen = np.unique(e.bucket * steps + step, return_counts=True)
         return pd.DataFrame({"cell": cells.astype(np.int64), "seen": seen.astype(np.int64)})
 
-    narrow = totals.select("block", "kind", "keys", "counts", "folds")
-    held = blocked.where("fold = 1").select("block", "text")
-    cells = _scored(held, narrow.join(sizes.select("block"), "block", "left_semi"), gather, "cell long, seen long").groupBy("cell").agg(F.sum("seen").alias("seen"))
+    narrow = totals.select("block", "kind", "bucket", "own", "more", "counts", "folds")
+    held = blocked.where("fold = 1").select("block", "text", "train")
+    cells = _scored(held, narrow.where("block % 2 = 1"), gather, "cell long, seen long").groupBy("cell").agg(F.sum("seen").alias("seen"))
     seen = np.zeros(CONTEXT_BUCKETS * steps)
     for r in cells.collect():  # one row for each pair of context bucket and ratio step at most
         seen[r["cell"]] = r["seen"]
@@ -261,14 +270,9 @@ def score(docs: DataFrame, train: Column, fold: Column, text: str = "text", doc:
         columns = ["doc", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         if not len(left):
             return pd.DataFrame({c: [] for c in columns})
-        block = Block()
-        for t in left["text"]:
-            block.add(t)
-        e = Estimates(block, Totals(right), n, v, docs_all, False)
-        if ((e.bigram == 0) & (left["train"].to_numpy()[e.doc] == 1)).any():
-            raise ValueError("the documents changed between two readings: a block holds n-grams that were not counted")
-        w = weights[e.bucket]
-        rows = len(left)
+        block, train = _read(left)
+        e = Estimates(block, train, right, n, v, docs_all, False)
+        w, rows = weights[e.bucket], len(left)
         base = np.bincount(e.doc, np.log10(e.unigram), rows)
         mixed = np.bincount(e.doc, np.log10(w * e.bigram + (1 - w) * e.unigram), rows)
         return pd.DataFrame({"doc": left["doc"], "train": left["train"] == 1, "n_tokens": block.sizes, "n_known": np.bincount(e.doc, e.count > 0, rows).astype(np.int64), "train_tokens": n, "base_score": base, "score": mixed})
@@ -286,4 +290,4 @@ def op10_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-__all__ = ["score", "Block", "Totals", "learnt", "tokens_of", "op10_ngram_lm"]
+__all__ = ["score", "Block", "learnt", "tokens_of", "op10_ngram_lm"]
