@@ -63,7 +63,7 @@ def codewords(n: int, seed: int = 8) -> np.ndarray:
 class Coder:
     """The fitted classifiers: weights (bucket, bit), a scale for each bit, its weight in the loss, and the codewords."""
 
-    def __init__(self, rows: list[tuple[str, str]], smoothing: float = 0.5):
+    def __init__(self, rows: list[tuple[str, str]], prior: float = 200.0):
         self.languages = sorted({lang for lang, _ in rows})
         place = {lang: k for k, lang in enumerate(self.languages)}
         self.code = codewords(len(place))
@@ -72,11 +72,14 @@ class Coder:
             own = np.zeros(BUCKETS)
             for g in grams(text):
                 own += np.bincount(g, minlength=BUCKETS)
-            counts[place[lang]] += np.sqrt(own)  # a long text must not outweigh many short ones
-        rates = (counts + smoothing) / (counts + smoothing).sum(axis=1, keepdims=True) if len(place) else counts
-        yes, no = ((self.code == s).astype(float) for s in (1, -1))
+            counts[place[lang]] += own / np.sqrt(max(own.sum(), 1))  # a long text must not outweigh many short ones
+        sums = np.maximum(counts.sum(axis=1, keepdims=True), 1e-9)
+        common = (counts / sums).mean(axis=0) if len(place) else np.zeros(BUCKETS)
+        rates = (counts + prior * common) / (sums + prior)  # drawn towards what all languages share, so that few texts claim little
+        yes, no = ((self.code == s).astype(float)[: len(place)] for s in (1, -1))
         with np.errstate(divide="ignore", invalid="ignore"):
-            self.weights = np.nan_to_num(np.log(yes.T @ rates / yes.sum(0)[:, None]) - np.log(no.T @ rates / no.sum(0)[:, None]), nan=0, posinf=0, neginf=0).T.astype(np.float32).copy()
+            odds = np.log(yes.T @ rates / yes.sum(0)[:, None]) - np.log(no.T @ rates / no.sum(0)[:, None])
+        self.weights = np.nan_to_num(odds, nan=0, posinf=0, neginf=0).T.astype(np.float32).copy()  # n-grams that nobody has say nothing
         self.scale, self.trust = np.ones(self.code.shape[1], np.float32), np.ones(self.code.shape[1], np.float32)
         for lang, text in rows:
             drawn.append((place[lang], self.margins(text)))
