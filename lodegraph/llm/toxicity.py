@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +21,9 @@ from pyspark.sql import types as T
 
 from .common import add_columns, remainder, table
 
-#: Labelled documents of each class that are fitted to; least z of a scoring word; cost of any other word; most that a
+#: Labelled documents of each class that are fitted to; least z and log-odds of a scoring word; cost of any other word; most that a
 #: word may score; level of a significant segment; words that the lexicon may hold.
-FIT_DOCS, LEAST_Z, DRIFT, MOST, LEVEL, LEXICON = 4000, 3.0, 0.5, 6.0, 0.05, 50_000
+FIT_DOCS, LEAST_Z, LEAST_ODDS, DRIFT, MOST, LEVEL, LEXICON = 4000, 3.0, 1.0, 0.5, 6.0, 0.05, 50_000
 #: Predicted toxic from this score on.
 CUT = 0.3
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
@@ -54,20 +55,24 @@ class Model:
     """Lexicon, extreme-value constants and the logistic curve, from (text, toxic) rows and each class's true size."""
 
     def __init__(self, rows: list[tuple[str, int]], sizes: dict[int, int]):
-        docs = [(set(_WORD.findall(t.lower())), len(_WORD.findall(t.lower())), y) for t, y in {(t, y) for t, y in rows}]
-        docs.sort(key=lambda d: (d[2], d[1], sorted(d[0])[:3]))
-        seen = {y: Counter() for y in (0, 1)}
-        for words, _, y in docs:
-            seen[y].update(words)
-        n = {y: sum(seen[y].values()) for y in (0, 1)}
+        number: dict[str, int] = {}
+        pairs: dict[int, list[np.ndarray]] = {0: [], 1: []}
+        for text, y in sorted(set(rows)):
+            ids = np.array([number.setdefault(w, len(number)) for w in ["", *_WORD.findall(text.lower())]], dtype=np.int64)
+            pairs[y].append(np.unique(ids[:-1] << 32 | ids[1:]))
+        # a word counts once for each word that stands before it, so that near copies of a text add nothing
+        seen = {y: np.bincount(np.unique(np.concatenate(p)) & 0xFFFFFFFF, minlength=len(number)) if p else np.zeros(len(number), int) for y, p in pairs.items()}
+        n = {y: int(seen[y].sum()) for y in (0, 1)}
         both, self.lexicon, background = n[0] + n[1], {}, {}
         prior = max(1.0, min(n.values()))
-        for w in seen[1]:
-            a = prior * (seen[0][w] + seen[1][w]) / both
-            y1, y0 = seen[1][w] + a, seen[0][w] + a
+        for w, k in number.items():
+            if not seen[1][k]:
+                continue
+            a = prior * (seen[0][k] + seen[1][k]) / both
+            y1, y0 = seen[1][k] + a, seen[0][k] + a
             odds = math.log(y1 / (n[1] + prior - y1)) - math.log(y0 / (n[0] + prior - y0))
             z = odds / math.sqrt(1 / y1 + 1 / y0)
-            if z >= LEAST_Z and odds > 0:
+            if z >= LEAST_Z and odds >= LEAST_ODDS:
                 self.lexicon[w] = (min(odds, MOST), z)
                 background[w] = y0 / (n[0] + prior)
         kept = sorted(self.lexicon.items(), key=lambda x: (-x[1][1], x[0]))[:LEXICON]
@@ -92,8 +97,10 @@ class Model:
 
     def _raw(self, text: str | None):
         words = _WORD.findall(text.lower()) if text else []
-        lexicon = self.lexicon
-        return len(words), maximal_segments([(i, lexicon[w]) for i, w in enumerate(words) if w in lexicon], DRIFT)
+        found = [(i, (words[i - 1] if i else "", w)) for i, w in enumerate(words) if w in self.lexicon]
+        once: set[tuple[str, str]] = set()  # what a text repeats, word and word before, is no new evidence: it costs nothing, and scores once
+        scores = [(i, 0.0 if pair in once or once.add(pair) else self.lexicon[pair[1]]) for i, pair in found]
+        return len(words), [s for s in maximal_segments(scores, DRIFT) if s[2] > 0]
 
     def evidence(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
         """Sum over the significant segments of L * S - ln(K n), and these as (first word, end, p)."""
