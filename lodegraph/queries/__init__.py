@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
+
+from ..session import ship
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -15,7 +18,13 @@ def query(sql: str | None = None, name: str | None = None):
         key = name or f.__name__
         if key in QUERIES:
             raise ValueError(f"{key} is registered twice")
-        QUERIES[key] = f
+
+        @wraps(f)
+        def run(spark, sf_dir):
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[key] = run
         if sql:
             ORACLES[key] = sql
         return f

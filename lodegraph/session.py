@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -23,3 +28,21 @@ def local_session(cores: int | str = "*", app: str = "lodegraph", **conf: str) -
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors, once an application: they needn't have it installed or share the driver's folders."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).parent
+    folder = tempfile.mkdtemp(prefix="lodegraph-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/lodegraph.zip", "w") as out:
+        for p in sorted(package.rglob("*.py")):
+            out.write(p, p.relative_to(package.parent))
+    context.addPyFile(f"{folder}/lodegraph.zip")
+    _shipped.add(context.applicationId)
