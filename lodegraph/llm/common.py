@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship
+
 #: Bytes that an Arrow batch between the JVM and Python, and a slice of it handed to a step, may hold; a single longer row
 #: is a batch of its own.
 BATCH_BYTES, SLICE_BYTES = 8 << 20, 4 << 20
@@ -70,7 +72,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the session's Arrow batches by bytes: by rows alone, one batch of long texts can take a worker's memory."""
+    """Bound the session's Arrow batches by bytes: by rows alone, one batch of long texts can take a worker's memory. The workers get this package, too."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     number, unit = re.fullmatch(r"(-?\d+)([bkmg]?)b?", spark.conf.get(key).lower()).groups()
     held = int(number) << {"k": 10, "m": 20, "g": 30}.get(unit, 0)
