@@ -39,15 +39,12 @@ def select(rows: DataFrame, mode: str, key: str = "query_id", status: str = "sta
 
 
 def head_share(rows: DataFrame, order: str, percent: int = 10, limit: int | None = None) -> DataFrame:
-    """The first ``percent`` of the rows by ``order``, rounded down, and of these at most ``limit``: a range filter, not a sort.
+    """The first ``percent`` of the rows by ``order``, rounded down, and of these at most ``limit``: a range filter that a scan can use, no sort.
 
-    ``order`` is the split's own numbering; the border is found from its counted values.
+    ``order`` numbers the split's rows from 0 without gaps.
     """
     n = rows.count() * percent // 100
-    n = n if limit is None else min(n, limit)
-    if n == 0:
-        return rows.limit(0)
-    return rows.orderBy(order).limit(n)
+    return rows.where(F.col(order) < (n if limit is None else min(n, limit)))
 
 
 def batches(rows: DataFrame, order: str, workers: int) -> DataFrame:

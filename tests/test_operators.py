@@ -113,7 +113,8 @@ def test_run_selection(spark):
     assert rows(again, "query_id") == [(1,)] and kept.count() == 3
     assert rows(runs.select(df, "ids", ids=[2, 4])[0], "query_id") == [(2,), (4,)]
     assert rows(runs.resume(df, df.where("query_id < 3")), "query_id") == [(3,), (4,)]
-    assert runs.head_share(df, "query_id", 50).count() == 2 and runs.head_share(df, "query_id").count() == 0
+    numbered = spark.range(25).withColumnRenamed("id", "pos")
+    assert rows(runs.head_share(numbered, "pos"), "pos") == [(0,), (1,)] and runs.head_share(numbered, "pos", 50, limit=5).count() == 5 and runs.head_share(numbered.limit(0), "pos").count() == 0
 
 
 def test_providers(spark):
