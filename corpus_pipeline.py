@@ -21,10 +21,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of least id stays."""
-    prints = written(simhash.fingerprints(docs.select("doc_id", "text"), keep_text=False), "prints")
-    stay = simhash.near_duplicates(prints).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays"))
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stays"]), "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """Of each group of near-duplicates the document of least id stays, of rows that repeat this id the first.
+
+    ``docs`` is a table, so its rows have the same numbers each time it is read; only these numbers meet the texts again.
+    """
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    prints = written(simhash.fingerprints(numbered.select("doc_id", "_row", "text"), keep_text=False), "prints")
+    first = prints.groupBy("doc_id").agg(F.min("_row").alias("_row"))
+    groups = simhash.near_duplicates(prints).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    stay = first.join(groups, first["doc_id"].eqNullSafe(groups["doc_id"]), "left_semi").select("_row")
+    return numbered.join(stay, "_row", "left_semi").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
