@@ -38,7 +38,7 @@ def entities_strict(text: Column) -> tuple[Column, Column]:
     """(map, error) of the earlier format: every symbol needs type, lexical, semantic and constant; error says what is wrong, else null."""
     parsed = F.from_json(without_fence(text), _OLD_ENTITY)
     lacking = F.exists(F.map_values(parsed), lambda e: e["type"].isNull() | e["lexical"].isNull() | e["semantic"].isNull() | e["constant"].isNull())
-    error = F.when(F.coalesce(without_fence(text), F.lit("")) == "", "empty").when(parsed.isNull(), "not an object").when(F.size(parsed) == 0, "no symbols").when(lacking, "a field is missing")
+    error = F.when(F.coalesce(without_fence(text), F.lit("")) == "", "empty").when(parsed.isNull(), "not an object").when(lacking, "a field is missing")
     return parsed, error
 
 
@@ -56,9 +56,8 @@ def in_vocabulary(relation: Column) -> Column:
 
 
 def node_type(value: Column) -> Column:
-    """A type in its usual spelling, null where it is none."""
-    low = vocabulary_name(value)
-    spelled = F.coalesce(*(F.when(low == a, b) for a, b in TYPE_SPELLINGS.items()), low)
+    """A type in its usual spelling, null where it is none; upper case and blanks make it none."""
+    spelled = F.coalesce(*(F.when(value == a, b) for a, b in TYPE_SPELLINGS.items()), value)
     return F.when(spelled.isin(*NODE_TYPES), spelled)
 
 
@@ -87,17 +86,19 @@ def triples_of(text: str | None) -> list[dict]:
 
 
 def pair_of(key) -> tuple[str, str] | None:
-    """The two symbols that a key names: a pair, a literal pair, two quoted names, or what stands on either side of its first comma."""
+    """The two symbols that a key names: a pair, or text in round brackets that is a literal pair, two quoted names, or names on either side of a comma."""
     if isinstance(key, tuple):
         return (str(key[0]), str(key[1])) if len(key) == 2 else None
-    text = str(key)
+    text = str(key).strip()
+    if not (text.startswith("(") and text.endswith(")")):
+        return None
     value = literal(text)
     if isinstance(value, (tuple, list)) and len(value) == 2:
         return str(value[0]), str(value[1])
     quoted = re.findall(r"""["']([^"']*)["']""", text)
     if len(quoted) == 2:
         return quoted[0], quoted[1]
-    left, comma, right = text.strip("() ").partition(",")
+    left, comma, right = text[1:-1].partition(",")
     return (left.strip(" \"'"), right.strip(" \"'")) if comma else None
 
 

@@ -72,12 +72,13 @@ def type_of_file(stem: Column) -> Column:
 
 
 def final_answer(text: Column) -> Column:
-    """A reasoning model's answer: what follows its thoughts, and of that what is boxed, or marked as the answer, or bold."""
-    said = F.regexp_replace(F.when(F.instr(text, "</think>") > 0, F.substring_index(text, "</think>", -1)).otherwise(text), r"^\s+|\s+$", "")
-    boxed = F.regexp_extract(said, r"boxed\{([^}]*)\}", 1)
-    marked = F.trim(F.regexp_extract(said, r"Answer:\*\*\s*([^\n]*)", 1))
-    bold = F.regexp_extract(said, r"\*\*([^*]+)\*\*", 1)
-    return F.when(boxed != "", boxed).when(marked != "", marked).when(bold != "", bold).otherwise(said)
+    """A reasoning model's answer: what follows its thoughts; of that what is boxed; of that what follows the mark of the answer; and the bold part if there is just one."""
+    said = F.substring_index(text, "</think>", -1)
+    boxed = F.substring_index(F.regexp_extract(said, r"^([\s\S]*)\}", 1), "boxed{", -1)
+    said = F.when(F.contains(said, F.lit("boxed{")) & F.contains(said, F.lit("}")), boxed).otherwise(said)
+    said = F.replace(F.replace(F.substring_index(said, "Answer:**", -1), F.lit("\\_"), F.lit("_")), F.lit("\\'"), F.lit("'"))
+    parts = F.split(said, r"\*\*")
+    return F.regexp_replace(F.when(F.size(parts) == 3, F.get(parts, F.lit(1))).otherwise(said), r"^\s+|\s+$", "")
 
 
 def chat_roles(chat: Column, model: str = "gemini") -> Column:

@@ -38,7 +38,7 @@ def initial(exact: DataFrame, near: DataFrame, limit: int = LIMIT, cutoff: float
 def needs_anchor(symbols: DataFrame, candidates: DataFrame) -> DataFrame:
     """The symbols worth asking about: constant, named, not the answer, with candidates, none of them sure or likely."""
     best = candidates.groupBy("query_id", "symbol").agg(F.max("score").alias("_best"))
-    return symbols.join(best, ["query_id", "symbol"]).where((F.col("symbol") != "ANSWER") & F.col("constant") & (F.coalesce(F.trim("name"), F.lit("")) != "") & (F.col("_best") < LIKELY)).drop("_best")
+    return symbols.join(best, ["query_id", "symbol"]).where((F.col("symbol") != "ANSWER") & F.col("constant") & (F.coalesce("name", F.lit("")) != "") & (F.col("_best") < LIKELY)).drop("_best")
 
 
 def shown(candidates: DataFrame, key: list[str]) -> DataFrame:
@@ -60,11 +60,16 @@ def promoted(candidates: DataFrame, choices: DataFrame, key: list[str]) -> DataF
 
 
 def choice_of(answer: Column, n: Column) -> Column:
-    """The number that an answer gives, in 0..n: as JSON, in a fence or not, else in its first braces, else a lone digit of a short text; else 0."""
-    bare = F.trim(F.regexp_replace(answer, r"```(?:json)?", ""))
-    number = lambda text: F.get_json_object(text, "$.choice").try_cast("int")
-    whole = F.when(bare.rlike(r"^[-+]?\d+$"), bare.try_cast("int")).otherwise(number(bare))
-    braces = F.regexp_extract(bare, r"(\{[^}]*\})", 1)
-    digit = F.when(F.char_length(F.trim(answer)) <= 20, F.nullif(F.regexp_extract(answer, r"([0-5])", 1), F.lit("")).try_cast("int"))
-    found = F.coalesce(whole, F.when(braces != "", number(braces)), digit, F.lit(0))
+    """The number that an answer gives, in 0..n, else 0.
+
+    It is the ``choice`` of the answer's JSON, in a fence or not, or of its first braces. Only where these are no JSON,
+    a lone digit 0 to 5 of a text of at most 20 characters counts.
+    """
+    bare = F.trim(F.regexp_replace(F.coalesce(answer, F.lit("")), r"```(?:json)?\s*([\s\S]*?)\s*```", "$1"))
+    braces = F.regexp_extract(bare, r"(\{[\s\S]*?\})", 1)
+    given = lambda text: F.from_json(text, "map<string,string>")
+    number = lambda m: F.coalesce(F.try_element_at(m, F.lit("choice")), F.lit("0")).try_cast("double").cast("int")
+    readable = F.coalesce(F.when(given(bare).isNotNull(), number(given(bare))), F.when(given(braces).isNotNull(), number(given(braces))))
+    digit = F.when((braces != "") & (F.char_length(bare) <= 20), F.nullif(F.regexp_extract(bare, r"\b([0-5])\b", 1), F.lit("")).try_cast("int"))
+    found = F.coalesce(readable, digit, F.lit(0))
     return F.when(found.between(0, n), found).otherwise(0)

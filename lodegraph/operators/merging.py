@@ -69,19 +69,20 @@ def _ranked(df: DataFrame, order: list[Column]) -> DataFrame:
 
 def listed(answers: Column, response: Column) -> Column:
     """An answer list as a response orders it: its numbers once each, invented ones left out, missing ones behind; unreadable: unchanged."""
-    parts = F.transform(F.split(F.regexp_replace(response, r"[\[\]\s]", ""), ","), lambda x: x.try_cast("long"))
+    parts = F.transform(F.split(response, ","), lambda x: F.trim(x).try_cast("long"))
     asked = F.array_distinct(parts)
     usable = F.coalesce(response.isNotNull() & ~F.exists(parts, lambda x: x.isNull()), F.lit(False))
     return F.when(usable, F.concat(F.array_intersect(asked, answers), F.array_except(answers, asked))).otherwise(answers)
 
 
 def by_wins(answers: DataFrame, duels: DataFrame) -> DataFrame:
-    """Reordered by recorded duels (query_id, a, b, response): 'A' or 'B' names the winner, anything else is a tie; more wins first, then place.
+    """Reordered by recorded duels (query_id, a, b, response): the winner's id, or A or B, quoted or not; anything else is a tie; more wins first, then place.
 
     The same order as sorting by the duels where these are transitive.
     """
-    won = F.upper(F.trim("response"))
-    winners = duels.select("query_id", F.when(won.isin("A", "1"), F.col("a")).when(won.isin("B", "2"), F.col("b")).alias("node_id")).where("node_id is not null")
+    won = F.trim(F.regexp_replace("response", "[\"']", ""))
+    named = won.try_cast("long")
+    winners = duels.select("query_id", F.when(won == "A", F.col("a")).when(won == "B", F.col("b")).when(named.isin(F.col("a"), F.col("b")), named).alias("node_id")).where("node_id is not null")
     wins = winners.groupBy("query_id", "node_id").agg(F.count("*").alias("wins"))
     both = answers.join(wins, ["query_id", "node_id"], "left").withColumn("wins", F.coalesce("wins", F.lit(0)))
     return _ranked(both, [F.col("wins").desc(), F.col("rank")]).select("query_id", "node_id", "wins", "rank")

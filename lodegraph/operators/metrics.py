@@ -45,14 +45,14 @@ def macro(rows: DataFrame, columns: Sequence[str], nulls: str = "zero") -> DataF
     return rows.agg(F.count("*").alias("total_queries"), *(F.avg(value(c)).alias(f"avg_{c}") for c in there))
 
 
-#: Bounds of the report's buckets: the lower one is in, the upper one not; labels in order.
-BUCKETS = (("0", 0.0, 0.01), ("0-25", 0.01, 0.25), ("25-50", 0.25, 0.5), ("50-75", 0.5, 0.75), ("75-99", 0.75, 0.99), ("100", 0.99, 1.001))
+#: The report's buckets, fixed values: label, lower bound (in), upper bound (not in).
+BUCKETS = (("0 (miss)", 0.0, 0.01), ("0–0.25", 0.01, 0.25), ("0.25–0.5", 0.25, 0.5), ("0.5–0.75", 0.5, 0.75), ("0.75–1.0", 0.75, 0.99), ("1.0 (full)", 0.99, 1.001))
 BAR = 40
 
 
 def histogram(rows: DataFrame, value: str | Column) -> DataFrame:
-    """(bucket, n, bar) for every bucket, those without rows too; bars are in proportion to all rows, out-of-range ones included."""
-    value = F.col(value) if isinstance(value, str) else value
+    """(bucket, n, bar) for every bucket, those without rows too; a null counts as 0; bars are in proportion to all rows, out-of-range ones included."""
+    value = F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit(0.0))
     label = F.coalesce(*(F.when((value >= a) & (value < z), F.lit(name)) for name, a, z in BUCKETS))
     counted = rows.select(label.alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
     whole = counted.agg(F.sum("n").alias("_all"))

@@ -94,11 +94,11 @@ def ag_rerank_mean(spark, d):
     return per.agg(F.count("*").alias("num_queries"), *(F.round(F.avg(c), 9).alias(o) for c, o in (("hit_1", "hit_1"), ("hit_5", "hit_5"), ("mrr", "mrr"), ("recall_all", "recall_20"))))
 
 
-@query(f"""WITH {REPORT}, b(bucket, lo, hi) AS (VALUES ('0', 0.0, 0.01), ('0-25', 0.01, 0.25), ('25-50', 0.25, 0.5), ('50-75', 0.5, 0.75), ('75-99', 0.75, 0.99), ('100', 0.99, 1.001)),
-c AS (SELECT bucket, count(query_id) AS n FROM b LEFT JOIN r ON before >= lo::DOUBLE AND before < hi::DOUBLE GROUP BY 1), t AS (SELECT count(*) AS total FROM r)
+@query(f"""WITH {REPORT}, b(bucket, lo, hi) AS (VALUES ('0 (miss)', 0.0, 0.01), ('0–0.25', 0.01, 0.25), ('0.25–0.5', 0.25, 0.5), ('0.5–0.75', 0.5, 0.75), ('0.75–1.0', 0.75, 0.99), ('1.0 (full)', 0.99, 1.001)),
+c AS (SELECT bucket, count(query_id) AS n FROM b LEFT JOIN r ON coalesce(after, 0) >= lo::DOUBLE AND coalesce(after, 0) < hi::DOUBLE GROUP BY 1), t AS (SELECT count(*) AS total FROM r)
 SELECT bucket, n, repeat('█', floor(n / total * 40)::INT) AS bar FROM c, t""")
 def ag_histogram(spark, d):
-    return metrics.histogram(report(spark, d), "before")
+    return metrics.histogram(report(spark, d), "after")
 
 
 @query(f"""WITH {REPORT}, x AS (SELECT coalesce(after, 0) - coalesce(before, 0) AS d FROM r)

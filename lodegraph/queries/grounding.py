@@ -101,17 +101,17 @@ def cand_anchor_verify(spark, d):
 def flt_anchor_gate(spark, d):
     """A symbol for every type: constant where the question's id is divisible by 200; type t3's has no name."""
     scored = all_scores(spark, d).where("query_id <> node_id").withColumnRenamed("node_type", "symbol")
-    symbols = scored.select("query_id", "symbol").distinct().select("query_id", "symbol", F.when(F.col("symbol") != "t3", F.col("symbol")).otherwise(F.lit(" ")).alias("name"), (F.col("query_id") % 200 == 0).alias("constant"))
+    symbols = scored.select("query_id", "symbol").distinct().select("query_id", "symbol", F.when(F.col("symbol") != "t3", F.col("symbol")).otherwise(F.lit("")).alias("name"), (F.col("query_id") % 200 == 0).alias("constant"))
     return c.needs_anchor(symbols, scored).select("query_id", "symbol", "constant")
 
 
-@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN event_id % 4 WHEN 1 THEN event_id % 3 WHEN 2 THEN event_id % 5 WHEN 3 THEN 0 WHEN 4 THEN 2 ELSE 0 END * (CASE WHEN event_id % 6 IN (0, 1, 2) AND CASE event_id % 6 WHEN 0 THEN event_id % 4 WHEN 1 THEN event_id % 3 ELSE event_id % 5 END > 3 THEN 0 ELSE 1 END) AS choice FROM events")
+@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN CASE WHEN event_id % 5 > 3 THEN 0 ELSE event_id % 5 END WHEN 1 THEN event_id % 3 WHEN 4 THEN 2 ELSE 0 END AS choice FROM events")
 def cand_choice_parse(spark, d):
-    """Answers in six shapes: fenced JSON, JSON inside prose, a bare number, prose, a short text with a digit, nothing."""
+    """Answers in six shapes: fenced JSON, JSON inside prose, a bare number, prose, short broken JSON with a digit, nothing."""
     e, i = table(spark, d, "events"), F.col("event_id")
     answer = (
-        F.when(i % 6 == 0, F.format_string('```json\n{"choice": %d}\n```', i % 4)).when(i % 6 == 1, F.format_string('It is {"choice": %d}, I think, by far.', i % 3)).when(i % 6 == 2, (i % 5).cast("string"))
-        .when(i % 6 == 3, F.lit("I really could not say which 1 of these it is")).when(i % 6 == 4, F.lit("Option 2.")).otherwise(F.lit(""))
+        F.when(i % 6 == 0, F.format_string('```json\n{"choice": %d}\n```', i % 5)).when(i % 6 == 1, F.format_string('It is {"choice": %d}, I think, by far.', i % 3)).when(i % 6 == 2, (i % 5).cast("string"))
+        .when(i % 6 == 3, F.lit("I really could not say which 1 of these it is")).when(i % 6 == 4, F.lit("{choice: 2}")).otherwise(F.lit(""))
     )
     return e.select("event_id", c.choice_of(answer, F.lit(3)).cast("long").alias("choice"))
 

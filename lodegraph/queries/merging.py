@@ -94,7 +94,7 @@ def rr_list(spark, d):
     """Responses that turn the list round, name its last item twice with an invented one between, or can't be read."""
     lists = _lines(spark, d).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "node_id"))).alias("l")).select("query_id", F.transform("l", lambda x: x["node_id"]).alias("a"))
     last = F.element_at("a", -1).cast("string")
-    response = F.when(F.col("query_id") % 3 == 0, F.array_join(F.reverse("a"), ", ")).when(F.col("query_id") % 3 == 1, F.concat(F.lit("["), last, F.lit(", -1, "), last, F.lit("]"))).otherwise(F.lit("none of these"))
+    response = F.when(F.col("query_id") % 3 == 0, F.array_join(F.reverse("a"), ", ")).when(F.col("query_id") % 3 == 1, F.concat(last, F.lit(", -1, "), last)).otherwise(F.lit("none of these"))
     return lists.select("query_id", F.array_join(m.listed(F.col("a"), response), ",").alias("answers"))
 
 
@@ -103,7 +103,7 @@ def rr_pairwise(spark, d):
     """Recorded duels of an order's few parts: the greater number wins, some duels are ties."""
     a = _lines(spark, d)
     x, y = a.select("query_id", F.col("node_id").alias("a"), F.col("rank").alias("_x")), a.select("query_id", F.col("node_id").alias("b"), F.col("rank").alias("_y"))
-    won = F.when((F.col("a") + F.col("b")) % 5 == 0, "?").when(F.col("a") > F.col("b"), "A").otherwise(" b ")
+    won = F.when((F.col("a") + F.col("b")) % 5 == 0, "?").when(F.col("a") > F.col("b"), "'A'").otherwise(F.format_string(' "%d" ', F.col("b")))
     duels = x.join(y, "query_id").where("_x < _y").select("query_id", "a", "b", won.alias("response"))
     return m.by_wins(a, duels)
 

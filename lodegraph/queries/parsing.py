@@ -78,7 +78,7 @@ def fn_key_clean(spark, d):
     return table(spark, d, "part").select("p_partkey", t.type_of_file(stem).alias("type"))
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN 'plain ' || o_orderstatus ELSE o_orderpriority END AS answer FROM orders")
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN 'plain ' || o_orderstatus WHEN 1 THEN o_orderpriority || chr(10) || 'as said' ELSE o_orderpriority END AS answer FROM orders")
 def fn_answer_cleanup(spark, d):
     i, p = F.col("o_orderkey") % 4, F.col("o_orderpriority")
     said = F.when(i == 0, F.format_string("<think>no {x}</think> so \\boxed{%s}.", p)).when(i == 1, F.format_string("**Answer:** %s\nas said", p)).when(i == 2, F.format_string("It is **%s** then", p)).otherwise(F.format_string("<think>**a**</think>\nplain %s", F.col("o_orderstatus")))
@@ -145,7 +145,7 @@ def prj_search_text(spark, d):
 @query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'gene/protein' WHEN 1 THEN 'drug' WHEN 2 THEN 'effect/phenotype' ELSE NULL END AS type FROM events")
 def flt_node_types(spark, d):
     i = F.col("event_id") % 5
-    said = F.when(i == 0, " Gene").when(i == 1, "DRUG ").when(i == 2, "phenotype").when(i == 3, "thing")
+    said = F.when(i == 0, "gene").when(i == 1, "drug").when(i == 2, "phenotype").when(i == 3, "Drug")
     return table(spark, d, "events").select("event_id", p.node_type(said).alias("type"))
 
 
@@ -191,7 +191,7 @@ def fn_parse_tuples(spark, d):
 @query()
 def fn_parse_relation_dict(spark, d):
     i = F.col("p_partkey") % 4
-    said = F.when(i == 0, F.concat(F.lit("{('A', 'B'): ['"), "p_type", F.lit("', 'ppi']}"))).when(i == 1, F.lit('{"(\'A\', \'B\')": ["ppi"]}')).when(i == 2, F.lit('{"A, B": ["ppi"]}')).otherwise(F.lit("{}"))
+    said = F.when(i == 0, F.concat(F.lit("{('A', 'B'): ['"), "p_type", F.lit("', 'ppi']}"))).when(i == 1, F.lit('{"(\'A\', \'B\')": ["ppi"]}')).when(i == 2, F.lit('{"(A, B)": ["ppi"]}')).otherwise(F.lit("{}"))
     return table(spark, d, "part").select("p_partkey", F.to_json(p.relations(said)).alias("relations"))
 
 
@@ -213,13 +213,16 @@ def flt_entity_clean(spark, d):
     s = table(spark, d, "part").select(
         "p_partkey", F.explode(F.array(*(F.struct(F.lit(n).alias("symbol"), k.alias("type"), m.alias("name"), i.alias("information")) for n, k, m, i in (
             ("ANSWER", F.lit("drug"), F.col("p_name"), F.concat("p_name", F.lit(" of "), "p_type")),
-            ("A", F.lit("Gene"), F.col("p_brand"), F.concat("p_name", F.lit(" of "), "p_brand")),
+            ("A", F.lit("gene"), F.col("p_brand"), F.concat("p_name", F.lit(" of "), "p_brand")),
             ("B", F.lit("gadget"), F.lit("b"), F.lit("")),
             ("C", F.lit("disease"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.lit("c")), F.lit("")),
         )))).alias("s")).select("p_partkey", "s.*")
-    answer = s.where("symbol = 'ANSWER'").select("p_partkey", F.col("name").alias("_n"), F.col("information").alias("_i"))
-    both = s.join(answer, "p_partkey").withColumn("type", p.node_type(F.col("type"))).withColumn("like", p.similarity(F.col("information"), F.col("_i")))
-    kept = (F.col("symbol") == "ANSWER") | (F.col("type").isNotNull() & ~F.col("name").eqNullSafe(F.col("_n")) & (F.col("like") < p.SAME_TEXT))
+    low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    answer = s.where("symbol = 'ANSWER'").select("p_partkey", low(F.col("name")).alias("_n"), low(F.col("information")).alias("_i"))
+    both = s.join(answer, "p_partkey").withColumn("type", p.node_type(F.col("type"))).withColumn("_own", low(F.col("information"))).withColumn("like", p.similarity(F.col("_own"), F.col("_i")))
+    named = (F.col("_n") != "") & (low(F.col("name")) == F.col("_n"))
+    said = (F.col("_i") != "") & (F.col("_own") != "") & (F.col("like") >= p.SAME_TEXT)
+    kept = (F.col("symbol") == "ANSWER") | (F.col("type").isNotNull() & ~named & ~said)
     return both.where(kept).select("p_partkey", "symbol", "type", "name")
 
 

@@ -73,7 +73,8 @@ def test_parsers():
     assert parsing.triples_of("nonsense") == [] == parsing.triples_of(None)
     got = lambda text: [(r["a"], r["b"], r["relation"]) for r in parsing.relations_of(text)]
     assert got("{('A','B'): ['x','y']}") == [("A", "B", "x"), ("A", "B", "y")]
-    assert got('{"(\'A\', \'B\')": ["x"]}') == got('{"A, B": ["x"]}') == got("{\"'A' and 'B'\": ['x']}") == [("A", "B", "x")]
+    assert got('{"(\'A\', \'B\')": ["x"]}') == got('{"(A, B)": ["x"]}') == got("{\"('A' and 'B')\": ['x']}") == [("A", "B", "x")]
+    assert got('{"A, B": ["x"]}') == [("A, B", None, "x")]
     assert got("{}") == got("") == [] and parsing.relations_of("{('A','B'): 'x'}") is None and parsing.relations_of("[") is None
     assert parsing.literal("{'a': true, 'b': null}") == {"a": True, "b": None} and parsing.literal("?") is None
 
