@@ -1,6 +1,6 @@
 """Quality rules with the frequency of lines across documents, in DataFrame functions alone.
 
-A line, white space squeezed and A-Z lower-cased, is hashed; for each host and hash the distinct documents that hold it
+A line's words, lower-cased, are hashed; for each host and hash the distinct documents that hold it
 are counted. Lines held by more documents of the host than a limit are taken out, and a document that this leaves
 with too small a share of its words is rejected. Repeats within a document are found by sorting its own hashes, so only
 line hashes are shuffled, never text.
@@ -8,10 +8,12 @@ line hashes are shuffled, never text.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 #: Fewest words; most per cent of words in repeated windows; words of a window; documents of a host that may share a
 #: line; least share of words that must be left.
@@ -52,8 +54,9 @@ def _repeated_words(words: Column, window: int) -> Column:
     return F.when(F.size(words) > window, _bound(words, of)).otherwise(F.lit(0))
 
 
-def line_hash(line: Column) -> Column:
-    return F.xxhash64(F.btrim(F.regexp_replace(F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), _SPACE, " ")))
+def _line(line: Column) -> Column:
+    """(h, words): a hash of the line's words in lower case, and how many there are."""
+    return _bound(_words(F.lower(line)), lambda w: F.struct(F.xxhash64(w).alias("h"), F.size(w).alias("words")))
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -61,9 +64,10 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     n = docs.withColumn("_words", _words(body))
     n = n.withColumn("n_repeat_words", _repeated_words(F.col("_words"), WINDOW).cast("long"))
+    n = n.withColumn("word_chars", F.char_length(F.array_join("_words", "")).cast("long"))
     n = n.withColumn("n_words", F.size("_words").cast("long")).drop("_words")
-    n = n.withColumn("word_chars", F.char_length(F.regexp_replace(body, _SPACE, "")).cast("long"))
-    n = n.withColumn("n_symbols", (F.char_length(body) - F.char_length(F.translate(body, "#*$%&|<>", ""))).cast("long"))
+    plain = reduce(lambda rest, c: F.replace(rest, F.lit(c), F.lit("")), "#*$%&|<>", body)
+    n = n.withColumn("n_symbols", (F.char_length(body) - F.char_length(plain)).cast("long"))
     lines = F.filter(F.split(body, "\n"), lambda x: F.regexp_replace(x, _SPACE, "") != "")
     n = n.withColumn("n_dup_lines", _bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
     return n.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words")))
@@ -75,9 +79,9 @@ def frequent_lines(docs: DataFrame, text: str = "text", doc: str = "doc_id", hos
     ``line`` is a hash of host and normalised line, so that equal lines of other hosts stay apart; a null host is a
     host of its own. Documents are told apart by id; rows that repeat an id are one document.
     """
-    lines = F.explode(F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.struct(line_hash(x).alias("h"), F.size(_words(x)).alias("words"))), lambda x: x["words"] > 0))
+    lines = F.explode(F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), _line), lambda x: x["words"] > 0))
     every = docs.select(doc, F.xxhash64(text).alias("row"), F.xxhash64(F.coalesce(F.col(host), F.lit("\x00"))).alias("_host"), lines.alias("x"))
-    every = every.select(doc, "row", F.xxhash64("_host", "x.h").alias("line"), F.col("x.words").alias("words"))
+    every = written(every.select(doc, "row", F.xxhash64("_host", "x.h").alias("line"), F.col("x.words").alias("words")), "lines")
     return every, every.groupBy("line").agg(F.count_distinct(doc).alias("docs")).where(F.col("docs") > limit)
 
 
@@ -88,7 +92,7 @@ def judge(docs: DataFrame, text: str = "text", doc: str = "doc_id", host: str =
     ``limit`` documents of its host. Null and empty texts fail the base. Rows with a null id are measured, but their
     lines count for no document and none is taken from them. Columns named as the new ones are replaced.
     """
-    every, frequent = frequent_lines(docs, text, doc, host, limit)
+    every, frequent = frequent_lines(docs, text, doc, host, limit)  # read twice, so written once
     removed = every.join(frequent.select("line"), "line").groupBy(doc, "row").agg(F.sum("words").alias("n_line_words_removed"))
     removed = removed.groupBy(doc).agg(F.max("n_line_words_removed").alias("n_line_words_removed"))
     found = measure(docs, text).drop(text, "n_line_words_removed", "kept").join(removed, doc, "left")
