@@ -14,6 +14,7 @@ import base64
 import io
 from array import array
 from functools import lru_cache
+from pathlib import Path
 
 import ahocorasick
 import regex
@@ -28,9 +29,10 @@ PIECES, PAIRS = 200_000, 500_000
 
 
 def read_ranks(spark: SparkSession, path: str) -> bytes:
-    """A rank file (base64 token, space, rank) as bytes, through Spark's readers; at most a few MB."""
-    rows = spark.read.text(path if ":" in path.split("/")[0] else f"file://{path}", wholetext=True).collect()
-    return rows[0][0].encode()
+    """A rank file (base64 token, space, rank; at most a few MB) as bytes: the driver's own file, or by Spark's readers where the path has a scheme."""
+    if "://" not in path:
+        return Path(path).read_bytes()
+    return spark.read.text(path, wholetext=True).first()[0].encode()
 
 
 class Vocabulary:

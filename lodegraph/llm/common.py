@@ -34,7 +34,9 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='lodegraph-')}"
         spark.sparkContext.setCheckpointDir(root)
-    return root if ":" in root.split("/")[0] else f"file://{root}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)  # without a scheme, it is the default file system's
+    whole = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return re.sub("^file:/+", "file:///", whole)
 
 
 _written: list[tuple[SparkSession, str]] = []
