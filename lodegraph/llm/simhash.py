@@ -9,11 +9,16 @@ side without it. So no two meet twice in a segment. Pairs that meet are verified
 What keeps large groups linear: equal fingerprints are one; each member of a segment's bucket is first linked to one
 hub of the bucket; only pairs that these links leave in different clusters are then searched for, for the others add
 nothing to the components. Buckets above ``BLOCK`` members are compared block by block in different tasks.
+
+Texts of which 0.8 of the five-word shingles agree differ in some ten bits of a fingerprint over shingles, too many for
+this index, but in few bits of one over their words. ``sketches`` has two of these to find such texts by, and one over the
+shingles to verify them with.
 """
 
 from __future__ import annotations
 
 from array import array
+from collections import Counter
 
 import numpy as np
 import xxhash
@@ -21,32 +26,62 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, table, written
+from .common import add_columns, table, union_all, written
 from .components import components
 
-#: (first bit, bits) of each segment; differing bits that still link; members of a bucket that one task compares.
-SEGMENTS, LINK_BITS, BLOCK = ((0, 21), (21, 21), (42, 22)), 4, 4096
+#: (first bit, bits) of each segment; differing bits that still link; members of a bucket that one task compares; differing
+#: bits of the fingerprints over five-word shingles up to which similar words are taken for similar texts.
+SEGMENTS, LINK_BITS, BLOCK, CHECK_BITS = ((0, 21), (21, 21), (42, 22)), 4, 4096, 15
 
 
-def fingerprint_of(text: str | None, width: int = 4, seed: int = 42) -> int:
-    words = (text or "").encode().lower().split()  # on bytes both know ASCII only: A-Z, and \x20 \x09-\x0D
-    if not words:
-        return 0
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
+def _signed(bits: np.ndarray) -> int:
+    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little", signed=True)
+
+
+def shingle_hashes(words: list[bytes], width: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of every shingle, words joined by spaces; of all words where there are no more than ``width``."""
     line, ends, at = b" ".join(words), [], -1
     for w in words:
         at += len(w) + 1
         ends.append(at)
     if len(words) <= width:
-        hashes = np.array([xxhash.xxh64_intdigest(line, seed)], dtype=np.uint64)
-    else:
-        starts = [0, *(e + 1 for e in ends)]
-        digest = xxhash.xxh64_intdigest
-        hashes = np.frombuffer(array("Q", [digest(line[a:b], seed) for a, b in zip(starts, ends[width - 1 :])]), dtype=np.uint64)
-    ones = np.zeros(64, dtype=np.int64)
+        return np.array([xxhash.xxh64_intdigest(line, seed)], dtype=np.uint64)
+    starts, digest = [0, *(e + 1 for e in ends)], xxhash.xxh64_intdigest
+    return np.frombuffer(array("Q", [digest(line[a:b], seed) for a, b in zip(starts, ends[width - 1 :])]), dtype=np.uint64)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()  # on bytes both know ASCII only: A-Z, and \x20 \x09-\x0D
+
+
+def fingerprint_of(text: str | None, width: int = 4, seed: int = 42) -> int:
+    """A bit is 1 if it is in over half the shingles' hashes."""
+    words = words_of(text)
+    if not words:
+        return 0
+    hashes, ones = shingle_hashes(words, width, seed), np.zeros(64, dtype=np.int64)
     for k in range(0, len(hashes), 1 << 16):
-        ones += np.unpackbits(hashes[k : k + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * ones > len(hashes), bitorder="little")
-    return int.from_bytes(bits.tobytes(), "little", signed=True)
+        ones += _bits(hashes[k : k + (1 << 16)]).sum(axis=0, dtype=np.int64)
+    return _signed(2 * ones > len(hashes))
+
+
+def word_fingerprints(text: str | None, seeds: tuple[int, ...]) -> list[int]:
+    """A fingerprint for each seed, over the distinct words, each with weight 1 + ln(times): few bits change with a few words."""
+    counts = Counter(words_of(text))
+    if not counts:
+        return [0] * len(seeds)
+    weights = 1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))
+    out = []
+    for seed in seeds:
+        hashes, total = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in counts), np.uint64, len(counts)), np.zeros(64)
+        for k in range(0, len(hashes), 1 << 16):
+            total += weights[k : k + (1 << 16)] @ (2.0 * _bits(hashes[k : k + (1 << 16)]) - 1)
+        out.append(_signed(total > 0))
+    return out
 
 
 def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", keep_text: bool = True) -> DataFrame:
@@ -58,8 +93,18 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", keep_text:
     return add_columns(df, text, [T.StructField(out, T.LongType())], lambda: lambda texts: [[fingerprint_of(t) for t in texts]], keep_text)
 
 
-def _near(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= LINK_BITS
+def sketches(df: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """``df`` with what finds texts that share 0.8 or more of their five-word shingles: fp0, fp1 over words, and check over the shingles."""
+    fields = [T.StructField(c, T.LongType()) for c in ("fp0", "fp1", "check")]
+
+    def step():
+        return lambda texts: list(zip(*((*word_fingerprints(t, (42, 43)), fingerprint_of(t, 5)) for t in texts), strict=True))
+
+    return add_columns(df, text, fields, step, keep_text)
+
+
+def _near(a: str, b: str, bits: int = LINK_BITS) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
 
 
 def _segment(fp: Column, start: int, bits: int) -> Column:
@@ -72,59 +117,89 @@ def _exact(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("key", F.explode(keys))
 
 
-def _variants(nodes: DataFrame) -> DataFrame:
-    """A row for each segment with one bit blotted out: key has the segment, the bit's place and the other bits; side is the bit."""
+def _variants(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows for each segment with one bit blotted out, those whose bit is 0 and those whose bit is 1: key has the segment, the bit's place and the other bits."""
     places = [(k, start, bits, p) for k, (start, bits) in enumerate(SEGMENTS) for p in range(bits)]
-    rows = F.array(*(
-        F.struct(
-            F.lit((k << 40) | ((p + 1) << 32)).bitwiseOR(_segment(F.col("fp"), start, bits).bitwiseAND(F.lit(~(1 << p)))).alias("key"),
-            F.shiftrightunsigned(F.col("fp"), start + p).bitwiseAND(F.lit(1)).cast("tinyint").alias("side"),
-        ) for k, start, bits, p in places))
-    return nodes.withColumn("v", F.explode(rows)).select(*nodes.columns, "v.key", "v.side")
+    side = lambda start, p: F.shiftrightunsigned(F.col("fp"), start + p).bitwiseAND(F.lit(1))
+    key = lambda k, start, bits, p: F.lit((k << 40) | ((p + 1) << 32)).bitwiseOR(_segment(F.col("fp"), start, bits).bitwiseAND(F.lit(~(1 << p))))
+    of = lambda s: nodes.withColumn("key", F.explode(F.array_compact(F.array(*(F.when(side(start, p) == s, key(k, start, bits, p)) for k, start, bits, p in places)))))
+    return of(0), of(1)
 
 
-def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
-    """``rows`` dealt to pairs of blocks (i, j), i <= j, of their key; keys of up to ``block`` rows have the pair (0, 0).
+def _large(exact: DataFrame, block: int) -> DataFrame:
+    """(key, n): every key, exact or variant, that may have over ``block`` rows, and in how many blocks it goes.
 
-    ``mine`` is the row's block. Two rows of a key meet in just one pair of blocks: that of their own blocks.
+    A variant's rows are those of two exact segments, so only variants of an exact one with over half a block can be.
     """
-    large = rows.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("n"))
-    dealt = rows.join(large, "key", "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    dealt = dealt.withColumn("mine", F.when(F.col("n") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda x: F.struct(F.least(x, F.col("mine")).alias("i"), F.greatest(x, F.col("mine")).alias("j")))
-    return dealt.withColumn("pair", F.explode(pairs)).select(*rows.columns, "mine", "pair.i", "pair.j")
+    heavy = exact.groupBy("key").count().where(F.col("count") > block / 2)
+    variants = F.expr("transform(sequence(0, if(shiftright(key, 40) = 2, 21, 20)), p -> (key & shiftleft(255L, 40)) | shiftleft(cast(p + 1 as bigint), 32) | (key & (shiftleft(1L, 32) - 1) & ~shiftleft(1L, p)))")
+    every = heavy.select(F.explode(F.concat(F.array("key"), variants)).alias("key"), "count")
+    return written(every.groupBy("key").agg(F.ceil((F.sum("count") + block / 2) / block).cast("int").alias("n")), "large")
 
 
-def _pairs(rows: DataFrame, split: Column | None, block: int) -> DataFrame:
-    """Verified links (a, b) between rows of a key that lie in different clusters; ``split``: only between its sides 0 and 1."""
-    left, right = (rows, rows) if split is None else (rows.where("side = 0"), rows.where("side = 1"))
-    x, y = left.alias("x"), right.alias("y")
-    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+def _dealt(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """The rows of large keys, dealt to pairs of blocks (i, j), i <= j; ``mine`` is a row's block. Two rows meet in just the pair of their own blocks."""
+    blocks = rows.join(large, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda x: F.struct(F.least(x, F.col("mine")).alias("i"), F.greatest(x, F.col("mine")).alias("j")))
+    return blocks.withColumn("pair", F.explode(pairs)).select(*rows.columns, "mine", "pair.i", "pair.j")
+
+
+def _pairs(left: DataFrame, right: DataFrame, large: DataFrame | None, checked: int | None) -> DataFrame:
+    """Verified links (a, b) between rows that share a key and lie in different clusters; ``left`` = ``right``: each pair once."""
+    verified = (F.col("x.cluster") != F.col("y.cluster")) & _near("x.fp", "y.fp")
+    if left is right:
+        verified = verified & (F.col("x.node") < F.col("y.node"))
+    if checked is not None:
+        verified = verified & _near("x.check", "y.check", checked)
+    same = F.col("x.key") == F.col("y.key")
+    ends = [F.col("x.node").alias("a"), F.col("y.node").alias("b")]
+    if large is None:
+        return left.alias("x").join(right.alias("y"), same & verified).select(*ends)
+    few = [side.join(large, "key", "left_anti") for side in (left, right)]
+    many = [_dealt(side, large) for side in (left, right)]
+    met = same & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
     own = (F.least("x.mine", "y.mine") == F.col("x.i")) & (F.greatest("x.mine", "y.mine") == F.col("x.j"))
-    once = F.col("x.fp") < F.col("y.fp") if split is None else F.lit(True)
-    return x.join(y, met & own & once & (F.col("x.cluster") != F.col("y.cluster")) & _near("x.fp", "y.fp")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    cold = few[0].alias("x").join(few[1].alias("y"), same & verified).select(*ends)
+    return cold.union(many[0].alias("x").join(many[1].alias("y"), met & own & verified).select(*ends))
 
 
-def near_duplicates(prints: DataFrame, doc: str = "doc_id", block: int = BLOCK) -> DataFrame:
-    """(doc, fp, component_id): component_id is the least id among the documents that chains of links reach.
+def near_duplicates(prints: DataFrame, doc: str = "doc_id", block: int = BLOCK, fps: tuple[str, ...] = ("fp",), check: str | None = None, check_bits: int = CHECK_BITS) -> DataFrame:
+    """(doc, fps, check, component_id): component_id is the least id among the documents that chains of links reach.
 
-    ``prints`` has (doc, fp) and is read several times, so hand it over as a written table. Rows with a null id take
-    part and can lend no id; a component of such rows alone has a null id. Repeated rows stay repeated.
+    Documents are linked that differ in at most 4 bits in one of the fingerprints ``fps``, and, if there is a ``check``, in
+    at most ``check_bits`` bits of this. ``prints`` (doc, fps, check) is read several times, so hand it over as a written
+    table. Rows with a null id take part and can lend no id; a component of such rows alone has a null id. Repeated rows
+    stay repeated.
     """
-    nodes = written(prints.groupBy("fp").agg(F.min(doc).alias("least"), F.count("*").alias("docs")), "nodes")
-    exact = _exact(nodes.select("fp", "docs"))
-    hubs = exact.groupBy("key").agg(F.max_by("fp", F.struct("docs", "fp")).alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    starred = exact.join(hubs, "key").where((F.col("fp") != F.col("hub")) & _near("fp", "hub")).select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
-    first = written(components(starred, "stars"), "clusters")
-    named = nodes.join(first, nodes["fp"] == first["node"], "left").select("fp", F.coalesce("component", "fp").alias("cluster"))
+    columns = [*fps, *([check] if check else [])]
+    node = F.col(columns[0]) if len(columns) == 1 else F.xxhash64(*columns)
+    nodes = written(prints.groupBy(*columns).agg(F.min(doc).alias("least"), F.count("*").alias("docs")).withColumn("node", node), "nodes")
+    checked = check_bits if check else None
+    part = lambda df, fp, *more: df.select("node", F.col(fp).alias("fp"), *([F.col(check).alias("check")] if check else []), *more)
+
+    stars = []
+    for fp in fps:
+        exact = _exact(part(nodes, fp, "docs"))
+        whole = F.struct(*[c for c in exact.columns if c not in ("key", "docs")])
+        hubs = exact.groupBy("key").agg(F.max_by(whole, F.struct("docs", "node")).alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+        near = _near("fp", "hub.fp") & (_near("check", "hub.check", checked) if check else F.lit(True))
+        stars.append(exact.join(hubs, "key").where((F.col("node") != F.col("hub.node")) & near).select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct())
+    first = written(components(union_all(stars), "stars"), "clusters").withColumnRenamed("node", "_node")
+    named = nodes.join(first, F.col("node") == F.col("_node"), "left").withColumn("cluster", F.coalesce("component", "node")).drop("_node", "component", "least", "docs")
     named = written(named, "named")
-    found = _pairs(_in_blocks(_exact(named), block), None, block).union(_pairs(_in_blocks(_variants(named), block), F.col("side"), block))
-    clusters = named.where("fp <> cluster").select(F.col("fp").alias("a"), F.col("cluster").alias("b"))
-    whole = components(found.union(clusters), "links")
-    ends = nodes.join(whole, nodes["fp"] == whole["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("top"))
-    ends = written(ends, "ends")
+
+    found = [named.where("node <> cluster").select(F.col("node").alias("a"), F.col("cluster").alias("b"))]
+    for fp in fps:
+        mine = part(named, fp, "cluster")
+        exact = _exact(mine)
+        large = _large(exact, block)
+        large = None if large.isEmpty() else large
+        found += [_pairs(exact, exact, large, checked), _pairs(*_variants(mine), large, checked)]
+    whole = components(union_all(found), "links").withColumnRenamed("node", "_node")
+    ends = written(nodes.join(whole, F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("component", "node").alias("top")), "ends")
     tops = ends.groupBy("top").agg(F.min("least").alias("component_id"))
-    return prints.select(doc, "fp").join(ends.join(tops, "top").select("fp", "component_id"), "fp").select(doc, "fp", "component_id")
+    found_ids = ends.join(tops, "top").select("node", "component_id")
+    return prints.select(doc, *columns, node.alias("node")).join(found_ids, "node").select(doc, *columns, "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ def brute_print(text):
     return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
 
 
-def brute_components(prints):
+def brute_components(prints, linked=lambda a, b: bin(a ^ b).count("1") <= 4):
     """id -> least id of the chain, by union of all pairs."""
     top = {i: i for i, _ in prints}
 
@@ -31,7 +31,7 @@ def brute_components(prints):
 
     for i, a in prints:
         for j, b in prints:
-            if i < j and bin(a ^ b).count("1") <= 4:
+            if i < j and linked(a, b):
                 x, y = find(i), find(j)
                 top[max(x, y)] = min(x, y)
     return {i: find(i) for i, _ in prints}
@@ -107,5 +107,25 @@ def test_large_group_makes_few_links(spark):
         prints.add(center ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)))
     df = spark.createDataFrame([(i, signed(x)) for i, x in enumerate(sorted(prints))], "doc_id long, fp long")
     assert {x.component_id for x in s.near_duplicates(df).collect()} == {0}
-    nodes = df.select("fp", F.lit(0).cast("long").alias("cluster"))
-    assert s._pairs(s._in_blocks(s._exact(nodes), 100), None, 100).count() == 0
+    nodes = df.select(F.col("fp").alias("node"), "fp", F.lit(0).cast("long").alias("cluster"))
+    exact = s._exact(nodes)
+    assert s._pairs(exact, exact, s._large(exact, 100), None).count() == 0
+
+
+def test_near_copies_by_five_word_shingles(spark):
+    """Texts that share 0.8 or more of their shingles are put together, others are not."""
+    r = random.Random(11)
+    vocabulary = [f"{a}{b}" for a in ("ba", "ko", "mi", "tu", "re", "sa") for b in ("n", "l", "st", "r", "mm", "pe", "ti", "do")]
+    rows, group = [], {}
+    for g in range(60):
+        words = [r.choice(vocabulary) + str(r.randrange(40)) for _ in range(r.randrange(120, 400))]
+        for c in range(3):
+            mine = list(words)
+            for _ in range(c * len(words) // 100):
+                mine[r.randrange(len(mine))] = r.choice(vocabulary) + "x"
+            rows.append((len(rows), " ".join(mine)))
+            group[len(rows) - 1] = 3 * g
+    df = s.sketches(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {x.doc_id: x.component_id for x in s.near_duplicates(df, fps=("fp0", "fp1"), check="check", block=50).collect()}
+    assert all(got[i] == group[i] or got[i] == i or got[i] == i - 1 for i in got)  # nothing strange is put together
+    assert sum(got[i] == group[i] for i in got) >= 0.95 * len(got)
