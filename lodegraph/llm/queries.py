@@ -1,4 +1,8 @@
-"""The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
+"""The queries of this subpackage, and DuckDB SQL for those that SQL can express.
+
+SQL has no byte-pair encoding, XXH64, Feistel network, trained classifier, expectation-maximisation or false-discovery
+control; what needs these is tested against brute force.
+"""
 
 from .byte_bpe import op1_byte_bpe
 from .decontaminate import op9_decontaminate
@@ -13,4 +17,37 @@ from .warc import op5_warc
 
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_simhash, op4_pii, op5_warc, op6_toxicity, op7_secrets, op8_language, op9_decontaminate, op10_ngram_lm)}
 
-ORACLES: dict[str, str] = {}
+_QUALITY = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, greatest(1, len(ws) - 3))) AS i FROM w)),
+twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY 1),
+l AS (SELECT doc_id, source, x, list_filter(regexp_split_to_array(lower(x), '[\x20\x09-\x0D]+'), lambda y: y <> '') AS ws FROM (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS x FROM d)),
+lines AS (SELECT doc_id, source, x, array_to_string(ws, ' ') AS k, len(ws) AS n FROM l WHERE len(ws) > 0),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM lines GROUP BY 1),
+frequent AS (SELECT source, k FROM lines GROUP BY 1, 2 HAVING count(DISTINCT doc_id) > 10),
+removed AS (SELECT doc_id, sum(n)::BIGINT AS n FROM lines SEMI JOIN frequent USING (source, k) GROUP BY 1),
+m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+  coalesce(dups.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words, coalesce(removed.n, 0)::BIGINT AS n_line_words_removed
+  FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN dups USING (doc_id) LEFT JOIN removed USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND n_words - n_line_words_removed >= 0.5 * n_words AS kept FROM b"""
+
+_WARC = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages), g AS (SELECT h, max(page_id) AS first FROM p GROUP BY 1),
+r AS (SELECT p.*, CASE WHEN strlen(h) >= 1000 AND first <> page_id THEN first END AS refers_to FROM p JOIN g USING (h))
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to, coalesce(url, '') AS url FROM r"""
+
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_CONTAMINATED = f"""
+WITH i AS (SELECT item_id, {_WORDS} AS ws FROM benchmark), iw AS (SELECT DISTINCT item_id, least(10, len(ws)) AS n, array_to_string(ws[k:k + 9], ' ') AS key FROM (SELECT *, unnest(range(1, greatest(2, len(ws) - 8))) AS k FROM i WHERE len(ws) > 0)),
+d AS (SELECT doc_id, coalesce({_WORDS}, []) AS ws FROM documents), ns AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT doc_id, n, p, array_to_string(ws[p:p + n - 1], ' ') AS key FROM (SELECT doc_id, ws, n, unnest(range(1, greatest(1, len(ws) - n + 2))) AS p FROM d, ns)),
+hits AS (SELECT doc_id, p, n, item_id FROM dw JOIN iw USING (n, key)),
+c AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS x FROM (SELECT DISTINCT doc_id, p, n FROM hits)) GROUP BY 1),
+o AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM hits GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN o USING (doc_id)"""
+
+ORACLES: dict[str, str] = {"op2_quality": _QUALITY, "op5_warc": _WARC, "op9_decontaminate": _CONTAMINATED}
