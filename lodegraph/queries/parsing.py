@@ -182,20 +182,20 @@ def fn_validate_lists(spark, d):
     return table(spark, d, "events").select("event_id", valid.alias("valid"))
 
 
-@query()
+@query("""SELECT p_partkey, '[{"a":"A","b":"B","relation":"' || p_type || '"},{"a":"B","b":"ANSWER","relation":"' || p_size || '"}]' AS triples FROM part""")
 def fn_parse_tuples(spark, d):
     said = F.concat(F.lit("```python\n[('A', 'B', '"), "p_type", F.lit("'), ['x', 'y', 'z'], ('B', 'ANSWER', "), F.col("p_size").cast("string"), F.lit(")]\n```"))
     return table(spark, d, "part").select("p_partkey", F.to_json(p.triples(said)).alias("triples"))
 
 
-@query()
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '[{"a":"A","b":"B","relation":"' || p_type || '","ord":0},{"a":"A","b":"B","relation":"ppi","ord":1}]' WHEN 3 THEN '[]' ELSE '[{"a":"A","b":"B","relation":"ppi","ord":0}]' END AS relations FROM part""")
 def fn_parse_relation_dict(spark, d):
     i = F.col("p_partkey") % 4
     said = F.when(i == 0, F.concat(F.lit("{('A', 'B'): ['"), "p_type", F.lit("', 'ppi']}"))).when(i == 1, F.lit('{"(\'A\', \'B\')": ["ppi"]}')).when(i == 2, F.lit('{"(A, B)": ["ppi"]}')).otherwise(F.lit("{}"))
     return table(spark, d, "part").select("p_partkey", F.to_json(p.relations(said)).alias("relations"))
 
 
-@query()
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN props WHEN 3 THEN '{}' ELSE '{"a": true, "b": null}' END AS json FROM events""")
 def fn_safe_parse(spark, d):
     i = F.col("event_id") % 4
     said = F.when(i == 0, F.col("props")).when(i == 1, F.lit("{'a': True, 'b': None}")).when(i == 2, F.lit("{'a': true, 'b': null}")).otherwise(F.lit("oops"))
