@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import remainder, small_batches, table, written
 
-#: Rows of a block; entries that a bucket gets on average; buckets of context frequency, by powers of two; rounds of EM.
-BLOCK_ROWS, BUCKET_ENTRIES, CONTEXT_BUCKETS, EM_ROUNDS = 2048, 1_000_000, 24, 50
+#: Bytes of a long text; rows of a block; entries that a bucket gets on average; buckets of context frequency, by powers of two; rounds of EM.
+LONG_BYTES, BLOCK_ROWS, BUCKET_ENTRIES, CONTEXT_BUCKETS, EM_ROUNDS = 1 << 15, 2048, 1_000_000, 24, 50
 #: Steps of log2(bigram estimate / unigram estimate) in which held-out counts are gathered: 1/8 from -16 to 48.
 RATIO_STEPS, RATIO_LOW, RATIO_HIGH = 8, -16, 48
 #: What ends a text: a token of its own; and what stands before its first word.
@@ -89,9 +89,15 @@ _TOTALS = "block long, kind int, bucket int, own int, more binary, counts binary
 
 
 def _blocked(docs: DataFrame, text: str, train: Column, fold: Column, doc: str, block_rows: int) -> DataFrame:
-    """(doc, text, train, fold, block). A block is rows that stand together in a partition of the input: odd ones are the fold's."""
+    """(doc, text, train, fold, block). A block is rows that stand together in a partition of the input: odd ones are the fold's.
+
+    Texts above ``LONG_BYTES`` go in blocks of their own kind, with half the rows for each doubling, so a block's bytes are bounded.
+    """
     rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"), train.cast("int").alias("train"), (train & fold).cast("int").alias("fold"), F.monotonically_increasing_id().alias("_at"))
-    return rows.select("doc", "text", "train", "fold", (2 * F.floor(F.col("_at") / block_rows) + F.col("fold")).cast("long").alias("block"))
+    doublings = F.least(F.lit(63), F.ceil(F.log2(F.greatest(F.coalesce(F.octet_length("text"), F.lit(0)), F.lit(LONG_BYTES)) / float(LONG_BYTES))))
+    stretch = F.floor(F.col("_at") / F.greatest(F.lit(1.0), block_rows / F.pow(F.lit(2.0), "_doublings")))
+    rows = rows.withColumn("_doublings", doublings)
+    return rows.select("doc", "text", "train", "fold", (128 * stretch + 2 * F.col("_doublings") + F.col("fold")).cast("long").alias("block"))
 
 
 def _keys(block: Block, train: list[int]) -> Iterator[tuple]:
@@ -117,7 +123,7 @@ def _send(blocked: DataFrame, buckets: int) -> DataFrame:
         open_blocks: dict[int, tuple[Block, list[int]]] = {}
         for batch in batches:
             for text, t, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for old in [k for k in open_blocks if k // 2 != n // 2]:
+                for old in [k for k in open_blocks if k % 128 == n % 128 and k != n]:
                     yield _batch(rows_of(old, *open_blocks.pop(old)), _SENT)
                 block, train = open_blocks.setdefault(n, (Block(), []))
                 block.add(text)
