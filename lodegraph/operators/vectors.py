@@ -49,7 +49,8 @@ def cut(scored: DataFrame, cutoff: float | None) -> DataFrame:
     return scored if cutoff is None or cutoff <= 0 else scored.where(F.col("score") >= cutoff)
 
 
-def _block_best(nodes: DataFrame, block: list, k: int, typed: bool) -> DataFrame:
+def _block_best(nodes: DataFrame, block: list, k: int, typed: bool, by_type: bool) -> DataFrame:
+    """Each batch's best ``k`` for each question, and with ``by_type`` for each type, those that tie with the last one too."""
     ids = np.array([r["query_id"] for r in block], dtype=np.int64)
     matrix = np.array([r["embedding"] for r in block], dtype=np.float64)
     types = [r["node_type"] for r in block] if typed else None
@@ -63,15 +64,15 @@ def _block_best(nodes: DataFrame, block: list, k: int, typed: bool) -> DataFrame
             node, kind = batch.column(0).to_numpy(zero_copy_only=False), np.array(batch.column(1).to_pylist(), dtype=object)
             vectors = batch.column(2)
             scores = np.round(np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(vectors), -1) @ matrix.T, DIGITS)
-            out = []
+            of_type = {t: np.flatnonzero(kind == t) for t in set(kind)} if types is not None or by_type else {}
+            blank, whole, out = np.empty(0, dtype=np.int64), np.arange(len(node)), []
             for j in range(len(ids)):
-                at = np.flatnonzero(kind == types[j]) if types is not None else np.arange(len(node))
-                s = scores[at, j]
-                if len(at) > k:
-                    least = np.partition(s, len(s) - k)[len(s) - k]
-                    keep = s >= least  # ties at the border stay for the final ranking
-                    at, s = at[keep], s[keep]
-                out.append((np.full(len(at), ids[j]), node[at], kind[at], s))
+                for at in [of_type.get(types[j], blank)] if types is not None else of_type.values() if by_type else [whole]:
+                    s = scores[at, j]
+                    if len(at) > k:
+                        keep = s >= np.partition(s, len(s) - k)[len(s) - k]
+                        at, s = at[keep], s[keep]
+                    out.append((np.full(len(at), ids[j]), node[at], kind[at], s))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) if i != 2 else pa.array(np.concatenate(c).tolist(), pa.string()) for i, c in enumerate(zip(*out, strict=True))], names=["query_id", "node_id", "node_type", "score"])
 
     whole = nodes.where(F.col("embedding").isNotNull()).select(F.col("node_id").cast("long"), "node_type", "embedding")
@@ -89,7 +90,7 @@ def top_k(queries: DataFrame, nodes: DataFrame, k: int, cutoff: float | None = N
     for b in range(blocks):
         block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect() if blocks > 1 else queries.collect()
         if block:
-            parts.append(_block_best(nodes, block, k, typed))
+            parts.append(_block_best(nodes, block, k, typed, by_type))
     if not parts:
         empty = "query_id long, node_id long, node_type string, score double, rank int"
         return queries.sparkSession.createDataFrame([], empty)

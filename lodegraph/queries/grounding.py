@@ -64,6 +64,11 @@ def _exact(spark, d):
     return graph.query_emb(spark, d).select("query_id").join(n, F.floor(F.col("query_id") / 8) == F.floor(F.col("node_id") / 8)).select("query_id", "node_id")
 
 
+def _nearest(spark, d):
+    """As many as can be needed: eight ids at most are exact hits, and these don't count."""
+    return v.top_k(graph.query_emb(spark, d), graph.node_emb(spark, d), c.LIMIT + 8, typed=False)
+
+
 def _initial_sql(cutoff: float) -> str:
     return f"""WITH {NEAR}, h AS (SELECT query_id, count(*) AS hits FROM exact GROUP BY 1),
 o AS (SELECT s.query_id, s.node_id, s.score, row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.node_id) AS r FROM alls s ANTI JOIN exact USING (query_id, node_id) WHERE s.score >= {cutoff}),
@@ -73,19 +78,19 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id)
 
 @query(_initial_sql(0.2))
 def cand_initial(spark, d):
-    return c.initial(_exact(spark, d), all_scores(spark, d), cutoff=0.2)
+    return c.initial(_exact(spark, d), _nearest(spark, d), cutoff=0.2)
 
 
 @query(_initial_sql(0.3))
 def cand_initial_old(spark, d):
-    return c.initial(_exact(spark, d), all_scores(spark, d), cutoff=0.3, skip_when_full=True)
+    return c.initial(_exact(spark, d), _nearest(spark, d), cutoff=0.3, skip_when_full=True)
 
 
 @query(f"WITH {EMB} SELECT query_id, 'S' || node_type AS symbol, node_id, score, row_number() OVER (PARTITION BY query_id, node_type ORDER BY score DESC, node_id)::INT AS ord FROM alls QUALIFY ord <= 20")
 def cand_all_symbols(spark, d):
     """A symbol for every type: the nearest 20 of each, all symbols at once."""
-    top = v.ranked(all_scores(spark, d), ["query_id", "node_type"], name="ord").where("ord <= 20")
-    return top.select("query_id", F.concat(F.lit("S"), "node_type").alias("symbol"), "node_id", "score", "ord")
+    top = v.top_k(graph.query_emb(spark, d), graph.node_emb(spark, d), 20, typed=False, by_type=True)
+    return top.select("query_id", F.concat(F.lit("S"), "node_type").alias("symbol"), "node_id", "score", F.col("rank").alias("ord"))
 
 
 @query(f"""WITH {STATE}, ch AS (SELECT query_id, (query_id // 100 % 4) AS choice FROM q), pick AS (SELECT top.query_id, node_id FROM top JOIN ch ON top.query_id = ch.query_id AND top.seq = ch.choice)

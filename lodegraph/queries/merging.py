@@ -9,7 +9,7 @@ from ..operators import vectors as v
 from ..sources import graph
 from ..sources.tables import table
 from . import query
-from .vectors import EMB, all_scores
+from .vectors import EMB
 
 GRAPH = f"{EMB}, ga AS (SELECT q.query_id, emb.node_id, row_number() OVER (PARTITION BY q.query_id ORDER BY emb.node_id)::INT AS rank FROM q JOIN emb ON emb.node_id % 20 = (q.query_id // 100) % 20), near AS (SELECT query_id, node_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS n FROM sim WHERE score >= 0.2 QUALIFY n <= 40)"
 MERGED = f"""WITH {GRAPH}, al AS (SELECT unnest(range(12, 21)) AS alpha), used AS (SELECT query_id, alpha, node_id, rank FROM ga, al WHERE rank <= alpha), ct AS (SELECT query_id, alpha, count(*) AS a FROM used GROUP BY 1, 2),
@@ -46,7 +46,7 @@ def mrg_vss_old(spark, d):
 
 @query(f"WITH {EMB}, t AS (SELECT query_id, node_id, score FROM alls QUALIFY row_number() OVER (PARTITION BY query_id, node_type ORDER BY score DESC, node_id) <= 20) SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id)::INT AS rank FROM t QUALIFY rank <= 20")
 def fb_vss(spark, d):
-    return m.fallback(all_scores(spark, d))
+    return m.fallback(v.top_k(graph.query_emb(spark, d), graph.node_emb(spark, d), m.SIZE, typed=False, by_type=True))
 
 
 @query(f"WITH {EMB}, t AS (SELECT query_id, node_id, score FROM sim) SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id)::INT AS rank FROM t QUALIFY rank <= 20")

@@ -99,8 +99,7 @@ def src_node_ids_by_type(spark, d):
 @query(f"WITH {EMB} SELECT query_id, node_id, node_type, score, row_number() OVER (PARTITION BY query_id, node_type ORDER BY score DESC, node_id)::INT AS rank FROM alls QUALIFY rank <= {K}", name="vss_v1")
 def vss_v1(spark, d):
     """The same search with every type ranked by itself."""
-    scored = all_scores(spark, d)
-    return v.ranked(scored, ["query_id", "node_type"]).where(F.col("rank") <= K)
+    return v.top_k(graph.query_emb(spark, d), graph.node_emb(spark, d), K, typed=False, by_type=True)
 
 
 @query(f"WITH {EMB} SELECT q.query_id, emb.node_id, round(list_inner_product(q.e, emb.e), 6) AS score FROM q JOIN emb USING (node_type)")
