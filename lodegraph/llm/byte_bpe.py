@@ -163,6 +163,18 @@ class PrefixTable:
         return out[::-1]
 
 
+def _encoder(rank_file: bytes, pattern: str):
+    """A function from a text to its packed ids."""
+    ids_of, find = vocabulary_of(rank_file).pieces.__getitem__, regex.compile(pattern).finditer
+    return lambda text: b"".join(ids_of(m[0]) for m in find(text)) if text else b""
+
+
+def _decoder(rank_file: bytes):
+    """A function from packed ids to bytes; null to null."""
+    tokens = vocabulary_of(rank_file).bytes.__getitem__
+    return lambda packed: None if packed is None else b"".join(map(tokens, unpack(packed)))
+
+
 def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids", keep_text: bool = True) -> DataFrame:
     """``df`` with ``ids``: binary, the ids of the whole text as little-endian unsigned 32-bit integers.
 
@@ -173,23 +185,35 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: s
     held = df.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary file: under 1 MB
 
     def step():
-        ids_of, find = vocabulary_of(held.value).pieces.__getitem__, regex.compile(pattern).finditer
-
-        def one(text):
-            return b"".join(ids_of(m[0]) for m in find(text)) if text else b""
-
+        one = _encoder(held.value, pattern)
         return lambda texts: [[one(t) for t in texts]]
 
     return add_columns(df, text, [T.StructField(ids, T.BinaryType())], step, keep_text)
 
 
+def round_trip(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded", keep_text: bool = True) -> DataFrame:
+    """``encode``, then ``decode`` of the ids it gave, in one worker: ids and the bytes that they stand for."""
+    held = df.sparkSession.sparkContext.broadcast(ranks)
+
+    def step():
+        one, back = _encoder(held.value, pattern), _decoder(held.value)
+
+        def both(texts):
+            packed = [one(t) for t in texts]
+            return packed, [back(p) for p in packed]
+
+        return both
+
+    return add_columns(df, text, [T.StructField(ids, T.BinaryType()), T.StructField(out, T.BinaryType())], step, keep_text)
+
+
 def decode(df: DataFrame, ranks: bytes, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with ``out``: binary, the bytes of the tokens in ``ids``; null ids decode to null."""
     held = df.sparkSession.sparkContext.broadcast(ranks)
 
     def step():
-        tokens = {r: base64.b64decode(t) for t, r in ((a, int(b)) for a, b in (x.split() for x in held.value.splitlines() if x.strip()))}
-        return lambda packed: [[None if p is None else b"".join(map(tokens.__getitem__, unpack(p))) for p in packed]]
+        one = _decoder(held.value)
+        return lambda packed: [[one(p) for p in packed]]
 
     return add_columns(df, ids, [T.StructField(out, T.BinaryType())], step)
 
@@ -200,7 +224,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     ranks = read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    out = decode(encode(docs, ranks, public_tokenizers.PATTERN, keep_text=False), ranks)
+    out = round_trip(docs, ranks, public_tokenizers.PATTERN, keep_text=False)
     return out.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
@@ -209,4 +233,4 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-__all__ = ["Vocabulary", "PrefixTable", "encode", "decode", "read_ranks", "pack", "unpack", "op1_byte_bpe"]
+__all__ = ["Vocabulary", "PrefixTable", "encode", "decode", "round_trip", "read_ranks", "pack", "unpack", "op1_byte_bpe"]
