@@ -51,6 +51,11 @@ def test_as_the_library(docs, ranks, oracle):
         assert list(b.unpack(r.ids)) == oracle.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
 
 
+def test_in_one_worker(docs, ranks):
+    two, one = b.decode(b.encode(docs, ranks, P.PATTERN), ranks), b.round_trip(docs, ranks, P.PATTERN)
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
 def test_one_very_long_piece(ranks, oracle):
     v, text = b.Vocabulary(ranks), "ab" * 20_000
     assert list(b.unpack(v.pieces[text])) == oracle.encode_ordinary(text)
