@@ -23,13 +23,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of least id stays, of rows that repeat this id the first.
 
+    Where no document of a group has an id, one of each fingerprint stays.
     ``docs`` is a table, so its rows have the same numbers each time it is read; only these numbers meet the texts again.
     """
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    prints = written(simhash.fingerprints(numbered.select("doc_id", "_row", "text"), keep_text=False), "prints")
-    first = prints.groupBy("doc_id").agg(F.min("_row").alias("_row"))
-    groups = simhash.near_duplicates(prints).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    stay = first.join(groups, first["doc_id"].eqNullSafe(groups["doc_id"]), "left_semi").select("_row")
+    prints = written(simhash.sketches(numbered.select("doc_id", "_row", "text"), keep_text=False), "prints")
+    groups = simhash.near_duplicates(prints, fps=("fp0", "fp1"), check="check").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).drop("component_id").distinct()
+    same = prints["doc_id"].eqNullSafe(groups["doc_id"]) & (prints["fp0"] == groups["fp0"]) & (prints["fp1"] == groups["fp1"]) & (prints["check"] == groups["check"])
+    rows = prints.join(groups, same, "left_semi")
+    stay = rows.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("fp0", "fp1", "check"))).agg(F.min("_row").alias("_row")).select("_row")
     return numbered.join(stay, "_row", "left_semi").select(docs.columns)
 
 
@@ -49,7 +51,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = byte_bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    found = byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    found = byte_bpe.round_trip(docs, ranks, public_tokenizers.PATTERN)
     whole = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return found.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long")).withColumn("round_trip", whole).drop("decoded")
 
