@@ -141,14 +141,14 @@ class Pseudonyms:
         return _like(found, new.strftime("%Y%m%d") if iso else new.strftime("%d%m%Y"))
 
     def _email(self, found: str) -> str | None:
-        """The part before the @: its letters a-z and digits are permuted, a letter staying a letter; other letters become a-z first.
+        """The part before the @: its letters a-z and digits are permuted, a letter staying a letter of its case; other letters become a-z first.
 
-        Only what is made of a-z and digits can be turned back. The domain stays.
+        Only what is made of A-Z, a-z and digits can be turned back. The domain stays.
         """
         local, _, domain = found.rpartition("@")
         if local.startswith(".") and local.strip(".") == "":
             return None
-        plain = local.lower()
+        plain = "".join(low if len(low := c.lower()) == 1 else c for c in local)
         plain = "".join(c if c.isascii() else _LOCAL[int.from_bytes(hashlib.sha256(plain.encode() + str(i).encode()).digest()[:4], "big") % 26] for i, c in enumerate(plain))
         bases = [26 if c in _LOCAL else 10 if c.isdigit() else 0 for c in plain]
         value, size = 0, 1
@@ -165,7 +165,7 @@ class Pseudonyms:
                 out.append(_LOCAL[k] if b == 26 else str(k))
             else:
                 out.append(c)
-        return "".join(reversed(out)) + "@" + domain
+        return "".join(new.upper() if c.isupper() else new for c, new in zip(local, reversed(out), strict=True)) + "@" + domain
 
     def replace(self, text: str | None) -> tuple[str | None, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and what was replaced: (kind, start, end) in the given text."""

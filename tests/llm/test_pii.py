@@ -17,7 +17,7 @@ def test_permutations(size):
 
 CASES = [
     ("card 4845168114407329, end", "card"), ("4111 1111 1111 1111", "card"), ("ip 97.51.17.173.", "ip"), ("tel +1 (017) 555-7713 x", "phone"), ("born 1999-12-31", "date"),
-    ("am 24.12.2001 da", "date"), ("mail erpf.34@mail7.example.com, x", "email"), ("4845168114407329!! so", "card"),
+    ("am 24.12.2001 da", "date"), ("mail erpf.34@mail7.example.com, x", "email"), ("EAU.12@MAIL3.EXAMPLE.COM!! LE", "email"), ("Von Ab-c_9@x.org", "email"), ("4845168114407329!! so", "card"),
 ]
 
 
