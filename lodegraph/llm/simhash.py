@@ -197,7 +197,7 @@ def near_duplicates(prints: DataFrame, doc: str = "doc_id", block: int = BLOCK,
         found += [_pairs(exact, exact, large, checked), _pairs(*_variants(mine), large, checked)]
     whole = components(union_all(found), "links").withColumnRenamed("node", "_node")
     ends = written(nodes.join(whole, F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("component", "node").alias("top")), "ends")
-    tops = ends.groupBy("top").agg(F.min("least").alias("component_id"))
+    tops = written(ends.groupBy("top").agg(F.min("least").alias("component_id")), "tops")  # a side of its own, so that a join with a large component can be split
     found_ids = ends.join(tops, "top").select("node", "component_id")
     return prints.select(doc, *columns, node.alias("node")).join(found_ids, "node").select(doc, *columns, "component_id")
 
