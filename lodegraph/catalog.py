@@ -2,4 +2,4 @@
 
 from __future__ import annotations
 
-from .queries import ORACLES, QUERIES, analysis, evaluation, grounding, io, merging, parsing, runs, vectors  # noqa: F401
+from .queries import ORACLES, QUERIES, analysis, evaluation, grounding, io, merging, parsing, plans, runs, vectors  # noqa: F401
