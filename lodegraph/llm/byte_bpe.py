@@ -24,8 +24,9 @@ from pyspark.sql import types as T
 
 from .common import add_columns
 
-#: Pieces and pairs of tokens that a Python worker remembers; at the bound it starts afresh.
-PIECES, PAIRS = 200_000, 500_000
+#: Pieces and pairs of tokens that a Python worker remembers before it forgets those not met since it last did; characters of
+#: a text whose matches are listed at once.
+PIECES, PAIRS, LISTED = 200_000, 400_000, 1 << 20
 
 
 def read_ranks(spark: SparkSession, path: str) -> bytes:
@@ -48,6 +49,7 @@ class Vocabulary:
         self.finder.make_automaton()
         self.longest = max(map(len, self.rank))
         self.pairs: dict[int, bool] = {}
+        self.old_pairs: dict[int, bool] = {}
         self.pieces = _Pieces(self)
 
     def merged(self, data: bytes) -> list[int]:
@@ -62,25 +64,52 @@ class Vocabulary:
 
     def go_together(self, a: int, b: int) -> bool:
         """Whether the encoding of both tokens' bytes is the two; a = -1: whether b's is itself."""
+        key = (a + 1) << 32 | b
+        answer = self.old_pairs.get(key)
+        if answer is None:
+            before, alone = (self.bytes[a], [a]) if a >= 0 else (b"", [])
+            answer = self.merged(before + self.bytes[b]) == [*alone, b]
         if len(self.pairs) >= PAIRS:
-            self.pairs.clear()
-        before, alone = (self.bytes[a], [a]) if a >= 0 else (b"", [])
-        answer = self.pairs[(a + 1) << 32 | b] = self.merged(before + self.bytes[b]) == [*alone, b]
+            self.old_pairs, self.pairs = self.pairs, {}
+        self.pairs[key] = answer
         return answer
 
+    def tokens(self, data: bytes) -> list[int]:
+        """The encoding of a piece: its prefix table, made once and walked back."""
+        last: list[int] = []
+        known, ask, done = self.pairs.get, self.go_together, 0
+        for end, (length, token) in self.finder.iter(data.decode("latin-1")):
+            if end == done:
+                left = last[end - length] if length <= end else -1
+                fits = known((left + 1) << 32 | token)
+                if ask(left, token) if fits is None else fits:
+                    last.append(token)
+                    done += 1
+        out, at = [], len(data) - 1
+        while at >= 0:
+            out.append(token := last[at])
+            at -= len(self.bytes[token])
+        out.reverse()
+        return out
+
 
 class _Pieces(dict):
     """Packed ids by piece. A piece that is a token is that token."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            data = piece.encode()
+            whole = self.vocabulary.rank.get(data)
+            ids = pack([whole] if whole is not None else self.vocabulary.tokens(data))
         if len(self) >= PIECES:
+            self.old = dict(self)
             self.clear()
-        data = piece.encode()
-        whole = self.vocabulary.rank.get(data)
-        ids = self[piece] = pack([whole] if whole is not None else PrefixTable(self.vocabulary, data).tokens())
+        self[piece] = ids
         return ids
 
 
@@ -165,8 +194,14 @@ class PrefixTable:
 
 def _encoder(rank_file: bytes, pattern: str):
     """A function from a text to its packed ids."""
-    ids_of, find = vocabulary_of(rank_file).pieces.__getitem__, regex.compile(pattern).finditer
-    return lambda text: b"".join(ids_of(m[0]) for m in find(text)) if text else b""
+    ids_of, compiled = vocabulary_of(rank_file).pieces.__getitem__, regex.compile(pattern)
+
+    def one(text: str | None) -> bytes:
+        if not text:
+            return b""
+        return b"".join(map(ids_of, compiled.findall(text) if len(text) <= LISTED else (m[0] for m in compiled.finditer(text))))
+
+    return one
 
 
 def _decoder(rank_file: bytes):

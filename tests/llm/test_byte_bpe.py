@@ -61,6 +61,15 @@ def test_one_very_long_piece(ranks, oracle):
     assert list(b.unpack(v.pieces[text])) == oracle.encode_ordinary(text)
 
 
+def test_what_is_forgotten_is_found_again(ranks, oracle, monkeypatch):
+    monkeypatch.setattr(b, "PIECES", 5)
+    monkeypatch.setattr(b, "PAIRS", 5)
+    v, r = b.Vocabulary(ranks), random.Random(8)
+    for _ in range(300):
+        piece = "".join(r.choice("abéthe") for _ in range(r.randrange(1, 12)))
+        assert list(b.unpack(v.pieces[piece])) == oracle._core_bpe.encode_single_piece(piece.encode()) == b.PrefixTable(v, piece.encode()).tokens()
+
+
 def test_nothing(none, ranks):
     assert b.encode(none, ranks, P.PATTERN).count() == 0
 
