@@ -248,15 +248,15 @@ def reachable(starts: DataFrame, relations: DataFrame, edges: DataFrame, hops: i
     return whole.distinct()
 
 
-def ground(symbols: DataFrame, relations: DataFrame, candidates: DataFrame, edges: DataFrame, nodes: DataFrame, similar: DataFrame, policy: Policy = MAIN, hops: int = 3) -> DataFrame:
+def ground(symbols: DataFrame, relations: DataFrame, candidates: DataFrame, edges: DataFrame, nodes: DataFrame, similar: DataFrame, policy: Policy = MAIN, hops: int = 3, part: DataFrame | None = None) -> DataFrame:
     """(query_id, symbol, node_id, score, support, seq): every symbol's candidates, seq in the order they were found.
 
     ``symbols`` (query_id, symbol, ord, types), ``relations`` (query_id, src_sym, dst_sym, relation, ord), ``candidates``
     (query_id, symbol, node_id, score, ord), ``edges`` (src, relation, dst; symmetric), ``nodes`` (node_id, node_type), ``similar``
     (query_id, symbol, node_id, score); a symbol without similarities has no vector. ``hops`` bounds the part of the graph
-    that a question sees; a question's part must fit one task.
+    that a question sees, unless ``part``, what ``reachable`` gives, is at hand; a question's part must fit one task.
     """
-    part = reachable(candidates, relations, edges, hops)
+    part = reachable(candidates, relations, edges, hops) if part is None else part
     typed = part.join(nodes.select(F.col("node_id").alias("dst"), "node_type"), "dst", "left")
     blank = {"a": "string", "b": "string", "c": "string", "n": "long", "m": "long", "x": "double", "k": "int"}
 

@@ -36,6 +36,12 @@ class Graph:
     text_emb: DataFrame
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The frame with its lineage cut: a checkpoint in the folder that the session names, persisted where it names none."""
+    named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext.getCheckpointDir()
+    return df.checkpoint() if named else df.persist()
+
+
 def symbols_of(responses: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(query_id, symbol, ord, type, name, information, constant): the symbols of each question's first readable entity response."""
     asked = responses.where("stage = 'entities'").withColumn("e", parsing.entities(F.col("response")))
@@ -53,14 +59,17 @@ def relations_of(responses: DataFrame, settings: Settings = Settings()) -> DataF
 
 
 def answer(responses: DataFrame, graph: Graph, settings: Settings = Settings()) -> DataFrame:
-    """(query_id, node_id, rank, status): merged answers; FALLBACK where the graph gave none, by vectors alone."""
-    symbols, relations = symbols_of(responses, settings), relations_of(responses, settings)
+    """(query_id, node_id, rank, status): merged answers; FALLBACK where the graph gave none, by vectors alone.
+
+    What several stages read (symbols, relations, vector hits, candidates, reached edges, grounded answers) is written first.
+    """
+    symbols, relations = cut(symbols_of(responses, settings)), cut(relations_of(responses, settings))
     texts = symbols.select("query_id", "symbol", F.concat_ws(" ", "name", "information").alias("text"))
     asked = texts.join(graph.text_emb, "text").join(symbols.select("query_id", "symbol", F.col("type").alias("node_type")), ["query_id", "symbol"])
     # a symbol of a question is one searched vector, so both are one key for the search
-    keyed = asked.select("query_id", "symbol", F.xxhash64("query_id", "symbol").alias("_key"), "node_type", "embedding")
+    keyed = cut(asked.select("query_id", "symbol", F.xxhash64("query_id", "symbol").alias("_key"), "node_type", "embedding"))
     near = v.top_k(keyed.select(F.col("_key").alias("query_id"), "node_type", "embedding"), graph.node_emb, merging.NEAREST, settings.cutoff)
-    near = near.withColumnRenamed("query_id", "_key").join(keyed.select("_key", "query_id", "symbol"), "_key")
+    near = cut(near.withColumnRenamed("query_id", "_key").join(keyed.select("_key", "query_id", "symbol"), "_key"))
 
     others = symbols.where("symbol <> 'ANSWER'")
     key = lambda df: df.select(F.xxhash64("query_id", "symbol").alias("query_id"), "node_id", *[c for c in df.columns if c == "score"])
@@ -73,12 +82,14 @@ def answer(responses: DataFrame, graph: Graph, settings: Settings = Settings())
         recorded = responses.where("stage = 'anchor'").select("query_id", F.col("symbol"), candidates.choice_of(F.col("response"), F.lit(candidates.SHOWN)).alias("choice"))
         cands = candidates.promoted(cands, recorded.join(gate, ["query_id", "symbol"], "left_semi"), ["query_id", "symbol"])
 
-    part = grounding.reachable(cands, relations, graph.edges, settings.hops).select("query_id", F.col("dst").alias("node_id")).distinct()
+    cands = cut(cands)
+    seen = cut(grounding.reachable(cands, relations, graph.edges, settings.hops))
+    part = seen.select("query_id", F.col("dst").alias("node_id")).distinct()
     pairs = part.join(keyed.select("query_id", "symbol", F.col("embedding").alias("_q")), "query_id").join(graph.node_emb.select("node_id", "embedding"), "node_id")
     similar = pairs.select("query_id", "symbol", "node_id", v.dot("_q", "embedding").alias("score"))
     typed = symbols.select("query_id", "symbol", "ord", F.array("type").alias("types"))
-    grounded = grounding.ground(typed, relations, cands, graph.edges, graph.nodes, similar, settings.policy, settings.hops)
-    ranked = grounding.answers(grounded).select("query_id", "node_id", "rank")
+    grounded = grounding.ground(typed, relations, cands, graph.edges, graph.nodes, similar, settings.policy, settings.hops, seen)
+    ranked = cut(grounding.answers(grounded).select("query_id", "node_id", "rank"))
 
     near_answers = near.where("symbol = 'ANSWER'").select("query_id", "node_id", "node_type", "score")
     merged = merging.alpha_merged(ranked, near_answers, (settings.alpha, settings.alpha)).drop("alpha")
