@@ -13,7 +13,8 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
 
     Alternates the large-star and small-star steps: each node's larger neighbours, then each node and its smaller
     neighbours, move to the least neighbour, until every node hangs on its component's least node. Steps pre-aggregate
-    minima before they shuffle; the edge table is written after each round. Self-loops and repeated edges are fine,
+    minima before they shuffle; what a step joins is written first, so that the join with a node of very many neighbours can be
+    split, and nothing is computed twice. Self-loops and repeated edges are fine,
     null ends are dropped, no edges give no rows.
     """
     now = written(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
@@ -21,15 +22,16 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
         if now.isEmpty():
             break
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(smallest, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(smallest.select("u", F.col("m").alias("v"))).distinct()
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
+        large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
+        smallest = written(large.groupBy("u").agg(F.min("v").alias("m")), name)
+        small = large.join(smallest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(smallest.select("u", F.col("m").alias("v"))).distinct()
         after = written(small, name)
         mark = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
         same = after.agg(*mark).first() == now.agg(*mark).first()
-        remove(now.sparkSession, now.inputFiles()[0].rsplit("/", 1)[0])
+        for old in (now, least, large, smallest):
+            for path in {f.rsplit("/", 1)[0] for f in old.inputFiles()}:
+                remove(old.sparkSession, path)
         now = after
         if same:
             break
