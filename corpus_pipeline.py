@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import byte_bpe, decontaminate, language, pii, simhash
+from lodegraph.llm import byte_bpe, decontaminate, jaccard, language, pii
 from lodegraph.llm.common import table, written
 
 
@@ -23,15 +23,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of least id stays, of rows that repeat this id the first.
 
-    Where no document of a group has an id, one of each fingerprint stays.
+    Texts are linked that share 0.8 or more of their five-word shingles, all such and no others. Where no document of a
+    group has an id, one of each set of shingles stays.
     ``docs`` is a table, so its rows have the same numbers each time it is read; only these numbers meet the texts again.
     """
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    prints = written(simhash.sketches(numbered.select("doc_id", "_row", "text"), keep_text=False), "prints")
-    groups = simhash.near_duplicates(prints, fps=("fp0", "fp1"), check="check").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).drop("component_id").distinct()
-    same = prints["doc_id"].eqNullSafe(groups["doc_id"]) & (prints["fp0"] == groups["fp0"]) & (prints["fp1"] == groups["fp1"]) & (prints["check"] == groups["check"])
-    rows = prints.join(groups, same, "left_semi")
-    stay = rows.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("fp0", "fp1", "check"))).agg(F.min("_row").alias("_row")).select("_row")
+    rows = jaccard.groups(numbered).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = rows.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("node"))).agg(F.min("_row").alias("_row")).select("_row")
     return numbered.join(stay, "_row", "left_semi").select(docs.columns)
 
 
