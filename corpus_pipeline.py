@@ -21,15 +21,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of least id stays, of rows that repeat this id the first.
+    """Of each group of near-duplicates the document of least id stays, of its rows that repeat this id the first; a null id comes last.
 
-    Texts are linked that share 0.8 or more of their five-word shingles, all such and no others. Where no document of a
-    group has an id, one of each set of shingles stays.
+    Texts are linked that share 0.8 or more of their five-word shingles, all such and no others. An id that stands on rows of
+    several groups counts in each of them.
     ``docs`` is a table, so its rows have the same numbers each time it is read; only these numbers meet the texts again.
     """
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    rows = jaccard.groups(numbered).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = rows.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("node"))).agg(F.min("_row").alias("_row")).select("_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    stay = jaccard.groups(numbered).groupBy("top").agg(first.alias("first")).select("first._row")
     return numbered.join(stay, "_row", "left_semi").select(docs.columns)
 
 

@@ -47,3 +47,12 @@ def test_random_groups(spark, block, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/docs").withColumn("_row", F.monotonically_increasing_id())
     got = {x.doc_id: x.component_id for x in jaccard.groups(docs, block).collect()}
     assert got == brute_components([(i, shingle_set(t)) for i, t in enumerate(texts)], alike)
+
+
+def test_repeated_id_of_unrelated_texts(spark, tmp_path):
+    """An id on rows of two groups stands for both; groups without ids keep one row each."""
+    x, y, z = (" ".join(f"{k}{i}" for i in range(30)) for k in "xyz")
+    rows = [(1, x), (1, y), (2, y), (3, x), (1, x), (None, z), (None, z + " more"), (None, "quite another text without an id")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/docs")
+    kept = c.near_duplicates(spark, spark.read.parquet(f"{tmp_path}/docs"), "").collect()
+    assert sorted((str(r.doc_id), r.text[:2]) for r in kept) == [("1", "x0"), ("1", "y0"), ("None", "qu"), ("None", "z0")]
