@@ -5,14 +5,15 @@ from it, scores the neighbours against the symbol they would stand for, and adds
 go on until the answer is full or nothing is left. Two policies differ in how they choose, score and stop.
 
 The steps are DataFrame functions; a whole run is exact and order-dependent, so it is done question by question, each
-with only the part of the graph that it can reach, gathered by bounded expansion.
+with only the part of the graph that it comes to: a run that takes a candidate beyond the part gathered so far is run again
+with more, until none does.
 """
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -40,6 +41,12 @@ MAIN = Policy()
 ALTERNATIVE = Policy(neighbors=10, boost=0.15, answers=100, per_symbol=100, choose_by="score", unscored="half", epsilon=1e-6)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The frame with its lineage cut: a checkpoint in the folder that the session names, persisted where it names none."""
+    named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext.getCheckpointDir()
+    return df.checkpoint() if named else df.persist()
+
+
 def propagated(similarity: Column, source: Column, policy: Policy = MAIN) -> Column:
     """A new candidate's score: harmonic mean of its similarity and the decayed score of where it was reached from."""
     d, e = source * policy.decay, policy.epsilon
@@ -135,7 +142,9 @@ class Candidate:
 class Run:
     """One question's grounding, held in memory: its candidates, the edges and similarities that it can reach."""
 
-    def __init__(self, symbols: list[str], types: dict[str, set], relations: list[tuple[str, str, str]], edges: dict, kinds: dict, similar: dict, policy: Policy):
+    def __init__(self, symbols: list[str], types: dict[str, set], relations: list[tuple[str, str, str]], edges: dict, kinds: dict, similar: dict, policy: Policy, known: set | None = None):
+        #: The nodes whose edges are at hand; None: all.
+        self.known = known
         self.symbols, self.types, self.edges, self.kinds, self.similar, self.policy = symbols, types, edges, kinds, similar, policy
         self.around: dict[str, list] = defaultdict(list)
         for a, b, r in relations:
@@ -210,7 +219,12 @@ class Run:
                 c.waits, c.entries = c.score, 1
         c.paths[origin].append((source, source_score))
 
-    def all(self) -> dict[str, dict[int, Candidate]]:
+    def beyond(self) -> set[int]:
+        """Candidates that may yet be expanded and whose edges are not at hand."""
+        return {n for s in self.symbols if s != "ANSWER" and self.around[s] for n in self.held.get(s, {}) if n not in self.known and n not in self.done[s]}
+
+    def all(self) -> dict[str, dict[int, Candidate]] | None:
+        """None: the next candidate's edges are not at hand."""
         p, waiting = self.policy, [s for s in self.symbols if s != "ANSWER"]
         while True:
             moved, still = False, []
@@ -227,6 +241,8 @@ class Run:
                     continue
                 still.append(symbol)
                 if c.node not in self.done[symbol]:  # else the symbol's turn is lost
+                    if self.known is not None and self.around[symbol] and c.node not in self.known:
+                        return None
                     self.expand(symbol, c)
                     moved = True
             waiting = still
@@ -248,15 +264,42 @@ def reachable(starts: DataFrame, relations: DataFrame, edges: DataFrame, hops: i
     return whole.distinct()
 
 
-def ground(symbols: DataFrame, relations: DataFrame, candidates: DataFrame, edges: DataFrame, nodes: DataFrame, similar: DataFrame, policy: Policy = MAIN, hops: int = 3, part: DataFrame | None = None) -> DataFrame:
+def ground(symbols: DataFrame, relations: DataFrame, candidates: DataFrame, edges: DataFrame, nodes: DataFrame, similar: DataFrame | Callable[[DataFrame], DataFrame], policy: Policy = MAIN, hops: int = 3, part: DataFrame | None = None) -> DataFrame:
     """(query_id, symbol, node_id, score, support, seq): every symbol's candidates, seq in the order they were found.
 
     ``symbols`` (query_id, symbol, ord, types), ``relations`` (query_id, src_sym, dst_sym, relation, ord), ``candidates``
     (query_id, symbol, node_id, score, ord), ``edges`` (src, relation, dst; symmetric), ``nodes`` (node_id, node_type), ``similar``
-    (query_id, symbol, node_id, score); a symbol without similarities has no vector. ``hops`` bounds the part of the graph
-    that a question sees, unless ``part``, what ``reachable`` gives, is at hand; a question's part must fit one task.
+    (query_id, symbol, node_id, score), or what makes it from pairs (query_id, node_id); a symbol without similarities has
+    no vector. ``part``, what ``reachable`` gives, may be at hand. ``hops`` is how many steps are gathered at once and bounds
+    nothing: questions that come to a candidate further out are run again with the edges around what they hold. A question's
+    part must fit one task.
     """
-    part = reachable(candidates, relations, edges, hops) if part is None else part
+    starts = candidates.select("query_id", "node_id").distinct()
+    part = cut(reachable(candidates, relations, edges, hops) if part is None else part)
+    known = starts.union(part.select("query_id", "src")).distinct()
+    ended = []
+    while True:
+        pairs = part.select("query_id", F.col("dst").alias("node_id")).distinct()
+        found = cut(_attempt(symbols, relations, candidates, part, known, nodes, similar(pairs) if callable(similar) else similar, policy))
+        ended.append(found.where("symbol is not null"))
+        lacking = cut(found.where("symbol is null").select("query_id", "node_id"))
+        if lacking.isEmpty():
+            break
+        again = cut(lacking.select("query_id").distinct())
+        symbols, relations, candidates, part, known = (cut(df.join(again, "query_id", "left_semi")) for df in (symbols, relations, candidates, part, known))
+        more = cut(reachable(lacking, relations, edges, hops))
+        part = cut(part.unionByName(more.select(part.columns)).distinct())
+        known = cut(known.union(lacking).union(more.select("query_id", "src")).distinct())
+        if not callable(similar):
+            similar = similar.join(again, "query_id", "left_semi")
+    whole = ended[0]
+    for e in ended[1:]:
+        whole = whole.unionByName(e)
+    return whole
+
+
+def _attempt(symbols: DataFrame, relations: DataFrame, candidates: DataFrame, part: DataFrame, known: DataFrame, nodes: DataFrame, similar: DataFrame, policy: Policy) -> DataFrame:
+    """What ``ground`` gives for the questions whose edges in ``part`` suffice; of others the nodes to gather next, without a symbol."""
     typed = part.join(nodes.select(F.col("node_id").alias("dst"), "node_type"), "dst", "left")
     blank = {"a": "string", "b": "string", "c": "string", "n": "long", "m": "long", "x": "double", "k": "int"}
 
@@ -269,6 +312,7 @@ def ground(symbols: DataFrame, relations: DataFrame, candidates: DataFrame, edge
         .unionByName(rows(relations, "relation", a=col("src_sym"), b=col("dst_sym"), c=col("relation"), k=col("ord")))
         .unionByName(rows(candidates, "candidate", a=col("symbol"), n=col("node_id"), x=col("score"), k=col("ord")))
         .unionByName(rows(typed, "edge", c=col("relation"), n=col("src"), m=col("dst"), b=col("node_type")))
+        .unionByName(rows(known, "known", n=col("node_id")))
         .unionByName(rows(similar, "similar", a=col("symbol"), n=col("node_id"), x=col("score")))
     )
 
@@ -283,11 +327,13 @@ def ground(symbols: DataFrame, relations: DataFrame, candidates: DataFrame, edge
             kinds[int(r.m)] = r.b
         likeness = {(r.a, int(r.n)): float(r.x) for r in parts.get("similar", [])}
         likeness |= {(a, None): 0.0 for a, _ in list(likeness)}
-        run = Run([r.a for r in names], {r.a: set(filter(None, (r.b or "").split("\x1f"))) for r in names}, [(r.a, r.b, r.c) for r in ordered("relation")], edges_of, kinds, likeness, policy)
+        run = Run([r.a for r in names], {r.a: set(filter(None, (r.b or "").split("\x1f"))) for r in names}, [(r.a, r.b, r.c) for r in ordered("relation")], edges_of, kinds, likeness, policy, {int(r.n) for r in parts.get("known", [])})
         for r in ordered("candidate"):
             run.start(r.a, int(r.n), float(r.x))
         query = int(pdf["query_id"].iloc[0])
-        return pd.DataFrame(list(_found(query, run.all())), columns=["query_id", "symbol", "node_id", "score", "support", "seq"])
+        held = run.all()
+        out = list(_found(query, held)) if held is not None else [(query, None, n, None, None, None) for n in sorted(run.beyond())]
+        return pd.DataFrame(out, columns=["query_id", "symbol", "node_id", "score", "support", "seq"])
 
     return fed.groupBy("query_id").applyInPandas(one, "query_id long, symbol string, node_id long, score double, support int, seq int")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import parsing
 from ..operators import candidates, grounding, merging, metrics, runs
 from ..operators import vectors as v
+from ..operators.grounding import cut
 
 
 @dataclass(frozen=True)
@@ -36,12 +37,6 @@ class Graph:
     text_emb: DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The frame with its lineage cut: a checkpoint in the folder that the session names, persisted where it names none."""
-    named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext.getCheckpointDir()
-    return df.checkpoint() if named else df.persist()
-
-
 def symbols_of(responses: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(query_id, symbol, ord, type, name, information, constant): the symbols of each question's first readable entity response."""
     asked = responses.where("stage = 'entities'").withColumn("e", parsing.entities(F.col("response")))
@@ -83,12 +78,13 @@ def answer(responses: DataFrame, graph: Graph, settings: Settings = Settings())
         cands = candidates.promoted(cands, recorded.join(gate, ["query_id", "symbol"], "left_semi"), ["query_id", "symbol"])
 
     cands = cut(cands)
-    seen = cut(grounding.reachable(cands, relations, graph.edges, settings.hops))
-    part = seen.select("query_id", F.col("dst").alias("node_id")).distinct()
-    pairs = part.join(keyed.select("query_id", "symbol", F.col("embedding").alias("_q")), "query_id").join(graph.node_emb.select("node_id", "embedding"), "node_id")
-    similar = pairs.select("query_id", "symbol", "node_id", v.dot("_q", "embedding").alias("score"))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(keyed.select("query_id", "symbol", F.col("embedding").alias("_q")), "query_id").join(graph.node_emb.select("node_id", "embedding"), "node_id")
+        return both.select("query_id", "symbol", "node_id", v.dot("_q", "embedding").alias("score"))
+
     typed = symbols.select("query_id", "symbol", "ord", F.array("type").alias("types"))
-    grounded = grounding.ground(typed, relations, cands, graph.edges, graph.nodes, similar, settings.policy, settings.hops, seen)
+    grounded = grounding.ground(typed, relations, cands, graph.edges, graph.nodes, similar, settings.policy, settings.hops)
     ranked = cut(grounding.answers(grounded).select("query_id", "node_id", "rank"))
 
     near_answers = near.where("symbol = 'ANSWER'").select("query_id", "node_id", "node_type", "score")

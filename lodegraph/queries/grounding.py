@@ -246,9 +246,10 @@ def _ground(spark, d, policy):
     symbols = q.select("query_id", F.explode(F.array(*(F.struct(F.lit(s).alias("symbol"), F.lit(i).alias("ord")) for i, s in enumerate(("A", "B", "ANSWER"))))).alias("s")).select("query_id", "s.*")
     symbols = symbols.withColumn("types", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(F.lit("t"), i)))
     cands = state(spark, d).select("query_id", "symbol", "node_id", "score", F.col("seq").alias("ord"))
-    part = g.reachable(cands, relations(spark, d), graph.vector_edges(spark, d), 3)
-    pairs = part.select("query_id", F.col("dst").alias("node_id")).distinct()
-    similar = v.pair_scores(pairs, q, n).where("score is not null").select("query_id", F.explode(F.array(F.lit("B"), F.lit("ANSWER"), F.lit("A"))).alias("symbol"), "node_id", "score")
+
+    def similar(pairs):
+        return v.pair_scores(pairs, q, n).where("score is not null").select("query_id", F.explode(F.array(F.lit("B"), F.lit("ANSWER"), F.lit("A"))).alias("symbol"), "node_id", "score")
+
     return g.ground(symbols, relations(spark, d), cands, graph.vector_edges(spark, d), n, similar, policy).withColumn("score", F.round("score", 6))
 
 

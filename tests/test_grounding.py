@@ -88,3 +88,31 @@ def test_answers_tie_by_arrival(spark):
     df = spark.createDataFrame([(1, "ANSWER", 7, 0.5, 2, 0), (1, "ANSWER", 3, 0.5, 2, 1), (1, "ANSWER", 9, 0.9, 1, 2), (1, "A", 9, 2.0, 9, 0)], "query_id long, symbol string, node_id long, score double, support int, seq int")
     order = lambda how: [r.node_id for r in g.answers(df, how).orderBy("rank").collect()]
     assert order("main") == [7, 3, 9] and order("old") == [9, 7, 3]
+
+
+@pytest.mark.parametrize("alternative", [False, True])
+def test_registered_query_is_unbounded(spark, alternative):
+    """gr_ground and gr2_ground on the vectors' graph, at their registered setting, against the simulator on the whole graph."""
+    from lodegraph.operators import vectors as v
+    from lodegraph.queries import grounding as q
+    from lodegraph.sources import graph
+
+    sf, policy = "/root/testdata/sf0.001", g.ALTERNATIVE if alternative else g.MAIN
+    asked, n = graph.query_emb(spark, sf), graph.node_emb(spark, sf)
+    edges, kinds, starts, near = defaultdict(set), {r.node_id: r.node_type for r in n.collect()}, defaultdict(list), defaultdict(dict)
+    for r in graph.vector_edges(spark, sf).collect():
+        edges[r.src, r.relation].add(r.dst)
+    for r in q.state(spark, sf).orderBy("seq").collect():
+        starts[r.query_id].append(("A", r.node_id, r.score))
+    for r in v.pair_scores(asked.select("query_id").crossJoin(n.select("node_id")), asked, n).where("score is not null").collect():
+        near[r.query_id][r.node_id] = r.score
+    symbols, relations = ["A", "B", "ANSWER"], [("A", "B", "r0"), ("B", "ANSWER", "r1"), ("A", "ANSWER", "r1")]
+    types, rule = {s: {f"t{i}" for i in range(10)} for s in symbols}, {k: getattr(policy, k) for k in ("neighbors", "decay", "boost", "answers", "per_symbol")}
+    want = {}
+    for i, mine in starts.items():
+        held = simulated(symbols, types, relations, mine, edges, kinds, {s: near[i] for s in symbols}, **rule, alternative=alternative)
+        want |= {(i, s, m): x for s, of in held.items() for m, x in of.items()}
+    got = {(r.query_id, r.symbol, r.node_id): (r.score, r.support) for r in (q.gr2_ground if alternative else q.gr_ground)(spark, sf).collect()}
+    assert got.keys() == want.keys()
+    for k, (score, support) in want.items():
+        assert got[k] == (pytest.approx(score, abs=1e-6, rel=1e-6), support), k
