@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -43,13 +44,15 @@ def first_relations(relations: DataFrame) -> DataFrame:
 def _ways(edges: pd.Series, roots: pd.Series, hops: pd.Series) -> pd.Series:
     """Breadth-first ways over one question's edges, each layer in the order in which its ways were found."""
 
-    def one(edges, root: str, most: int) -> list[dict]:
+    def one(edges, root: str, most: int | None) -> list[dict]:
         around = defaultdict(list)
         for e in sorted(edges, key=lambda e: e["ord"]):
             around[e["a"]].append((e["b"], e["relation"]))
             around[e["b"]].append((e["a"], e["relation"]))
         found, layer = ({root: (0, root)} if root in around else {}), [root]
-        for h in range(1, most + 1):
+        for h in count(1):
+            if not layer or (most is not None and h > most):
+                break
             reached = []
             for s in layer:
                 for other, relation in around[s]:
@@ -59,18 +62,18 @@ def _ways(edges: pd.Series, roots: pd.Series, hops: pd.Series) -> pd.Series:
             layer = reached
         return [{"symbol": s, "hops": h, "path": p} for s, (h, p) in found.items()]
 
-    return pd.Series([one(*x) for x in zip(edges, roots, hops, strict=True)])
+    return pd.Series([one(*x) for x in zip(edges, roots, (None if pd.isna(h) else int(h) for h in hops), strict=True)])
 
 
-def shortest_paths(relations: DataFrame, root: str = "ANSWER", hops: int = 4) -> DataFrame:
-    """(query_id, symbol, hops, path): the shortest way from the root to every symbol that ``hops`` steps reach.
+def shortest_paths(relations: DataFrame, root: str = "ANSWER", hops: int | None = None) -> DataFrame:
+    """(query_id, symbol, hops, path): the shortest way from the root to every symbol that it reaches, in at most ``hops`` steps if given.
 
     Relations count both ways, and only the first between two symbols. Of equally short ways the one that earlier
     relations lead along is taken. A question's relations, as many as a model's answer names, meet in one row, so one
     shuffle does; a question without the root has no rows.
     """
     kept = first_relations(relations).groupBy("query_id").agg(F.collect_list(F.struct("a", "b", "relation", "ord")).alias("edges"))
-    return kept.select("query_id", F.inline(_ways("edges", F.lit(root), F.lit(hops))))
+    return kept.select("query_id", F.inline(_ways("edges", F.lit(root), F.lit(hops).cast("int"))))
 
 
 def failure_causes(rows: DataFrame, mode: str = "strict") -> DataFrame:
