@@ -61,11 +61,16 @@ def node_type(value: Column) -> Column:
     return F.when(spelled.isin(*NODE_TYPES), spelled)
 
 
+def without_marks(text: str) -> str:
+    """A text without code fence marks and the blanks around it."""
+    return re.sub(r"```(?:json|python)?", "", text).strip()
+
+
 def literal(text: str | None):
     """The Python value that a text denotes; null, None, true and false are understood in either language; no value: None."""
     if not text or not text.strip():
         return None
-    bare = re.sub(r"```(?:json|python)?", "", text).strip()
+    bare = without_marks(text)
     for read in (json.loads, ast.literal_eval, lambda t: ast.literal_eval(re.sub(r"\b(true|false|null)\b", lambda m: {"true": "True", "false": "False", "null": "None"}[m[0]], t))):
         try:
             return read(bare)
@@ -77,7 +82,7 @@ def literal(text: str | None):
 def triples_of(text: str | None) -> list[dict]:
     """The 3-tuples of a list as (a, b, relation); lists in their place and other values are left out."""
     try:
-        found = ast.literal_eval(re.sub(r"```(?:json|python)?", "", text or "").strip())
+        found = ast.literal_eval(without_marks(text or ""))
     except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
         return []
     if not isinstance(found, (list, tuple, set)):
@@ -85,39 +90,43 @@ def triples_of(text: str | None) -> list[dict]:
     return [dict(zip(("a", "b", "relation"), map(str, t), strict=True)) for t in found if isinstance(t, tuple) and len(t) == 3]
 
 
-def pair_of(key) -> tuple[str, str] | None:
-    """The two symbols that a key names: a pair, or text in round brackets that is a literal pair, two quoted names, or names on either side of a comma."""
-    if isinstance(key, tuple):
-        return (str(key[0]), str(key[1])) if len(key) == 2 else None
+#: What the text of a pair is made of: a quoted name, a comma, or a run of anything else.
+_PIECE = re.compile(r"""(?P<name>"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')|(?P<comma>,)|(?P<rest>[^,"']+|["'])""")
+
+
+def symbols_of(key) -> list[str]:
+    """The symbols that a map's key names: two for a pair, which may be written as text in round brackets; else the key alone.
+
+    In brackets, names may be quoted, with anything between them, or stand bare on either side of the first comma.
+    """
+    if isinstance(key, tuple) and len(key) == 2:
+        return [str(x) for x in key]
     text = str(key).strip()
-    if not (text.startswith("(") and text.endswith(")")):
-        return None
-    value = literal(text)
-    if isinstance(value, (tuple, list)) and len(value) == 2:
-        return str(value[0]), str(value[1])
-    quoted = re.findall(r"""["']([^"']*)["']""", text)
-    if len(quoted) == 2:
-        return quoted[0], quoted[1]
-    left, comma, right = text[1:-1].partition(",")
-    return (left.strip(" \"'"), right.strip(" \"'")) if comma else None
+    if text[:1] + text[-1:] != "()":
+        return [str(key)]
+    names, sides = [], [""]
+    for piece in _PIECE.finditer(text, 1, len(text) - 1):
+        if piece["name"]:
+            names.append(re.sub(r"\\(.)", r"\1", piece["name"][1:-1]))
+        if piece["comma"] and len(sides) == 1:
+            sides.append("")
+        else:
+            sides[-1] += piece[0]
+    if len(names) == 2:
+        return names
+    return [side.strip(" \t\r\n\"'") for side in sides] if len(sides) == 2 else [str(key)]
 
 
 def relations_of(text: str | None) -> list[dict] | None:
-    """(a, b, relation, ord) of a map from pairs to lists of relations; empty text gives none, an unreadable one or a value that is no list null."""
-    bare = re.sub(r"```(?:json|python)?", "", text or "").strip()
-    if bare in ("", "{}"):
-        return []
-    found = literal(bare)
-    if not isinstance(found, dict):
+    """(a, b, relation, ord) of a map from pairs to lists of relations; b is null where a key is no pair.
+
+    Blank text and an empty map give none; text that denotes no map, and a map that has anything but lists, give null.
+    """
+    found = literal(text) if text and without_marks(text) else {}
+    if not isinstance(found, dict) or not all(isinstance(v, (list, tuple)) for v in found.values()):
         return None
-    out = []
-    for key, relations in found.items():
-        pair = pair_of(key)
-        if not isinstance(relations, (list, tuple)):
-            return None
-        for r in relations:
-            out.append({"a": pair[0] if pair else str(key), "b": pair[1] if pair else None, "relation": str(r), "ord": len(out)})
-    return out
+    named = [(*symbols_of(key), None)[:2] + (str(r),) for key, of_pair in found.items() for r in of_pair]
+    return [{"a": a, "b": b, "relation": r, "ord": k} for k, (a, b, r) in enumerate(named)]
 
 
 _NAMED = [T.StructField(c, T.StringType()) for c in ("a", "b", "relation")]

@@ -9,10 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Candidates of a symbol; least similarity; the same two of the earlier pipeline.
+from ..functions.text import without_fence
+
+#: Fixed values. Candidates of a symbol; least similarity; the same two of the earlier pipeline.
 LIMIT, CUTOFF, OLD_CUTOFF = 20, 0.65, 0.75
-#: The anchor check: candidates looked at, distinct ones shown, scores that make it unneeded, score of the chosen one.
+#: Fixed values. The anchor check: candidates looked at, distinct ones shown, scores that make it unneeded, score of the chosen one.
 LOOKED_AT, SHOWN, SURE, LIKELY, CHOSEN = 15, 3, 1.0, 0.80, 0.99
+#: Fixed values. Longest answer in which a bare digit counts, and the digits that do.
+SHORT_ANSWER, DIGITS = 20, ("0", "1", "2", "3", "4", "5")
 
 
 def exact_names(asked: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -59,17 +63,22 @@ def promoted(candidates: DataFrame, choices: DataFrame, key: list[str]) -> DataF
     return moved.withColumn("ord", F.row_number().over(w)).drop("_is", "_chosen")
 
 
+def _first_object(text: Column) -> Column:
+    """The text from its first opening brace to the next closing one; null where it has no such."""
+    behind = F.substr(text, F.greatest(F.instr(text, "{"), F.lit(1)))
+    return F.when(behind.startswith("{") & behind.contains("}"), F.concat(F.substring_index(behind, "}", 1), F.lit("}")))
+
+
 def choice_of(answer: Column, n: Column) -> Column:
     """The number that an answer gives, in 0..n, else 0.
 
-    It is the ``choice`` of the answer's JSON, in a fence or not, or of its first braces. Only where these are no JSON,
-    a lone digit 0 to 5 of a text of at most 20 characters counts.
+    The answer, or the first object in it, is read as JSON, and its ``choice`` counts. Where there is an object that can't be read
+    and the answer is no longer than ``SHORT_ANSWER``, the first word that is one of ``DIGITS`` counts.
     """
-    bare = F.trim(F.regexp_replace(F.coalesce(answer, F.lit("")), r"```(?:json)?\s*([\s\S]*?)\s*```", "$1"))
-    braces = F.regexp_extract(bare, r"(\{[\s\S]*?\})", 1)
-    given = lambda text: F.from_json(text, "map<string,string>")
-    number = lambda m: F.coalesce(F.try_element_at(m, F.lit("choice")), F.lit("0")).try_cast("double").cast("int")
-    readable = F.coalesce(F.when(given(bare).isNotNull(), number(given(bare))), F.when(given(braces).isNotNull(), number(given(braces))))
-    digit = F.when((braces != "") & (F.char_length(bare) <= 20), F.nullif(F.regexp_extract(bare, r"\b([0-5])\b", 1), F.lit("")).try_cast("int"))
-    found = F.coalesce(readable, digit, F.lit(0))
-    return F.when(found.between(0, n), found).otherwise(0)
+    said = F.coalesce(without_fence(answer), F.lit(""))
+    objects = F.filter(F.transform(F.array(said, _first_object(said)), lambda x: F.from_json(x, "map<string,string>")), lambda m: m.isNotNull())
+    given = F.when(F.size(objects) > 0, F.coalesce(F.try_element_at(F.get(objects, F.lit(0)), F.lit("choice")).try_cast("double").cast("int"), F.lit(0)))
+    digits = F.filter(F.split(said, "[^0-9A-Za-z_]+"), lambda w: w.isin(*DIGITS))
+    guessed = F.when(_first_object(said).isNotNull() & (F.char_length(said) <= SHORT_ANSWER), F.get(digits, F.lit(0)).cast("int"))
+    number = F.coalesce(given, guessed, F.lit(0))
+    return F.when(number.between(0, n), number).otherwise(0)

@@ -166,3 +166,18 @@ def test_ablations(spark, world):
     s = answering.Settings(verify_relations=False, verify_anchor=False)
     said = spark.createDataFrame([(1, "relations", 1, "{('A', 'ANSWER'): ['made up']}")], "query_id long, stage string, attempt int, response string")
     assert answering.relations_of(said, s).count() == 1 and answering.relations_of(said).count() == 0
+
+
+@pytest.mark.parametrize(
+    "key, symbols",
+    [("('A', 'B')", ["A", "B"]), ('("Crohn\'s", "B")', ["Crohn's", "B"]), ("(A, ANSWER)", ["A", "ANSWER"]), ("('A', B)", ["A", "B"]), ("(A)", ["(A)"]), ("A, B", ["A, B"]), (("A", "B"), ["A", "B"]), ("(A, B, C)", ["A", "B, C"]), (7, ["7"]), ("", [""]), ("(", ["("])],
+)
+def test_symbols_of_keys(key, symbols):
+    assert parsing.symbols_of(key) == symbols
+
+
+def test_choices(spark):
+    said = ['{"choice": 2}', '```json\n{"choice": "1"}\n```', 'so {"choice": 3} it is', '{"a": {"b": 1}, "choice": 2}', "{choice: 2}", "2", '{"choice": 9}', '{"other": 1}', "{x} or 4", "{none of these, but perhaps 2}", "", None]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(said)], "k int, x string")
+    got = [r.c for r in df.select("k", candidates.choice_of(F.col("x"), F.lit(3)).alias("c")).orderBy("k").collect()]
+    assert got == [2, 1, 3, 2, 2, 0, 0, 0, 0, 0, 0, 0]
