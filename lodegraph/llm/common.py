@@ -131,6 +131,17 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     return simple[type(kind)]
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of one's own, that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def remainder(column: str | Column, modulus: int) -> Column:
     """crc32 of an id's decimal text, modulo ``modulus``; a null id counts as empty text."""
     id_ = F.col(column) if isinstance(column, str) else column

@@ -8,18 +8,16 @@ line hashes are shuffled, never text.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import spare, table, written
 
 #: Fewest words; most per cent of words in repeated windows; words of a window; documents of a host that may share a
 #: line; least share of words that must be left.
 LEAST_WORDS, REPEATED_PERCENT, WINDOW, LINE_LIMIT, LEAST_LEFT = 10, 20, 5, 10, 0.5
 
-_SPACE = r"[\x20\x09-\x0D]+"
+_SPACE, _WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
 
 
 def _words(text: Column) -> Column:
@@ -34,24 +32,20 @@ def _bound(value: Column, body) -> Column:
 def _repeated_words(words: Column, window: int) -> Column:
     """Words that lie in a window found twice or more: windows sorted by their hash stand beside their equals."""
 
-    def of(words: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(words) - window)
-        shingle = lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(window)))
-        in_order = F.array_sort(F.transform(starts, lambda i: F.struct(shingle(i).alias("h"), i.alias("i"))))
-        return _bound(in_order, covered)
-
-    def covered(rows: Column) -> Column:
-        n = F.size(rows)
-        twice = F.filter(
-            F.zip_with(rows, F.concat(F.slice(rows, 2, n - 1), F.array(F.lit(None).cast("struct<h:bigint,i:int>"))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
-            lambda p: p["a"]["h"] == p["b"]["h"],
-        )
-        places = F.array_sort(F.array_distinct(F.flatten(F.transform(twice, lambda p: F.array(p["a"]["i"], p["b"]["i"])))))
+    def of(hashes: Column) -> Column:
+        n = F.size(hashes) - window + 1
+        windows = F.arrays_zip(*(F.slice(hashes, k + 1, n) for k in range(window)))
+        in_order = F.sort_array(F.transform(windows, lambda w, i: F.struct(F.xxhash64(w).alias("h"), i.alias("i"))))
+        return _bound(in_order, lambda rows: covered(rows, n))
+
+    def covered(rows: Column, n: Column) -> Column:
+        beside = F.zip_with(rows, F.slice(rows, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
+        places = F.sort_array(F.array_distinct(F.flatten(F.array_compact(beside))))
         first = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
         add = lambda acc, i: F.struct((acc["n"] + i + window - F.greatest(acc["end"], i)).alias("n"), (i + window).alias("end"))
         return F.aggregate(places, first, add)["n"]
 
-    return F.when(F.size(words) > window, _bound(words, of)).otherwise(F.lit(0))
+    return F.when(F.size(words) > window, _bound(F.transform(words, lambda w: F.xxhash64(w)), of)).otherwise(F.lit(0))
 
 
 def _line(line: Column) -> Column:
@@ -62,42 +56,51 @@ def _line(line: Column) -> Column:
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; null texts have no words."""
     body = F.coalesce(F.col(text), F.lit(""))
-    n = docs.withColumn("_words", _words(body))
-    n = n.withColumn("n_repeat_words", _repeated_words(F.col("_words"), WINDOW).cast("long"))
-    n = n.withColumn("word_chars", F.char_length(F.array_join("_words", "")).cast("long"))
-    n = n.withColumn("n_words", F.size("_words").cast("long")).drop("_words")
-    plain = reduce(lambda rest, c: F.replace(rest, F.lit(c), F.lit("")), "#*$%&|<>", body)
-    n = n.withColumn("n_symbols", (F.char_length(body) - F.char_length(plain)).cast("long"))
-    lines = F.filter(F.split(body, "\n"), lambda x: F.regexp_replace(x, _SPACE, "") != "")
+    (words,) = spare(docs, "words")
+    n = docs.withColumn(words, _words(body))
+    n = n.withColumn("n_repeat_words", _repeated_words(F.col(words), WINDOW).cast("long"))
+    n = n.withColumn("word_chars", F.char_length(F.array_join(words, "")).cast("long"))
+    n = n.withColumn("n_words", F.size(words).cast("long")).drop(words)
+    n = n.withColumn("n_symbols", (F.char_length(body) - F.char_length(F.translate(body, "#*$%&|<>", ""))).cast("long"))
+    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(_WORD))
     n = n.withColumn("n_dup_lines", _bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
     return n.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words")))
 
 
+def _host(host: str) -> Column:
+    return F.coalesce(F.col(host), F.lit("\x00"))
+
+
 def frequent_lines(docs: DataFrame, text: str = "text", doc: str = "doc_id", host: str = "source", limit: int = LINE_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """Every document's lines (doc, row, line, words), and the lines in more than ``limit`` documents of a host.
+    """Every document's lines (doc, row, at, line, words), and the lines in more than ``limit`` documents of a host.
 
-    ``line`` is a hash of host and normalised line, so that equal lines of other hosts stay apart; a null host is a
-    host of its own. Documents are told apart by id; rows that repeat an id are one document.
+    ``row`` is a hash of text and host, ``at`` the line's place in the text. ``line`` is a hash of host and normalised line, so that
+    equal lines of other hosts stay apart; a null host is a host of its own. Documents are told apart by id; rows that
+    repeat an id are one document.
     """
-    lines = F.explode(F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), _line), lambda x: x["words"] > 0))
-    every = docs.select(doc, F.xxhash64(text).alias("row"), F.xxhash64(F.coalesce(F.col(host), F.lit("\x00"))).alias("_host"), lines.alias("x"))
-    every = written(every.select(doc, "row", F.xxhash64("_host", "x.h").alias("line"), F.col("x.words").alias("words")), "lines")
-    return every, every.groupBy("line").agg(F.count_distinct(doc).alias("docs")).where(F.col("docs") > limit)
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x, i: F.struct(i.alias("at"), _line(x).alias("of"))), lambda x: x["of"]["words"] > 0)
+    every = docs.select(F.col(doc).alias("doc"), F.xxhash64(text, _host(host)).alias("row"), F.xxhash64(_host(host)).alias("host"), F.explode(lines).alias("x"))
+    every = written(every.select("doc", "row", "x.at", F.xxhash64("host", "x.of.h").alias("line"), F.col("x.of.words").alias("words")), "lines")
+    return every, every.groupBy("line").agg(F.count_distinct("doc").alias("docs")).where(F.col("docs") > limit)
 
 
 def judge(docs: DataFrame, text: str = "text", doc: str = "doc_id", host: str = "source", limit: int = LINE_LIMIT, least_left: float = LEAST_LEFT) -> DataFrame:
     """The documents' measures without their texts, with n_line_words_removed and kept.
 
     A document is kept if the base rules pass it and at least ``least_left`` of its words stand in lines of at most
-    ``limit`` documents of its host. Null and empty texts fail the base. Rows with a null id are measured, but their
-    lines count for no document and none is taken from them. Columns named as the new ones are replaced.
+    ``limit`` documents of its host. Null and empty texts fail the base. Every row is judged by its own text and host, also where
+    ids are repeated. Rows with a null id are measured, but their lines count for no document and none is taken from them.
+    Other columns stay; columns named as the new ones are replaced.
     """
     every, frequent = frequent_lines(docs, text, doc, host, limit)  # read twice, so written once
-    removed = every.join(frequent.select("line"), "line").groupBy(doc, "row").agg(F.sum("words").alias("n_line_words_removed"))
-    removed = removed.groupBy(doc).agg(F.max("n_line_words_removed").alias("n_line_words_removed"))
-    found = measure(docs, text).drop(text, "n_line_words_removed", "kept").join(removed, doc, "left")
-    gone = F.coalesce("n_line_words_removed", F.lit(0)).cast("long")
-    return found.withColumn("n_line_words_removed", gone).withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - gone >= least_left * F.col("n_words")))
+    mine, row, gone = spare(docs, "of_doc", "of_row", "removed")
+    once = every.where("doc is not null").join(frequent.select("line"), "line").groupBy("doc", "row", "at").agg(F.first("words").alias("words"))  # a row that is repeated loses each line once
+    removed = once.groupBy("doc", "row").agg(F.sum("words").alias(gone)).withColumnsRenamed({"doc": mine, "row": row})
+    keyed = docs.withColumn(row, F.xxhash64(text, _host(host)))
+    found = measure(keyed, text).drop(text, "n_line_words_removed", "kept")
+    found = found.join(removed, (found[doc] == removed[mine]) & (found[row] == removed[row]), "left").drop(mine, row)
+    found = found.withColumn("n_line_words_removed", F.coalesce(gone, F.lit(0)).cast("long")).drop(gone)
+    return found.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_line_words_removed") >= least_left * F.col("n_words")))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,19 +18,19 @@ from .warc import op5_warc
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_simhash, op4_pii, op5_warc, op6_toxicity, op7_secrets, op8_language, op9_decontaminate, op10_ngram_lm)}
 
 _QUALITY = r"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
-w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
-win AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, greatest(1, len(ws) - 3))) AS i FROM w)),
-twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
-covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY 1),
-l AS (SELECT doc_id, source, x, list_filter(regexp_split_to_array(lower(x), '[\x20\x09-\x0D]+'), lambda y: y <> '') AS ws FROM (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS x FROM d)),
-lines AS (SELECT doc_id, source, x, array_to_string(ws, ' ') AS k, len(ws) AS n FROM l WHERE len(ws) > 0),
-dups AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM lines GROUP BY 1),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(1)) AS source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+win AS (SELECT r, i, array_to_string(ws[i:i + 4], ' ') AS k FROM (SELECT r, ws, unnest(range(1, greatest(1, len(ws) - 3))) AS i FROM w)),
+twice AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, k) > 1),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY 1),
+l AS (SELECT r, doc_id, source, x, list_filter(regexp_split_to_array(lower(x), '[\x20\x09-\x0D]+'), lambda y: y <> '') AS ws FROM (SELECT r, doc_id, source, unnest(string_split(t, chr(10))) AS x FROM d)),
+lines AS (SELECT r, doc_id, source, x, array_to_string(ws, ' ') AS k, len(ws) AS n FROM l WHERE len(ws) > 0),
+dups AS (SELECT r, count(*) - count(DISTINCT x) AS n FROM lines GROUP BY 1),
 frequent AS (SELECT source, k FROM lines GROUP BY 1, 2 HAVING count(DISTINCT doc_id) > 10),
-removed AS (SELECT doc_id, sum(n)::BIGINT AS n FROM lines SEMI JOIN frequent USING (source, k) GROUP BY 1),
+removed AS (SELECT r, sum(n)::BIGINT AS n FROM lines SEMI JOIN frequent USING (source, k) WHERE doc_id IS NOT NULL GROUP BY 1),
 m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
   coalesce(dups.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words, coalesce(removed.n, 0)::BIGINT AS n_line_words_removed
-  FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN dups USING (doc_id) LEFT JOIN removed USING (doc_id)),
+  FROM w LEFT JOIN covered USING (r) LEFT JOIN dups USING (r) LEFT JOIN removed USING (r)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT *, NOT base_failed AND n_words - n_line_words_removed >= 0.5 * n_words AS kept FROM b"""
 

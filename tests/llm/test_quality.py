@@ -63,10 +63,23 @@ def test_repeats_and_ties(spark):
     check(spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string"), 2)
 
 
+def test_repeated_ids(spark):
+    """Twelve documents share a line: a row that stands twice loses it once, and a second text under an id loses its own lines only."""
+    shared = "a line of these words"
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(9))
+    rows = [(i, f"{shared}\n{own(i)}", "h") for i in range(12)] + [(0, f"{shared}\n{own(0)}", "h")] * 2
+    rows += [(1, "\n".join([shared] * 4), "h"), (1, own("z") + " and more", "h"), (None, f"{shared}\n{own(5)}", "h"), (2, f"{shared}\n{own(2)}", "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.n_line_words_removed, r.kept) for r in q.judge(df).collect())
+    want = [(i, 14, 5, True) for i in range(12)] + [(0, 14, 5, True)] * 2 + [(1, 20, 20, False), (1, 11, 0, True), (-1, 14, 0, True), (2, 14, 0, True)]
+    assert got == sorted(want)
+
+
 def test_nothing_and_clashes(docs, none):
     assert q.judge(none).count() == 0
-    out = q.judge(clash(docs, "kept", "n_words", "_words"))
+    out = q.judge(clash(docs, "kept", "n_words", "_words", "words", "row", "of_row", "removed"))
     assert out.where("kept = true").count() > 0 and "extra" in out.columns
+    assert out.where("words = 'mine' and _words = 'mine' and row = 'mine' and of_row = 'mine' and removed = 'mine'").count() == docs.count()
 
 
 def test_native(docs):
