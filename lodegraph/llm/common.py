@@ -131,6 +131,32 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     return simple[type(kind)]
 
 
+def bounded(drawn: DataFrame, by: str, text: str, most_bytes: int) -> DataFrame:
+    """Of a drawn sample (some thousands of rows), so many rows of each ``by`` that their texts together stay under ``most_bytes``, shorter texts first.
+
+    A row of (``by``, bytes, times) is all that is gathered to choose; each ``by`` gets the same share of the bytes.
+    """
+    kept = written(drawn, "drawn")
+    (size,) = spare(kept, "bytes")
+    sized = kept.withColumn(size, F.octet_length(text))
+    by_size: dict = {}
+    for r in sized.groupBy(by, size).count().collect():
+        by_size.setdefault(r[0], []).append((r[1], r["count"]))
+    share, cuts = most_bytes / max(1, len(by_size)), []
+    for group, sizes in by_size.items():
+        held, cut = 0, 0
+        for bytes_, times in sorted(sizes):
+            held += bytes_ * times
+            if held > share:
+                break
+            cut = bytes_
+        cuts.append((group, cut))
+    if not cuts:
+        return kept
+    limits = kept.sparkSession.createDataFrame(cuts, T.StructType([T.StructField("_of", kept.schema[by].dataType), T.StructField("_most", T.LongType())]))
+    return sized.join(F.broadcast(limits), (F.col(by) == F.col("_of")) & (F.col(size) <= F.col("_most")), "left_semi").drop(size)  # a row for each group
+
+
 def spare(df: DataFrame, *names: str) -> list[str]:
     """Names for columns of one's own, that no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}

@@ -3,14 +3,15 @@
 Fitting: the log-odds of each word between toxic and clean documents, with a Dirichlet prior that follows the words'
 overall frequency; words whose log-odds stand out of their standard error score it, every other word costs ``DRIFT``.
 Scanning: all maximal scoring segments in one linear pass. The best segments of clean text follow an extreme-value law,
-P(S >= x) = 1 - exp(-K n exp(-L x)); L is the root of the background's moment equation, K comes from the fitted clean
-documents. A document's significant segments are added up on that scale, and a logistic curve turns the sum into the
+P(S >= x) = 1 - exp(-K n exp(-L x)); L is the root of the background's moment equation, K comes from clean documents that
+the words were not learnt from. A document's significant segments are added up on that scale, and a logistic curve turns the sum into the
 probability of label 1.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -19,11 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, remainder, table
+from .common import add_columns, bounded, remainder, table
 
-#: Labelled documents of each class that are fitted to; least z and log-odds of a scoring word; cost of any other word; most that a
-#: word may score; level of a significant segment; words that the lexicon may hold.
-FIT_DOCS, LEAST_Z, LEAST_ODDS, DRIFT, MOST, LEVEL, LEXICON = 4000, 3.0, 1.0, 0.5, 6.0, 0.05, 50_000
+#: Labelled documents of each class that are fitted to, and bytes of their texts; folds that K and the curve are fitted in.
+FIT_DOCS, FIT_BYTES, FOLDS = 4000, 32 << 20, 3
+#: Least z and log-odds of a scoring word; cost of any other word; most that a word may score; level of a significant segment.
+LEAST_Z, LEAST_ODDS, DRIFT, MOST, LEVEL = 3.0, 1.0, 0.5, 6.0, 0.05
 #: Predicted toxic from this score on.
 CUT = 0.3
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
@@ -32,57 +34,88 @@ _WORD = regex.compile(r"[\p{L}\p{M}]+")
 def maximal_segments(scores: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, end, score) of a sequence given by its positive places (index, score).
 
-    Places between them cost ``drift`` each. Linear: every candidate is pushed and joined once (Ruzzo and Tompa 1999).
+    Places between them cost ``drift`` each. Linear (Ruzzo and Tompa 1999): every candidate keeps a link to the last one before
+    it whose left total is lower, so that a search passes over what an earlier search has passed over.
     """
-    found: list[list] = []  # first, end, total before it, total with it
+    found: list[tuple] = []  # first, end, total before it, total with it, link
     total, at = 0.0, None
     for index, score in scores:
         total -= drift * (index - at - 1) if at is not None else 0
-        found.append([index, index + 1, total, total + score])
+        first, left, j = index, total, len(found) - 1
         total, at = total + score, index
-        while len(found) > 1:
-            last = found[-1]
-            k = len(found) - 2
-            while k >= 0 and found[k][2] >= last[2]:
-                k -= 1
-            if k < 0 or found[k][3] >= last[3]:
-                break
-            found[k:] = [[found[k][0], last[1], found[k][2], last[3]]]
-    return [(a, b, right - left) for a, b, left, right in found]
+        while j >= 0 and found[j][2] >= left:
+            j = found[j][4]
+        while j >= 0 and found[j][3] < total:  # joined with j; what is before j's left total is known by j's link
+            first, _, left, _, link = found[j]
+            del found[j:]
+            j = link
+        found.append((first, index + 1, left, total, j))
+    return [(a, b, right - left) for a, b, left, right, _ in found]
 
 
-class Model:
-    """Lexicon, extreme-value constants and the logistic curve, from (text, toxic) rows and each class's true size."""
+def words_of(text: str | None) -> list[str]:
+    """The text's words in lower case, in the order of ``_WORD``'s matches in the text itself."""
+    if not text:
+        return []
+    low = text.lower()
+    return _WORD.findall(low) if len(low) == len(text) else [w.lower() for w in _WORD.findall(text)]
 
-    def __init__(self, rows: list[tuple[str, int]], sizes: dict[int, int]):
+
+class Taught:
+    """The distinct texts that are learnt from: their words, and which word stands behind which, by numbers."""
+
+    def __init__(self, rows: list[tuple[str, int]]):
         number: dict[str, int] = {}
-        pairs: dict[int, list[np.ndarray]] = {0: [], 1: []}
-        for text, y in sorted(set(rows)):
-            ids = np.array([number.setdefault(w, len(number)) for w in ["", *_WORD.findall(text.lower())]], dtype=np.int64)
-            pairs[y].append(np.unique(ids[:-1] << 32 | ids[1:]))
-        # a word counts once for each word that stands before it, so that near copies of a text add nothing
-        seen = {y: np.bincount(np.unique(np.concatenate(p)) & 0xFFFFFFFF, minlength=len(number)) if p else np.zeros(len(number), int) for y, p in pairs.items()}
-        n = {y: int(seen[y].sum()) for y in (0, 1)}
-        both, self.lexicon, background = n[0] + n[1], {}, {}
-        prior = max(1.0, min(n.values()))
-        for w, k in number.items():
-            if not seen[1][k]:
-                continue
-            a = prior * (seen[0][k] + seen[1][k]) / both
-            y1, y0 = seen[1][k] + a, seen[0][k] + a
-            odds = math.log(y1 / (n[1] + prior - y1)) - math.log(y0 / (n[0] + prior - y0))
-            z = odds / math.sqrt(1 / y1 + 1 / y0)
-            if z >= LEAST_Z and odds >= LEAST_ODDS:
-                self.lexicon[w] = (min(odds, MOST), z)
-                background[w] = y0 / (n[0] + prior)
-        kept = sorted(self.lexicon.items(), key=lambda x: (-x[1][1], x[0]))[:LEXICON]
-        self.lexicon = {w: s for w, (s, _) in kept}
-        self.rate = self._root([(self.lexicon[w], background[w]) for w in self.lexicon])
-        clean = [self._raw(t) for t, y in rows if y == 0]
-        least = min(self.lexicon.values(), default=1.0)
-        found = sum(s >= least for _, segments in clean for *_, s in segments) + 0.5
-        self.k = found / max(1, sum(n for n, _ in clean)) * math.exp(min(50.0, self.rate * least))
-        self.curve = self._logistic([(self.evidence(t)[0], y) for t, y in rows], sizes)
+        self.rows = sorted(set(rows))
+        self.words = [words_of(t) for t, _ in self.rows]
+        self.labels = np.array([y for _, y in self.rows], dtype=np.int64)
+        self.folds = np.array([zlib.crc32(t.encode()) % FOLDS for t, _ in self.rows], dtype=np.int64)
+        self.pairs = []
+        for words in self.words:
+            ids = np.array([number.setdefault(w, len(number)) for w in ["", *words]], dtype=np.int64)
+            self.pairs.append(np.unique(ids[:-1] << 32 | ids[1:]))
+        self.names = list(number)
+
+    def seen(self, kept: np.ndarray) -> np.ndarray:
+        """How often each word occurs, a word counting once for each word that stands before it, so that near copies of a text add nothing."""
+        pairs = [p for p, k in zip(self.pairs, kept, strict=True) if k]
+        return np.bincount(np.unique(np.concatenate(pairs)) & 0xFFFFFFFF, minlength=len(self.names)) if pairs else np.zeros(len(self.names), np.int64)
+
+
+class Lexicon:
+    """The words that score, and the rate of the extreme-value law of the background."""
+
+    def __init__(self, taught: Taught, kept: np.ndarray):
+        clean, toxic = (taught.seen(kept & (taught.labels == y)).astype(np.float64) for y in (0, 1))
+        n0, n1 = clean.sum(), toxic.sum()
+        prior = max(1.0, min(n0, n1))
+        drawn = prior * (clean + toxic) / max(1.0, n0 + n1)
+        y0, y1 = clean + drawn, toxic + drawn
+        with np.errstate(divide="ignore", invalid="ignore"):
+            odds = np.log(y1 / (n1 + prior - y1)) - np.log(y0 / (n0 + prior - y0))
+            chosen = np.flatnonzero((toxic > 0) & (odds / np.sqrt(1 / y1 + 1 / y0) >= LEAST_Z) & (odds >= LEAST_ODDS))
+        self.scores = {taught.names[k]: float(min(odds[k], MOST)) for k in chosen}
+        self.rate = self._root([(self.scores[taught.names[k]], float(y0[k] / (n0 + prior))) for k in chosen])
+
+    def segments(self, words: list[str], twice: frozenset[tuple[str, str]] | None = None) -> tuple[list[tuple[int, int, float]], list[tuple[int, tuple[str, str]]]]:
+        """The maximal segments that score, and the scoring places with their pairs (word before, word).
+
+        What a text repeats, word and word before, is no new evidence: it costs nothing, and scores once. Pairs in ``twice`` score each time.
+        """
+        found = [(i, (words[i - 1] if i else "", w)) for i, w in enumerate(words) if w in self.scores]
+        once: set[tuple[str, str]] = set()
+        scores = []
+        for i, pair in found:
+            new = pair not in once or (twice is not None and pair in twice)
+            once.add(pair)
+            scores.append((i, self.scores[pair[1]] if new else 0.0))
+        return [s for s in maximal_segments(scores, DRIFT) if s[2] > 0], found
+
+    def scale(self, clean: list[list[str]]) -> float:
+        """K of the law, from how often the least scoring segment stands in the words of ``clean`` texts, which the lexicon was not learnt from."""
+        least = min(self.scores.values(), default=1.0)
+        found = 0.5 + sum(s >= least for words in clean for *_, s in self.segments(words)[0])
+        return found / max(1, sum(map(len, clean))) * math.exp(min(50.0, self.rate * least))
 
     @staticmethod
     def _root(scores: list[tuple[float, float]]) -> float:
@@ -95,24 +128,25 @@ class Model:
             low, high = (mid, high) if value(mid) < 0 else (low, mid)
         return (low + high) / 2
 
-    def _raw(self, text: str | None):
-        words = _WORD.findall(text.lower()) if text else []
-        found = [(i, (words[i - 1] if i else "", w)) for i, w in enumerate(words) if w in self.lexicon]
-        once: set[tuple[str, str]] = set()  # what a text repeats, word and word before, is no new evidence: it costs nothing, and scores once
-        scores = [(i, 0.0 if pair in once or once.add(pair) else self.lexicon[pair[1]]) for i, pair in found]
-        return len(words), [s for s in maximal_segments(scores, DRIFT) if s[2] > 0]
-
-    def evidence(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
-        """Sum over the significant segments of L * S - ln(K n), and these as (first word, end, p)."""
-        n, segments = self._raw(text)
-        total, found = 0.0, []
-        for a, b, s in segments:
-            e = self.rate * s - math.log(max(self.k * n, 1e-300))
-            p = -math.expm1(-math.exp(min(50.0, -e)))
-            if p <= LEVEL:
-                total += e
-                found.append((a, b, p))
-        return total, found
+
+class Model:
+    """Lexicon, extreme-value constants and the logistic curve, from (text, toxic) rows and each class's true size.
+
+    K and the curve come from texts that the words were not learnt from: the rows go in ``FOLDS`` by a hash of the text, and each
+    fold is scored with the words of the others. The lexicon that is kept is that of all rows.
+    """
+
+    def __init__(self, rows: list[tuple[str, int]], sizes: dict[int, int]):
+        taught = Taught(rows)
+        self.words = Lexicon(taught, np.ones(len(taught.rows), bool))
+        points, scales = [], []
+        for f in range(FOLDS):
+            words, here = Lexicon(taught, taught.folds != f), np.flatnonzero(taught.folds == f)
+            k = words.scale([taught.words[i] for i in here if not taught.labels[i]])
+            scales.append(math.log(max(k, 1e-300)))
+            points += [(evidence(words, k, taught.words[i])[0], int(taught.labels[i])) for i in here]
+        self.k = math.exp(sum(scales) / FOLDS)
+        self.curve = self._logistic(points, sizes)
 
     @staticmethod
     def _logistic(points: list[tuple[float, int]], sizes: dict[int, int]) -> tuple[float, float]:
@@ -144,19 +178,50 @@ class Model:
 
     def judge(self, text: str | None):
         """Score in 0..1, and the significant passages with their character spans."""
-        total, found = self.evidence(text)
+        words = words_of(text)
+        total, found = evidence(self.words, self.k, words)
         a, b = self.curve
         score = 1 / (1 + math.exp(-max(-40.0, min(40.0, a + b * math.log1p(max(0.0, total))))))
-        passages = []
-        if found:
-            low = text.lower()
-            spans = [m.span() for m in _WORD.finditer(low)]
-            passages = [{"start": spans[i][0], "end": spans[j - 1][1], "p": p} for i, j, p in found]
-        return score, passages
-
-
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc: str = "doc_id", label: str = "toxic", allowed: Column | None = None, per_class: int = FIT_DOCS) -> Model:
-    """A model from at most about ``per_class`` whole labelled texts of each class, drawn by a hash of the id.
+        if not found:
+            return score, []
+        places = self.words.segments(words)[1]
+        inside = frozenset(pair for (first, end, _), pairs in _joined(found, places) for pair in pairs)
+        again = significant(self.words, self.k, words, self.words.segments(words, inside)[0])  # what is found scores wherever it stands
+        spans = [m.span() for m in _WORD.finditer(text)]
+        return score, [{"start": spans[i][0], "end": spans[j - 1][1], "p": p} for i, j, p, _ in again]
+
+
+def _joined(found: list[tuple], places: list[tuple[int, tuple[str, str]]]):
+    """Each segment (first, end, ...) with the pairs that stand in it; both are in order."""
+    k = 0
+    for segment in found:
+        while k < len(places) and places[k][0] < segment[0]:
+            k += 1
+        start = k
+        while k < len(places) and places[k][0] < segment[1]:
+            k += 1
+        yield segment[:3], [pair for _, pair in places[start:k]]
+
+
+def significant(words: Lexicon, k: float, text: list[str], segments: list[tuple[int, int, float]]) -> list[tuple[int, int, float, float]]:
+    """(first word, end, p, L * S - ln(K n)) of the segments that chance in clean text makes with probability p of at most ``LEVEL``."""
+    out = []
+    for a, b, s in segments:
+        e = words.rate * s - math.log(max(k * len(text), 1e-300))
+        p = -math.expm1(-math.exp(min(50.0, -e)))
+        if p <= LEVEL:
+            out.append((a, b, p, e))
+    return out
+
+
+def evidence(words: Lexicon, k: float, text: list[str]) -> tuple[float, list[tuple[int, int, float, float]]]:
+    """Sum over the significant segments of L * S - ln(K n), and these."""
+    found = significant(words, k, text, words.segments(text)[0])
+    return sum(x[3] for x in found), found
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc: str = "doc_id", label: str = "toxic", allowed: Column | None = None, per_class: int = FIT_DOCS, most_bytes: int = FIT_BYTES) -> Model:
+    """A model from at most about ``per_class`` whole labelled texts of each class, drawn by a hash of the id, of ``most_bytes`` together (shorter ones first).
 
     Labels other than 0 and 1 and null texts teach nothing. Ids with contradicting labels count once for each. Without
     rows of both classes the score is the same for every text: the share of label 1.
@@ -165,8 +230,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc: str = "doc_
     sizes = {r["_y"]: r["count"] for r in usable.groupBy("_y").count().collect()}
     spread = F.pmod(F.xxhash64(F.lit("fit"), F.col(doc)), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("_y") == 1, F.lit(per_class / max(1, sizes.get(1, 0)))).otherwise(F.lit(per_class / max(1, sizes.get(0, 0))))
-    drawn = usable.where(spread < share)
-    rows = docs.select(doc, text).join(F.broadcast(drawn), doc).where(F.col(text).isNotNull()).select(doc, text, "_y").collect()  # 2 * per_class ids
+    drawn = usable.where(spread < share)  # 2 * per_class ids
+    rows = bounded(docs.select(doc, text).where(F.col(text).isNotNull()).join(F.broadcast(drawn), doc).select(doc, text, "_y"), "_y", text, most_bytes).collect()
     rows = sorted({(r[0], r[1], r[2]) for r in rows})
     return Model([(t, y) for _, t, y in rows], sizes)
 
@@ -174,10 +239,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc: str = "doc_
 def judge(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with score, and passages: array of (start, end, p), the significant toxic passages by characters.
 
-    Null and empty texts get the score of a text without passages. Spans count characters of the lower-cased text.
-    Other columns stay; columns named as the new ones are replaced.
+    Null and empty texts get the score of a text without passages. Spans count characters of the text. Copies of a passage in
+    a text are passages, too, but add nothing to the score. Repeated rows are scored alike; no rows give none. Other columns stay; columns named as the new ones are replaced.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON words
+    held = docs.sparkSession.sparkContext.broadcast(model)  # words of FIT_BYTES of text at most
     fields = T.StructType.fromDDL("score double, passages array<struct<start: int, end: int, p: double>>").fields
     return add_columns(docs, text, fields, lambda: lambda texts: list(zip(*(held.value.judge(t) for t in texts), strict=True)), keep_text)
 
