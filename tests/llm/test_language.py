@@ -1,3 +1,8 @@
+import math
+import random
+import re
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -49,3 +54,57 @@ def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = g.op8_language(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("lang is not null")
     assert got.where("lang = lang_pred").count() >= 0.99 * got.count()
+
+
+def brute_margins(weights, scale, text):
+    """The mean weight of the text's n-grams, n-gram by n-gram."""
+    points = [ord(c) for c in " " + " ".join(re.findall(r"[^\W\d_]+", text.lower())) + " "]
+    total, n = [0.0] * len(scale), 0
+    for size in (1, 2, 3):
+        for i in range(len(points) - size + 1):
+            x = 0
+            for j, odd in enumerate((0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)[:size]):
+                x = ((x ^ (points[i + j] * odd % 2**32)) * 0x27D4EB2F + size) % 2**32
+            total = [a + float(w) for a, w in zip(total, weights[x >> 16])]
+            n += 1
+    return [a / n * float(s) for a, s in zip(total, scale)]
+
+
+def test_query_by_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    coder = g.fit(docs, allowed=g.learn_from())
+    text = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r for r in g.op8_language(spark, sf).collect()}
+    assert got.keys() == text.keys()
+    for i, r in got.items():
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
+        if not text[i] or not re.search(r"[^\W\d_]", text[i]):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        if len(text[i]) > 4000:
+            continue
+        margins = brute_margins(coder.weights, coder.scale, text[i])
+        loss = [sum(float(t) * math.log1p(math.exp(-4 * int(c) * max(-8, min(8, m)))) for c, m, t in zip(word, margins, coder.trust)) for word in coder.code]
+        best = min(range(len(loss)), key=loss.__getitem__)
+        assert r.lang_pred == coder.languages[best] and abs(r.score - 1 / sum(math.exp(-2 * (x - loss[best])) for x in loss)) < 1e-4
+
+
+def test_loss_weights_come_from_texts_that_were_not_fitted():
+    """One part of the languages can't be told by letters: its bits get less weight, though in-sample they are always right."""
+    draw = random.Random(1)
+    word = lambda letters: "".join(draw.choices(letters, k=6))
+    rows = [(lang, " ".join(word(letters) for _ in range(8))) for lang, letters in (("a", "abcd"), ("b", "abcd"), ("c", "wxyz")) for _ in range(60)]
+    coder = g.Coder(rows)
+    parts = [k for k in range(coder.code.shape[1]) if coder.code[0][k] != coder.code[1][k]]
+    whole = [k for k in range(coder.code.shape[1]) if coder.code[0][k] == coder.code[1][k]]
+    assert max(coder.trust[parts]) < min(coder.trust[whole]) / 3 and min(coder.wrong[parts]) > 0.2
+    assert abs(coder.trust.sum() - 1) < 1e-5
+
+
+def test_the_sample_is_bounded_by_bytes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    from lodegraph.llm.common import bounded
+
+    kept = bounded(docs.where("lang is not null and text is not null").select("lang", "text", "doc_id"), "lang", "text", 20_000)
+    assert kept.columns == ["lang", "text", "doc_id"] and 0 < kept.agg(F.sum(F.octet_length("text"))).first()[0] <= 20_000
