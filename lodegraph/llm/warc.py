@@ -16,17 +16,20 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, small_batches, table, written
+from .common import new_path, small_batches, spare, table, written
 
 #: Bytes after which a new archive is begun; widest gap that a read spans; longest read; least payload that a revisit
 #: record may stand for.
 ARCHIVE_BYTES, GAP_BYTES, READ_BYTES, REVISIT_BYTES = 256 << 20, 64 << 10, 4 << 20, 1000
+#: Bytes of archives that a task reads, and least bytes where there are idle cores.
+TASK_BYTES, LEAST_TASK_BYTES = 128 << 20, 1 << 20
 #: All records bear this date, so that equal pages give equal archives.
 DATE = "2024-01-01T00:00:00Z"
 _INDEX = "page_id long, url string, archive string, offset long, length long, digest string, record_type string"
@@ -70,13 +73,16 @@ def open_store(path: str) -> tuple[fs.FileSystem, str]:
 def revisits(pages: DataFrame, page: str = "page_id", html: str = "html", least: int = REVISIT_BYTES) -> DataFrame:
     """``pages`` with refers_to: the greatest id among rows of equal payload of ``least`` bytes or more, null for that row itself.
 
-    Only digests that occur again are joined. Several rows of that greatest id are all responses.
+    Only digests that occur again are joined; smaller payloads get keys of their own, so that they don't meet in one partition.
+    Several rows of that greatest id are all responses. A column named refers_to is replaced, all others stay.
     """
+    key, first, count = spare(pages, "digest", "first", "times")
     payload = F.coalesce(F.col(html), F.lit(""))
-    keyed = pages.withColumn("_digest", F.when(F.octet_length(payload) >= least, F.sha1(payload)))
-    again = keyed.where("_digest is not null").groupBy("_digest").agg(F.max(page).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    found = keyed.join(again, "_digest", "left")
-    return found.withColumn("refers_to", F.when(~F.col("_first").eqNullSafe(F.col(page)), F.col("_first"))).drop("_digest", "_first")
+    large = F.octet_length(payload) >= least
+    keyed = pages.withColumn(key, F.when(large, F.sha1(payload)).otherwise(F.concat(F.lit("small "), F.xxhash64(page, payload).cast("string"))))
+    again = keyed.where(large).groupBy(key).agg(F.max(page).alias(first), F.count("*").alias(count)).where(F.col(count) > 1).drop(count)
+    found = keyed.join(again, key, "left")
+    return found.withColumn("refers_to", F.when(~F.col(first).eqNullSafe(F.col(page)), F.col(first))).drop(key, first)
 
 
 def write(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -135,6 +141,7 @@ _RECORD = "page_id long, url string, record_type string, refers_to long, payload
 def read(index: DataFrame, where: Column | None = None, gap: int = GAP_BYTES, longest: int = READ_BYTES) -> DataFrame:
     """The records of the index rows that ``where`` selects, parsed, one read for each range.
 
+    The ranges are dealt to tasks in the order of archives and offsets, so that a task opens an archive once and reads forward.
     A response's payload is checked against its digest. A revisit's payload is null; its bytes and digest are the full
     payload's, as its headers give them.
     """
@@ -143,24 +150,34 @@ def read(index: DataFrame, where: Column | None = None, gap: int = GAP_BYTES, lo
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _RECORD.split(", ")]
         kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        for batch in batches:
-            for path, start, size, records in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                store, at = open_store(path)
-                with store.open_input_file(at) as source:
-                    data = source.read_at(size, start)
-                rows = []
-                for r in records:
-                    head, body = parsed(zlib.decompress(data[r["offset"] - start :][: r["length"]], 31))
-                    own = lambda name: int(x) if (x := head.get(name, "")[len("<urn:page:") : -1]) else None  # noqa: B023, E731
-                    digest = base64.b32decode(head["warc-payload-digest"].removeprefix("sha1:")).hex()
-                    kind = head["warc-type"]
-                    if kind == "response" and hashlib.sha1(body).hexdigest() != digest:  # noqa: S324
-                        raise ValueError(f"the payload at {path}, {r['offset']} is not the one that was written")
-                    rows.append((own("warc-record-id"), head["warc-target-uri"], kind, own("warc-refers-to"), int(head["x-payload-length"]), digest, body if kind == "response" else None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-    small_batches(index.sparkSession)
-    return ranges(chosen, gap, longest).mapInArrow(fetch, _RECORD)
+        with ExitStack() as held:
+            now = source = None
+            for batch in batches:
+                for path, start, size, records in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                    if path != now:
+                        held.close()
+                        store, at = open_store(path)
+                        now, source = path, held.enter_context(store.open_input_file(at))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*records_of(path, start, records, source.read_at(size, start)), strict=True), kinds, strict=True)], names=names)
+
+    def records_of(path: str, start: int, records: list[dict], data: bytes) -> list[tuple]:
+        rows = []
+        for r in records:
+            head, body = parsed(zlib.decompress(data[r["offset"] - start :][: r["length"]], 31))
+            own = lambda name: int(x) if (x := head.get(name, "")[len("<urn:page:") : -1]) else None  # noqa: B023, E731
+            digest = base64.b32decode(head["warc-payload-digest"].removeprefix("sha1:")).hex()
+            kind = head["warc-type"]
+            if kind == "response" and hashlib.sha1(body).hexdigest() != digest:  # noqa: S324
+                raise ValueError(f"the payload at {path}, {r['offset']} is not the one that was written")
+            rows.append((own("warc-record-id"), head["warc-target-uri"], kind, own("warc-refers-to"), int(head["x-payload-length"]), digest, body if kind == "response" else None))
+        return rows
+
+    spark = index.sparkSession
+    small_batches(spark)
+    total = chosen.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-total // TASK_BYTES), min(2 * spark.sparkContext.defaultParallelism, -(-total // LEAST_TASK_BYTES)))
+    dealt = ranges(chosen, gap, longest).repartitionByRange(tasks, "archive", "start").sortWithinPartitions("archive", "start")
+    return dealt.mapInArrow(fetch, _RECORD)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

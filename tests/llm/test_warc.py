@@ -38,6 +38,19 @@ def test_round_trip(pages, archive_bytes, gap, longest):
     assert all(r.payload is None for r in got if r.record_type == "revisit")
 
 
+def test_no_column_is_lost(pages):
+    extra = dict.fromkeys(("_digest", "digest", "_first", "first", "times"), F.lit("mine"))
+    out = w.revisits(pages.withColumns(extra))
+    assert out.columns == ["page_id", "url", "html", *extra, "refers_to"] and all(out.where(f"{c} = 'mine'").count() == pages.count() for c in extra)
+
+
+def test_reading_is_parallel(pages, monkeypatch):
+    monkeypatch.setattr(w, "TASK_BYTES", 1000)
+    index = w.write(w.revisits(pages), archive_bytes=1)
+    got = w.read(index, longest=1)
+    assert got.rdd.getNumPartitions() > 1 and got.count() == pages.count()
+
+
 def test_only_selected_ranges_are_read(pages):
     index = w.write(w.revisits(pages).coalesce(1))
     assert index.select("archive").distinct().count() == 1
