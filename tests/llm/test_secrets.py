@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import string
@@ -37,21 +38,94 @@ def test_base_spans(spark):
         assert [x for x in row.spans if x.kind != "random"] == row.base_spans
 
 
+def tail(z):
+    return 0.5 * math.erfc(z / 2**0.5)
+
+
+def brute_battery(token):
+    """(p, uniform_p, n) by definition, None where no encoding fits."""
+    for name, pattern, alphabet, squares, cubes, share in s.ENCODINGS:
+        if re.match(pattern, token):
+            break
+    else:
+        return None
+    body = (token if name == "base64" else token.lower()).replace("-", "+").replace("_", "/").rstrip("=")
+    n, k, values = len(body), len(alphabet), [alphabet.index(c) if c in alphabet else -1 for c in body]
+    of = lambda c: 0 if c in "0123456789" else 1 if c in string.ascii_lowercase and (name != "lower" or c not in "aeiou") else 3 if c in string.ascii_lowercase else 2 if c in string.ascii_uppercase else 4
+    changes = sum(of(a) != of(b) for a, b in zip(body, body[1:]))
+    size = Counter(map(of, alphabet))
+    even = 1 - sum((x / k) ** 2 for x in size.values())
+    mean = sum(values) / n
+    spread = sum((v - mean) ** 2 for v in values)
+    serial = (sum((a - mean) * (b - mean) for a, b in zip(values, values[1:])) / spread if spread else 1.0) * n**0.5
+    chi = sum(c * c for c in Counter(body).values()) * k / n - n
+    uneven = ((chi / (k - 1)) ** (1 / 3) - 1 + 2 / (9 * (k - 1))) / (2 / (9 * (k - 1))) ** 0.5
+    uniform = min(1.0, 3 * min(tail(uneven), 2 * tail(abs(changes - even * (n - 1)) / ((n - 1) * even * (1 - even)) ** 0.5 if name != "decimal" else 0.0), 2 * tail(abs(serial))))
+    folded = body.lower()
+    pairs = sum(a == b for i, a in enumerate(folded) for b in folded[:i])
+    few = tail((n * (n - 1) / 2 * squares - pairs) / (n * (n - 1) / 2 * (squares - squares**2 + 2 * (n - 2) * (cubes - squares**2))) ** 0.5)
+    f, many = changes / (n - 1), 1.0
+    if f > share if name != "lower" else f < share:
+        many = math.exp(-(n - 1) * ((f * math.log(f / share) if f else 0) + ((1 - f) * math.log((1 - f) / (1 - share)) if f < 1 else 0)))
+    both = few * many
+    return 1.0 if name == "decimal" else both * (1 - math.log(both)) if both else 0.0, uniform, n
+
+
+def draw(r, kind, n):
+    alphabet = {"base64": string.ascii_letters + string.digits + "+/", "HEX": "0123456789ABCDEF", "hex": "0123456789abcdef", "base32": string.ascii_uppercase + "234567", "lower": string.ascii_lowercase, "decimal": string.digits}[kind]
+    return "".join(r.choices(alphabet, k=n))
+
+
+ORDINARY = ["internationalization_of_everything", "donaudampfschifffahrtsgesellschaft", "a" * 40, "http_server_connection_pool", "abcabcabcabcabcabcabcabc", "12345678901234567890123", "the-quick-brown-fox-jumps-over", "AAAAAAAAAAAAAAAAAAAAAAAA", "/usr/local/share/applications/menu", "2024-01-31_final_version_of_the_report", "AbstractSingletonProxyFactoryBean", "DEADBEEFDEADBEEFDEADBEEF"]
+
+
+def test_battery_by_brute_force(spark):
+    r = random.Random(8)
+    tokens = ORDINARY + ["é" * 20, "x" * 19 + "=", "A-B_C" * 6 + "=="] + [draw(r, kind, n) for kind in ("base64", "HEX", "hex", "base32", "lower", "decimal") for n in (20, 21, 40, 300) for _ in range(5)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "i int, t string").select("i", s.battery(F.col("t")).alias("b")).orderBy("i").collect()
+    for (i, b), t in zip(got, tokens, strict=True):
+        want = brute_battery(t)
+        assert (b is None) == (want is None)
+        if want:
+            assert b.n == want[2] and abs(b.uniform_p - want[1]) < 2e-6 and abs(b.p - want[0]) < 1e-5 + 0.02 * want[0], t
+
+
+def test_the_p_value_holds_its_level(spark):
+    """Ordinary tokens as the null has them: English letters, joined now and then; random tokens for the other side."""
+    r = random.Random(11)
+    letters = lambda n: "".join(r.choices(string.ascii_lowercase, s.LETTERS, k=n))
+
+    def joined(n):
+        out = ""
+        for c in letters(n):  # a join changes the class of character
+            out += c.upper() if (out and out[-1].isupper()) != (r.random() < s._JOINS) else c
+        return out
+
+    null = [joined(r.choice((20, 30, 45))) for _ in range(6000)]
+    null += [letters(r.choice((20, 30, 60))) for _ in range(3000)]
+    kinds = ("base64", "HEX", "base32", "lower")
+    even = [(kind, draw(r, kind, 32)) for kind in kinds for _ in range(1500)]
+    df = spark.createDataFrame([("null", x) for x in null] + even, "kind string, t string").select("kind", s.battery(F.col("t")).alias("b"))
+    got = df.where("kind = 'null'").agg(*(F.avg((F.col("b.p") <= a).cast("double")) for a in (0.1, 0.01, 0.001))).first()
+    assert got[0] <= 0.1 and got[1] <= 0.01 and got[2] <= 0.002
+    lost = {x.kind: x.lost for x in df.where("kind <> 'null'").groupBy("kind").agg(F.avg((F.col("b.uniform_p") < s.LEAST_UNIFORM).cast("double")).alias("lost")).collect()}
+    assert max(lost.values()) < 0.01
+
+
 def test_random_tokens_are_found_and_ordinary_ones_not(spark):
+    """A corpus of a thousand ordinary long tokens and a hundred secrets; base32 and lower case need more letters."""
     r = random.Random(9)
-    token = lambda alphabet, n: "".join(r.choices(alphabet, k=n))
-    ordinary = ["internationalization_of_everything", "donaudampfschifffahrtsgesellschaft", "a" * 40, "http_server_connection_pool", "abcabcabcabcabcabcabcabc", "12345678901234567890123", "the-quick-brown-fox-jumps-over", "AAAAAAAAAAAAAAAAAAAAAAAA", "/usr/local/share/applications/menu"]
-    secrets = [token(string.ascii_letters + string.digits + "+/", 40) for _ in range(20)] + [token("0123456789ABCDEF", 40) for _ in range(20)]
-    rows = [(i, f"see {t} here") for i, t in enumerate(ordinary * 20 + secrets)]
+    secrets = [draw(r, kind, n) for kind, n in (("base64", 40), ("HEX", 40), ("base64", 64), ("HEX", 64)) for _ in range(25)]
+    long = [draw(r, kind, 100) for kind in ("base32", "lower") for _ in range(25)]
+    rows = [(i, f"see {t} here") for i, t in enumerate(ORDINARY * 80 + secrets + long)]
     got = s.scan(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", F.exists("spans", lambda x: x["kind"] == "random").alias("found")).collect()
     hit = {x.doc_id for x in got if x.found}
-    assert not hit & set(range(len(ordinary) * 20))
-    assert len(hit) >= 0.85 * len(secrets)
+    first, then = len(ORDINARY) * 80, len(ORDINARY) * 80 + len(secrets)
+    assert not hit & set(range(first))
+    assert len(hit & set(range(first, then))) >= 0.9 * len(secrets) and len(hit & set(range(then, len(rows)))) >= 0.9 * len(long)
 
 
 def test_normal_tail(spark):
-    import math
-
     z = [-8.0, -2.0, -0.5, 0.0, 1.0, 3.0, 9.0]
     got = [x[0] for x in spark.createDataFrame([(x,) for x in z], "z double").select(s.upper_tail(F.col("z"))).collect()]
     assert all(abs(a - 0.5 * math.erfc(x / 2**0.5)) < 1e-6 for a, x in zip(got, z, strict=True))
@@ -61,6 +135,7 @@ def test_edge_cases(docs, none):
     out = s.scan(clash(docs, "spans", "base_spans"))
     assert out.count() == docs.count() and set(out.columns) == {"doc_id", "text", "lang", "source", "extra", "spans", "base_spans"}
     assert s.scan(none).count() == 0
+    assert s.scan(clash(docs, "tested"), keep_text=False).columns == ["doc_id", "lang", "source", "tested", "extra", "base_spans", "spans"]
 
 
 def test_query_is_native_and_exact(spark):
