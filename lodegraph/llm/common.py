@@ -73,6 +73,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*frames: DataFrame) -> None:
+    """Delete the folders of written tables that are no longer read."""
+    for df in frames:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            remove(df.sparkSession, path)
+
+
+#: Numbers that a sieve holds at most: some 40 MB where it is broadcast.
+SIEVE = 1 << 20
+
+
+def sieve(ids: DataFrame, column: str) -> DataFrame:
+    """(at): which of ``SIEVE`` places the ids in ``column`` fall on; to be broadcast, for it has a bounded size."""
+    return ids.select(_place(column).alias("at")).distinct()
+
+
+def _place(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SIEVE))
+
+
+def sifted(df: DataFrame, column: str, places: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows of ``df`` whose id falls on one of the places (or on none): a filter before a join, so that few rows are shuffled."""
+    return df.join(F.broadcast(places), _place(column) == places["at"], "left_semi" if inside else "left_anti")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the session's Arrow batches by bytes: by rows alone, one batch of long texts can take a worker's memory. The workers get this package, too."""
     ship(spark)
@@ -123,7 +148,7 @@ def add_columns(df: DataFrame, text: str, fields: list[T.StructField], step: Cal
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:
-    simple = {T.StringType: pa.string(), T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.DoubleType: pa.float64(), T.FloatType: pa.float32(), T.BooleanType: pa.bool_(), T.BinaryType: pa.binary()}
+    simple = {T.StringType: pa.string(), T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.ShortType: pa.int16(), T.DoubleType: pa.float64(), T.FloatType: pa.float32(), T.BooleanType: pa.bool_(), T.BinaryType: pa.binary()}
     if isinstance(kind, T.ArrayType):
         return pa.list_(_arrow(kind.elementType))
     if isinstance(kind, T.StructType):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, written
+from .common import forget, written
 
 
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
@@ -29,9 +29,7 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
         after = written(small, name)
         mark = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
         same = after.agg(*mark).first() == now.agg(*mark).first()
-        for old in (now, least, large, smallest):
-            for path in {f.rsplit("/", 1)[0] for f in old.inputFiles()}:
-                remove(old.sparkSession, path)
+        forget(now, least, large, smallest)
         now = after
         if same:
             break

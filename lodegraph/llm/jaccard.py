@@ -1,12 +1,15 @@
-"""Groups of texts that share 0.8 or more of their five-word shingles, by exact Jaccard of the shingles' hashes.
-
-Texts with the same set of shingles are one node. All sets are put into one order of shingles, frequent ones last; two sets
-of n and m shingles with a Jaccard of 4/5 or more must then share one of their first n // 5 + 1 and m // 5 + 1, and where
-the first that they share stands bounds what they can share in all. So no such pair is missed. Every pair that
-meets is verified by its whole sets before it counts as a link.
-
-Each set that meets others under a shingle is first compared with one hub of these; then only pairs that lie in different
-clusters are searched for, for the others add nothing to the components.
+"""Groups of texts that share 0.8 or more of their five-word shingles: links by SimHash, and all others by an exact join.
+
+Texts with the same set of shingles are one node. First, nodes whose SimHash fingerprints (over their shingles) differ in few
+bits are linked by the deletion-variant signatures of ``simhash``. Fingerprints miss pairs near the threshold, so the rest
+is found exactly: all sets are put into one order of shingles, frequent ones last; two sets of n and m shingles with a
+Jaccard of 4/5 or more must then share one of their first n // 5 + 1 and m // 5 + 1, and where the first that they share
+stands bounds what they can share in all. Each set that meets others under a shingle is first compared with one hub of
+these; then only pairs that lie in different clusters are searched for, for the others add nothing to the components.
+
+Every pair, also of fingerprints, is verified by its whole sets before it counts as a link. Before that, counts of both
+sets' shingles in ``CELLS`` cells of a hash bound what they can share, so that few texts are read again; these are picked
+out by a sieve of bounded size, so that the others aren't shuffled.
 """
 
 from __future__ import annotations
@@ -17,13 +20,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, written
+from .common import add_columns, forget, sieve, sifted, union_all, written
 from .components import components
-from .simhash import BLOCK, _dealt, shingle_hashes, words_of
+from .simhash import BLOCK, _dealt, majority, shingle_hashes, words_of
+from .simhash import links as simhash_links
 
 #: Words of a shingle; one document in so many is looked at for frequent shingles; seen so often there, a shingle is frequent.
 #: The last two decide how much is compared, not what is found.
 WIDTH, SAMPLED, FREQUENT = 5, 16, 3
+#: Cells that a set's shingles are counted in; larger sets than this are not counted, and so only verified.
+CELLS, COUNTED = 256, 16_384
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -47,9 +53,9 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, _row, text) without texts, with node (of the set of shingles), n (its size) and keys: its first n // 5 + 1 shingles."""
+    """``docs`` (doc_id, _row, text) without texts, with node (of the set of shingles), n (its size), fp, cells and keys: its first n // 5 + 1 shingles."""
     often = docs.sparkSession.sparkContext.broadcast(frequent(docs))
-    fields = [T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+    fields = T.StructType.fromDDL("node long, n int, fp long, cells array<short>, keys array<long>").fields
 
     def step():
         hashes, times = often.value
@@ -61,7 +67,8 @@ def prefixes(docs: DataFrame) -> DataFrame:
                 at = np.minimum(np.searchsorted(hashes, mine), len(hashes) - 1)
                 rank = np.where(hashes[at] == mine, times[at], 0)
             node = int.from_bytes(xxhash.xxh64_digest(mine.tobytes()), "big", signed=True)
-            return node, len(mine), mine[np.lexsort((mine, rank))][: len(mine) // 5 + 1].view(np.int64)
+            cells = np.bincount((mine & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.int16) if len(mine) <= COUNTED else None
+            return node, len(mine), majority(mine), cells, mine[np.lexsort((mine, rank))][: len(mine) // 5 + 1].view(np.int64)
 
         return lambda texts: list(zip(*map(one, texts), strict=True))
 
@@ -74,37 +81,57 @@ def _can(x: str, y: str) -> Column:
     return 9 * most >= 4 * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets have a Jaccard of 4/5 or more; ``rows`` (node, _row) says whose text has a node's set."""
-    pairs = written(pairs, "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(rows.select("node", "_row"), "node")
-    sets = written(_sets(docs.join(needed, "_row"), ("node",)), "sets")
-    side = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"_{end}"))
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have a Jaccard of 4/5 or more; ``nodes`` (node, _row, n, cells) says whose text has a node's set."""
+    end = lambda e: nodes.select(F.col("node").alias(e), F.col("n").alias(f"n_{e}"), F.col("cells").alias(f"cells_{e}"))
+    most = F.aggregate(F.zip_with("cells_a", "cells_b", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda acc, x: acc + x)
+    ends = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(end("a"), "a").join(end("b"), "b")
+    pairs = written(ends.where(F.coalesce(9 * most >= 4 * (F.col("n_a") + F.col("n_b")), F.lit(True))).select("a", "b"), "pairs")
+    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "_row"), "node"), "needed")
+    texts = sifted(docs, "_row", sieve(needed, "_row")).join(needed, "_row")
+    sets = written(_sets(texts, ("node",)), "sets")
+    side = lambda e: sets.select(F.col("node").alias(e), F.col("shingles").alias(f"_{e}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("_a", "_b"))
-    return written(both.where(9 * shared >= 4 * (F.size("_a") + F.size("_b"))).select("a", "b"), "verified")
+    found = written(both.where(9 * shared >= 4 * (F.size("_a") + F.size("_b"))).select("a", "b"), "verified")
+    forget(pairs, needed, sets)
+    return found
+
+
+def _clusters(links: DataFrame, name: str) -> DataFrame:
+    return written(components(links, name), "clusters")
 
 
 def groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc_id, _row, node, top, component_id): top is a node of the component of ``docs`` (doc_id, _row, text), component_id its least doc_id.
 
     Components are what chains of pairs with a Jaccard of 4/5 or more reach. ``docs`` is read several times, so hand it over as
-    a table. Rows with a null id take part and can lend no id; a component of such rows alone has a null id.
+    a table. Rows with a null id take part and can lend no id; a component of such rows alone has a null id. Repeated rows
+    stay repeated; no rows give none.
     """
+    docs = docs.select("doc_id", "_row", "text")
     prints = written(prefixes(docs), "prints")
-    size = F.count("*")
-    nodes = written(prints.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.min("doc_id").alias("least"), F.min("_row").alias("_row"), size.alias("docs")), "nodes")
-    every = nodes.select("node", "n", "docs", F.posexplode("keys").alias("pos", "key"))
-    whole = F.struct("node", "n", "pos")
-    hubs = every.groupBy("key").agg(F.max_by(whole, F.struct("docs", "node")).alias("hub"), size.alias("held")).where("held > 1")
-    rows = written(every.join(written(hubs, "hubs"), "key"), "rows")
+    first = lambda c: F.first(c).alias(c)
+    nodes = written(prints.groupBy("node").agg(*(first(c) for c in ("n", "fp", "cells", "keys")), F.min("doc_id").alias("least"), F.min("_row").alias("_row"), F.count("*").alias("docs")), "nodes")
+    names = written(prints.select("doc_id", "_row", "node"), "names")
+    forget(prints)
 
-    met = rows.alias("x").where((F.col("x.node") != F.col("x.hub.node")) & _can("x", "x.hub"))
-    stars = _verified(met.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct(), nodes, docs)
-    first = written(components(stars, "stars"), "clusters")
+    prints_alike = simhash_links(nodes.select("node", "fp", "docs"), block)
+    near = _verified(prints_alike, nodes, docs)
+    forget(prints_alike)
 
-    named = rows.join(first, "node", "left").select("key", "node", "n", "pos", "docs", "held", F.col("hub.node").alias("hub"), F.coalesce("component", "node").alias("cluster"))
-    named = written(named, "named")
+    every = nodes.select("node", "n", "docs", F.posexplode("keys").alias("pos", "key"))
+    held = every.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
+    rows = written(every.join(held, "key"), "rows")
+    in_cluster = lambda links, name: rows.join(_clusters(links, name), "node", "left").withColumn("cluster", F.coalesce("component", "node")).drop("component")
+    named = written(in_cluster(near, "near"), "named")
+    hubs = written(named.groupBy("key").agg(F.max_by(F.struct("node", "n", "pos", "cluster"), F.struct("docs", "node")).alias("hub")), "hubs")
+    met = named.alias("x").join(hubs, "key").where((F.col("x.cluster") != F.col("hub.cluster")) & _can("x", "hub"))
+    stars = _verified(met.select(F.col("node").alias("a"), F.col("hub.node").alias("b")), nodes, docs)
+    forget(named)
+
+    named = written(in_cluster(near.union(stars), "stars").join(hubs.select("key", F.col("hub.node").alias("hub")), "key"), "named")
+    forget(rows, hubs)
     # pairs of two clusters have an end outside the hub's cluster; those with the hub itself are known
     homes = named.where("node = hub").select("key", F.col("cluster").alias("home"))
     mixed = named.where("node <> hub").join(homes, "key").select("key", "node", "n", "pos", "held", "cluster", (F.col("cluster") == F.col("home")).alias("inside"))
@@ -121,9 +148,11 @@ def groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         same = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
         own = (F.least("x.mine", "y.mine") == F.col("x.i")) & (F.greatest("x.mine", "y.mine") == F.col("x.j"))
         pairs = pairs.union(many.where("not inside").alias("x").join(many.alias("y"), same & own & ours).select(*ends))
-    found = _verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes, docs)
+    found = _verified(pairs, nodes, docs)
+    forget(named, mixed, open_keys, right)
 
-    clusters = written(components(stars.union(found), "links"), "components")
+    clusters = _clusters(union_all([near, stars, found]), "links")
     ends = written(nodes.select("node", "least").join(clusters, "node", "left").select("node", "least", F.coalesce("component", "node").alias("top")), "ends")
+    forget(nodes)
     tops = written(ends.groupBy("top").agg(F.min("least").alias("component_id")), "tops")
-    return prints.select("doc_id", "_row", "node").join(ends.join(tops, "top").select("node", "top", "component_id"), "node")
+    return names.join(ends.join(tops, "top").select("node", "top", "component_id"), "node")

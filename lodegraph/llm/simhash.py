@@ -9,16 +9,11 @@ side without it. So no two meet twice in a segment. Pairs that meet are verified
 What keeps large groups linear: equal fingerprints are one; each member of a segment's bucket is first linked to one
 hub of the bucket; only pairs that these links leave in different clusters are then searched for, for the others add
 nothing to the components. Buckets above ``BLOCK`` members are compared block by block in different tasks.
-
-Texts of which 0.8 of the five-word shingles agree differ in some ten bits of a fingerprint over shingles, too many for
-this index, but in few bits of one over their words. ``sketches`` has two of these to find such texts by, and one over the
-shingles to verify them with.
 """
 
 from __future__ import annotations
 
 from array import array
-from collections import Counter
 
 import numpy as np
 import xxhash
@@ -26,12 +21,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, table, union_all, written
+from .common import add_columns, forget, table, union_all, written
 from .components import components
 
-#: (first bit, bits) of each segment; differing bits that still link; members of a bucket that one task compares; differing
-#: bits of the fingerprints over five-word shingles up to which similar words are taken for similar texts.
-SEGMENTS, LINK_BITS, BLOCK, CHECK_BITS = ((0, 21), (21, 21), (42, 22)), 4, 4096, 15
+#: (first bit, bits) of each segment; differing bits that still link; members of a bucket that one task compares.
+SEGMENTS, LINK_BITS, BLOCK = ((0, 21), (21, 21), (42, 22)), 4, 4096
 
 
 def _bits(hashes: np.ndarray) -> np.ndarray:
@@ -58,30 +52,18 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()  # on bytes both know ASCII only: A-Z, and \x20 \x09-\x0D
 
 
-def fingerprint_of(text: str | None, width: int = 4, seed: int = 42) -> int:
-    """A bit is 1 if it is in over half the shingles' hashes."""
-    words = words_of(text)
-    if not words:
-        return 0
-    hashes, ones = shingle_hashes(words, width, seed), np.zeros(64, dtype=np.int64)
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint, as a signed long: a bit is 1 if it is in over half the hashes."""
+    ones = np.zeros(64, dtype=np.int64)
     for k in range(0, len(hashes), 1 << 16):
         ones += _bits(hashes[k : k + (1 << 16)]).sum(axis=0, dtype=np.int64)
     return _signed(2 * ones > len(hashes))
 
 
-def word_fingerprints(text: str | None, seeds: tuple[int, ...]) -> list[int]:
-    """A fingerprint for each seed, over the distinct words, each with weight 1 + ln(times): few bits change with a few words."""
-    counts = Counter(words_of(text))
-    if not counts:
-        return [0] * len(seeds)
-    weights = 1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))
-    out = []
-    for seed in seeds:
-        hashes, total = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in counts), np.uint64, len(counts)), np.zeros(64)
-        for k in range(0, len(hashes), 1 << 16):
-            total += weights[k : k + (1 << 16)] @ (2.0 * _bits(hashes[k : k + (1 << 16)]) - 1)
-        out.append(_signed(total > 0))
-    return out
+def fingerprint_of(text: str | None, width: int = 4, seed: int = 42) -> int:
+    """Of the hashes of all shingles, repeats included; a text without words has zero."""
+    words = words_of(text)
+    return majority(shingle_hashes(words, width, seed)) if words else 0
 
 
 def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", keep_text: bool = True) -> DataFrame:
@@ -93,16 +75,6 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", keep_text:
     return add_columns(df, text, [T.StructField(out, T.LongType())], lambda: lambda texts: [[fingerprint_of(t) for t in texts]], keep_text)
 
 
-def sketches(df: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """``df`` with what finds texts that share 0.8 or more of their five-word shingles: fp0, fp1 over words, and check over the shingles."""
-    fields = [T.StructField(c, T.LongType()) for c in ("fp0", "fp1", "check")]
-
-    def step():
-        return lambda texts: list(zip(*((*word_fingerprints(t, (42, 43)), fingerprint_of(t, 5)) for t in texts), strict=True))
-
-    return add_columns(df, text, fields, step, keep_text)
-
-
 def _near(a: str, b: str, bits: int = LINK_BITS) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
 
@@ -144,13 +116,11 @@ def _dealt(rows: DataFrame, large: DataFrame) -> DataFrame:
     return blocks.withColumn("pair", F.explode(pairs)).select(*rows.columns, "mine", "pair.i", "pair.j")
 
 
-def _pairs(left: DataFrame, right: DataFrame, large: DataFrame | None, checked: int | None) -> DataFrame:
+def _pairs(left: DataFrame, right: DataFrame, large: DataFrame | None) -> DataFrame:
     """Verified links (a, b) between rows that share a key and lie in different clusters; ``left`` = ``right``: each pair once."""
     verified = (F.col("x.cluster") != F.col("y.cluster")) & _near("x.fp", "y.fp")
     if left is right:
         verified = verified & (F.col("x.node") < F.col("y.node"))
-    if checked is not None:
-        verified = verified & _near("x.check", "y.check", checked)
     same = F.col("x.key") == F.col("y.key")
     ends = [F.col("x.node").alias("a"), F.col("y.node").alias("b")]
     if large is None:
@@ -163,43 +133,40 @@ def _pairs(left: DataFrame, right: DataFrame, large: DataFrame | None, checked:
     return cold.union(many[0].alias("x").join(many[1].alias("y"), met & own & verified).select(*ends))
 
 
-def near_duplicates(prints: DataFrame, doc: str = "doc_id", block: int = BLOCK, fps: tuple[str, ...] = ("fp",), check: str | None = None, check_bits: int = CHECK_BITS) -> DataFrame:
-    """(doc, fps, check, component_id): component_id is the least id among the documents that chains of links reach.
+def links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b), written: so many of the links between ``nodes`` (node, fp, docs) that they have the components of all links.
 
-    Documents are linked that differ in at most 4 bits in one of the fingerprints ``fps``, and, if there is a ``check``, in
-    at most ``check_bits`` bits of this. ``prints`` (doc, fps, check) is read several times, so hand it over as a written
-    table. Rows with a null id take part and can lend no id; a component of such rows alone has a null id. Repeated rows
-    stay repeated.
+    Nodes are linked whose fingerprints differ in at most ``LINK_BITS`` bits. ``nodes`` is read several times, so hand it over as a
+    written table; no two rows have the same node, but fingerprints may repeat. Where a bucket has several, the node of most docs is its hub.
     """
-    columns = [*fps, *([check] if check else [])]
-    node = F.col(columns[0]) if len(columns) == 1 else F.xxhash64(*columns)
-    nodes = written(prints.groupBy(*columns).agg(F.min(doc).alias("least"), F.count("*").alias("docs")).withColumn("node", node), "nodes")
-    checked = check_bits if check else None
-    part = lambda df, fp, *more: df.select("node", F.col(fp).alias("fp"), *([F.col(check).alias("check")] if check else []), *more)
-
-    stars = []
-    for fp in fps:
-        exact = _exact(part(nodes, fp, "docs"))
-        whole = F.struct(*[c for c in exact.columns if c not in ("key", "docs")])
-        hubs = exact.groupBy("key").agg(F.max_by(whole, F.struct("docs", "node")).alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-        near = _near("fp", "hub.fp") & (_near("check", "hub.check", checked) if check else F.lit(True))
-        stars.append(exact.join(hubs, "key").where((F.col("node") != F.col("hub.node")) & near).select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct())
-    first = written(components(union_all(stars), "stars"), "clusters").withColumnRenamed("node", "_node")
-    named = nodes.join(first, F.col("node") == F.col("_node"), "left").withColumn("cluster", F.coalesce("component", "node")).drop("_node", "component", "least", "docs")
+    exact = _exact(nodes.select("node", "fp", "docs"))
+    hubs = exact.groupBy("key").agg(F.max_by(F.struct("node", "fp"), F.struct("docs", "node")).alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    stars = exact.join(hubs, "key").where((F.col("node") != F.col("hub.node")) & _near("fp", "hub.fp"))
+    stars = written(stars.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct(), "stars")
+    first = written(components(stars, "star"), "clusters").withColumnRenamed("node", "_node")
+    named = nodes.join(first, F.col("node") == F.col("_node"), "left").select("node", "fp", F.coalesce("component", "node").alias("cluster"))
     named = written(named, "named")
+    exact = _exact(named)
+    large = _large(exact, block)
+    many = None if large.isEmpty() else large
+    found = written(union_all([stars, _pairs(exact, exact, many), _pairs(*_variants(named), many)]), "links")
+    forget(stars, first, named, large)
+    return found
 
-    found = [named.where("node <> cluster").select(F.col("node").alias("a"), F.col("cluster").alias("b"))]
-    for fp in fps:
-        mine = part(named, fp, "cluster")
-        exact = _exact(mine)
-        large = _large(exact, block)
-        large = None if large.isEmpty() else large
-        found += [_pairs(exact, exact, large, checked), _pairs(*_variants(mine), large, checked)]
-    whole = components(union_all(found), "links").withColumnRenamed("node", "_node")
+
+def near_duplicates(prints: DataFrame, doc: str = "doc_id", block: int = BLOCK, fp: str = "fp") -> DataFrame:
+    """(doc, fp, component_id): component_id is the least id among the documents that chains of links reach.
+
+    Documents are linked whose fingerprints differ in at most 4 bits. ``prints`` (doc, fp) is read several times, so hand it over
+    as a written table. Rows with a null id take part and can lend no id; a component of such rows alone has a null id. Repeated rows
+    stay repeated; no rows give none.
+    """
+    nodes = written(prints.groupBy(F.col(fp).alias("node")).agg(F.min(doc).alias("least"), F.count("*").alias("docs")), "nodes")
+    whole = components(links(nodes.withColumn("fp", F.col("node")), block), "links").withColumnRenamed("node", "_node")
     ends = written(nodes.join(whole, F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("component", "node").alias("top")), "ends")
     tops = written(ends.groupBy("top").agg(F.min("least").alias("component_id")), "tops")  # a side of its own, so that a join with a large component can be split
-    found_ids = ends.join(tops, "top").select("node", "component_id")
-    return prints.select(doc, *columns, node.alias("node")).join(found_ids, "node").select(doc, *columns, "component_id")
+    found = ends.join(tops, "top").select("node", "component_id")
+    return prints.select(doc, fp, F.col(fp).alias("node")).join(found, "node").select(doc, fp, "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

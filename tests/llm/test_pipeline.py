@@ -2,18 +2,16 @@ import public_tokenizers as P
 
 import corpus_pipeline as c
 from lodegraph.llm import byte_bpe, pii
-from lodegraph.llm.simhash import CHECK_BITS, fingerprint_of, word_fingerprints
 
 from .test_decontaminate import brute as brute_hits
+from .test_jaccard import alike, shingle_set
 from .test_simhash import brute_components
 
 
 def by_hand(rows, items):
     """(doc_id, text) that stay, from the stages' definitions; languages aside, rejection is for lack of letters."""
     rows = [r for r in rows if r.text and any(ch.isalpha() for ch in r.text)]
-    prints = [(r.doc_id, [x & (2**64 - 1) for x in (*word_fingerprints(r.text, (42, 43)), fingerprint_of(r.text, 5))]) for r in rows if r.doc_id is not None]
-    bits = lambda a, b: bin(a ^ b).count("1")
-    top = brute_components(prints, lambda x, y: (bits(x[0], y[0]) <= 4 or bits(x[1], y[1]) <= 4) and bits(x[2], y[2]) <= CHECK_BITS)
+    top = brute_components([(r.doc_id, shingle_set(r.text)) for r in rows if r.doc_id is not None], alike)
     first = {}
     for r in rows:
         if top.get(r.doc_id) == r.doc_id:
