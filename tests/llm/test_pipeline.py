@@ -1,4 +1,5 @@
 import public_tokenizers as P
+from pyspark.sql import functions as F
 
 import corpus_pipeline as c
 from lodegraph.llm import byte_bpe, pii
@@ -38,8 +39,6 @@ def test_against_brute_force(spark):
 
 
 def test_edge_cases(docs, none, spark):
-    from pyspark.sql import functions as F
-
     sf = "/root/testdata/sf0.001"
     for start in (docs.withColumn("n_chars", F.char_length("text").cast("long")), none.withColumn("n_chars", F.lit(0).cast("long"))):
         now = start
@@ -50,3 +49,13 @@ def test_edge_cases(docs, none, spark):
             now = now.cache()
         kept = [r.doc_id for r in now.collect()]
         assert sorted(kept, key=str) == ([1, 10, 4, 5, None] if start.count() else [])
+
+
+def test_no_column_is_lost(spark, tmp_path):
+    """A user's columns that bear the names of the stages' own."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumns(dict.fromkeys(("_row", "row", "pii", "spans", "top", "at", "score", "n_hit"), F.lit("mine")))
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    for _, stage in c.STAGES[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns and out.where(" and ".join(f"{x} = 'mine'" for x in ("_row", "row", "pii", "spans", "top", "at", "score", "n_hit"))).count() == out.count() > 100
