@@ -24,9 +24,9 @@ from pyspark.sql import types as T
 
 from .common import add_columns
 
-#: Pieces and pairs of tokens that a Python worker remembers before it forgets those not met since it last did; characters of
-#: a text whose matches are listed at once.
-PIECES, PAIRS, LISTED = 200_000, 400_000, 1 << 20
+#: Pieces and pairs of tokens that a Python worker remembers before it forgets those not met since it last did; longest piece that
+#: is remembered, so that these have a bounded size; characters of a text whose matches are listed at once.
+PIECES, PAIRS, REMEMBERED, LISTED = 200_000, 400_000, 64, 1 << 20
 
 
 def read_ranks(spark: SparkSession, path: str) -> bytes:
@@ -106,10 +106,11 @@ class _Pieces(dict):
             data = piece.encode()
             whole = self.vocabulary.rank.get(data)
             ids = pack([whole] if whole is not None else self.vocabulary.tokens(data))
-        if len(self) >= PIECES:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = ids
+        if len(piece) <= REMEMBERED:
+            if len(self) >= PIECES:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = ids
         return ids
 
 

@@ -77,3 +77,11 @@ def test_nothing(none, ranks):
 def test_query(spark):
     rows = b.op1_byte_bpe(spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == 200 and all(len(r.ids_sha256) == 64 for r in rows)
+
+
+def test_long_pieces_are_not_remembered():
+    v = b.Vocabulary(b.Path(PATH).read_bytes())
+    for k in range(20):
+        piece = "x" * (60 + k)
+        assert b.unpack(v.pieces[piece]).tolist() == v.merged(piece.encode())
+    assert max(map(len, v.pieces)) == b.REMEMBERED
