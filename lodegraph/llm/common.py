@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
@@ -19,7 +20,7 @@ from ..session import ship
 
 #: Bytes that an Arrow batch between the JVM and Python, and a slice of it handed to a step, may hold; a single longer row
 #: is a batch of its own.
-BATCH_BYTES, SLICE_BYTES = 8 << 20, 4 << 20
+BATCH_BYTES, SLICE_BYTES = 2 << 20, 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -143,10 +144,19 @@ def add_columns(df: DataFrame, text: str, fields: list[T.StructField], step: Cal
                 made = make(part.column(at).to_pylist())
                 new = [x if isinstance(x, pa.Array) else pa.array(x, kind.type) for x, kind in zip(made, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), *new], names=[*kept, *(k.name for k in kinds)])
+        _give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def _give_back() -> None:
+    """Return to the system what a task has freed: workers live on from task to task, and each would keep the most it ever held."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def _arrow(kind: T.DataType) -> pa.DataType:
     simple = {T.StringType: pa.string(), T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.ShortType: pa.int16(), T.DoubleType: pa.float64(), T.FloatType: pa.float32(), T.BooleanType: pa.bool_(), T.BinaryType: pa.binary()}
     if isinstance(kind, T.ArrayType):

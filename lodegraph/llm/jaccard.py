@@ -83,18 +83,21 @@ def _can(x: str, y: str) -> Column:
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose sets have a Jaccard of 4/5 or more; ``nodes`` (node, _row, n, cells) says whose text has a node's set."""
-    end = lambda e: nodes.select(F.col("node").alias(e), F.col("n").alias(f"n_{e}"), F.col("cells").alias(f"cells_{e}"))
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
+    places = sieve(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node")
+    few = sifted(nodes, "node", places)
+    end = lambda e: few.select(F.col("node").alias(e), F.col("n").alias(f"n_{e}"), F.col("cells").alias(f"cells_{e}"))
     most = F.aggregate(F.zip_with("cells_a", "cells_b", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda acc, x: acc + x)
-    ends = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(end("a"), "a").join(end("b"), "b")
-    pairs = written(ends.where(F.coalesce(9 * most >= 4 * (F.col("n_a") + F.col("n_b")), F.lit(True))).select("a", "b"), "pairs")
-    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "_row"), "node"), "needed")
+    ends = pairs.join(end("a"), "a").join(end("b"), "b")
+    met, pairs = pairs, written(ends.where(F.coalesce(9 * most >= 4 * (F.col("n_a") + F.col("n_b")), F.lit(True))).select("a", "b"), "pairs")
+    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(few.select("node", "_row"), "node"), "needed")
     texts = sifted(docs, "_row", sieve(needed, "_row")).join(needed, "_row")
     sets = written(_sets(texts, ("node",)), "sets")
     side = lambda e: sets.select(F.col("node").alias(e), F.col("shingles").alias(f"_{e}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("_a", "_b"))
     found = written(both.where(9 * shared >= 4 * (F.size("_a") + F.size("_b"))).select("a", "b"), "verified")
-    forget(pairs, needed, sets)
+    forget(met, pairs, needed, sets)
     return found
 
 
