@@ -49,8 +49,8 @@ def cut(scored: DataFrame, cutoff: float | None) -> DataFrame:
     return scored if cutoff is None or cutoff <= 0 else scored.where(F.col("score") >= cutoff)
 
 
-def _block_best(nodes: DataFrame, block: list, k: int, typed: bool, by_type: bool) -> DataFrame:
-    """Each batch's best ``k`` for each question, and with ``by_type`` for each type, those that tie with the last one too."""
+def _block_best(nodes: DataFrame, block: list, k: int | None, least: float | None, typed: bool, by_type: bool) -> DataFrame:
+    """Each batch's best ``k`` for each question (null: all) that score ``least`` or more, and with ``by_type`` for each type, those that tie with the last one too."""
     ids = np.array([r["query_id"] for r in block], dtype=np.int64)
     matrix = np.array([r["embedding"] for r in block], dtype=np.float64)
     types = [r["node_type"] for r in block] if typed else None
@@ -69,7 +69,9 @@ def _block_best(nodes: DataFrame, block: list, k: int, typed: bool, by_type: boo
             for j in range(len(ids)):
                 for at in [of_type.get(types[j], blank)] if types is not None else of_type.values() if by_type else [whole]:
                     s = scores[at, j]
-                    if len(at) > k:
+                    if least is not None:
+                        at, s = at[s >= least], s[s >= least]
+                    if k is not None and len(at) > k:
                         keep = s >= np.partition(s, len(s) - k)[len(s) - k]
                         at, s = at[keep], s[keep]
                     out.append((np.full(len(at), ids[j]), node[at], kind[at], s))
@@ -85,22 +87,32 @@ def top_k(queries: DataFrame, nodes: DataFrame, k: int, cutoff: float | None = N
     ``typed``: only nodes of the question's own type (a question may have several rows, one for each type); else of any
     type. ``by_type`` ranks within each type, else over all.
     """
+    found = _found(queries, nodes, k, cutoff, typed, by_type)
+    return ranked(found, ["query_id", "node_type"] if by_type else ["query_id"]).where(F.col("rank") <= k)
+
+
+def every(queries: DataFrame, nodes: DataFrame, cutoff: float | None = None) -> DataFrame:
+    """(query_id, node_id, node_type, score) of every question with every node, of at least the cutoff: nothing is shuffled or sorted, and low scores don't leave the task."""
+    return _found(queries, nodes, None, cutoff, typed=False, by_type=False)
+
+
+def _found(queries: DataFrame, nodes: DataFrame, k: int | None, cutoff: float | None, typed: bool, by_type: bool) -> DataFrame:
+    least = cutoff if cutoff is not None and cutoff > 0 else None
     blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
     parts = []
     for b in range(blocks):
         block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect() if blocks > 1 else queries.collect()
         if block:
-            parts.append(_block_best(nodes, block, k, typed, by_type))
+            parts.append(_block_best(nodes, block, k, least, typed, by_type))
     if not parts:
-        empty = "query_id long, node_id long, node_type string, score double, rank int"
-        return queries.sparkSession.createDataFrame([], empty)
-    found = cut(reduce(DataFrame.unionByName, parts), cutoff)
-    return ranked(found, ["query_id", "node_type"] if by_type else ["query_id"]).where(F.col("rank") <= k)
+        return queries.sparkSession.createDataFrame([], "query_id long, node_id long, node_type string, score double")
+    return reduce(DataFrame.unionByName, parts)
 
 
-def masked(scored: DataFrame, mask: DataFrame, on: list[str] | None = None) -> DataFrame:
-    """Only rows that the mask names."""
-    return scored.join(mask, on or ["query_id", "node_id"], "left_semi")
+def masked(queries: DataFrame, nodes: DataFrame, mask: DataFrame) -> DataFrame:
+    """(query_id, node_id, node_type, score) of what the mask names, each pair once: no other vectors are multiplied. Unknown ids are left out."""
+    pairs = mask.select("query_id", "node_id").distinct().join(nodes.select("node_id", "node_type"), "node_id")
+    return pair_scores(pairs, queries, nodes).where("score is not null").select("query_id", "node_id", "node_type", "score")
 
 
 def excluded(scored: DataFrame, exclude: DataFrame, on: list[str] | None = None) -> DataFrame:
@@ -108,15 +120,16 @@ def excluded(scored: DataFrame, exclude: DataFrame, on: list[str] | None = None)
     return scored.join(exclude, on or ["query_id", "node_id"], "left_anti")
 
 
-def with_complement(scored: DataFrame, mask: DataFrame, k: int) -> DataFrame:
+def with_complement(queries: DataFrame, nodes: DataFrame, mask: DataFrame, k: int) -> DataFrame:
     """The best ``k`` of the mask, and where the mask names fewer than ``k`` nodes, so many of the best others behind them.
 
-    How many others there are depends on the mask's length, not on its hits.
+    How many others there are depends on the mask's length, not on its hits. At most ``k`` come from the mask and at most
+    ``k`` from elsewhere, so the best 2 ``k`` of all nodes hold the others.
     """
-    first = ranked(masked(scored, mask), ["query_id"]).where(F.col("rank") <= k)
-    wanted = scored.select("query_id").distinct().join(mask.groupBy("query_id").agg(F.count("*").alias("_n")), "query_id", "left").select("query_id", (k - F.coalesce("_n", F.lit(0))).alias("_wanted"))
+    first = ranked(masked(queries, nodes, mask), ["query_id"]).where(F.col("rank") <= k)
+    wanted = queries.select("query_id").distinct().join(mask.groupBy("query_id").agg(F.count("*").alias("_n")), "query_id", "left").select("query_id", (k - F.coalesce("_n", F.lit(0))).alias("_wanted"))
     hits = first.groupBy("query_id").agg(F.count("*").alias("_hits"))
-    rest = ranked(scored.join(first, ["query_id", "node_id"], "left_anti"), ["query_id"]).join(wanted, "query_id").where(F.col("rank") <= F.col("_wanted"))
+    rest = ranked(top_k(queries, nodes, 2 * k, typed=False).drop("rank").join(first, ["query_id", "node_id"], "left_anti"), ["query_id"]).join(wanted, "query_id").where(F.col("rank") <= F.col("_wanted"))
     rest = rest.join(hits, "query_id", "left").withColumn("rank", (F.col("rank") + F.coalesce("_hits", F.lit(0))).cast("int"))
     return first.unionByName(rest.select(first.columns))
 
@@ -141,6 +154,34 @@ def vectors_for(texts: DataFrame, by_text: DataFrame, by_query: DataFrame, remem
     return found.withColumn("embedding", F.coalesce("_t", "_q", "_r")).withColumn("source", source).drop("_t", "_q", "_r")
 
 
+def cache_key(text: str | Column, query_id: str | Column) -> Column:
+    """What a remembered vector is found by: the text, with the question's id behind it; an id of 0 counts as none."""
+    text, id_ = (F.col(x) if isinstance(x, str) else x for x in (text, query_id))
+    return F.when(F.coalesce(id_, F.lit(0)) != 0, F.concat_ws("_", text, id_)).otherwise(text)
+
+
+class VectorCache:
+    """Remembered vectors as a table (key, embedding); each change gives a new cache, so a plan sees the one it was built with."""
+
+    def __init__(self, held: DataFrame):
+        self.held = held
+
+    def put(self, new: DataFrame) -> VectorCache:
+        """With the vectors of ``new`` (text, query_id, embedding, seq) too: the last one by ``seq`` takes the place of a held one; null ones aren't kept."""
+        kept = new.where(F.col("embedding").isNotNull()).groupBy(cache_key("text", "query_id").alias("key")).agg(F.max_by("embedding", "seq").alias("embedding"))
+        return VectorCache(self.held.join(kept, "key", "left_anti").unionByName(kept))
+
+    def get(self, texts: DataFrame) -> DataFrame:
+        """``texts`` (text, query_id, ...) with embedding, null where none is held; nothing is computed for them."""
+        return texts.withColumn("_key", cache_key("text", "query_id")).join(self.held.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
+
+    def clear(self) -> VectorCache:
+        return VectorCache(self.held.limit(0))
+
+    def size(self) -> int:
+        return self.held.count()
+
+
 def type_counts(nodes: DataFrame, asked: DataFrame) -> DataFrame:
     """(node_type, nodes) for every type asked for; 0 for a type without nodes."""
     counted = nodes.groupBy("node_type").agg(F.count("*").alias("nodes"))

@@ -104,8 +104,8 @@ def cand_anchor_verify(spark, d):
 
 @query(f"WITH {EMB}, s AS (SELECT query_id, node_type AS symbol, max(score) AS best FROM alls WHERE query_id <> node_id GROUP BY 1, 2) SELECT query_id, symbol, query_id % 200 = 0 AS constant FROM s WHERE best < 0.8 AND query_id % 200 = 0 AND symbol <> 't3'")
 def flt_anchor_gate(spark, d):
-    """A symbol for every type: constant where the question's id is divisible by 200; type t3's has no name."""
-    scored = all_scores(spark, d).where("query_id <> node_id").withColumnRenamed("node_type", "symbol")
+    """A symbol for every type: constant where the question's id is divisible by 200; type t3's has no name. The best two of each type hold the best other one."""
+    scored = v.top_k(graph.query_emb(spark, d), graph.node_emb(spark, d), 2, typed=False, by_type=True).drop("rank").where("query_id <> node_id").withColumnRenamed("node_type", "symbol")
     symbols = scored.select("query_id", "symbol").distinct().select("query_id", "symbol", F.when(F.col("symbol") != "t3", F.col("symbol")).otherwise(F.lit("")).alias("name"), (F.col("query_id") % 200 == 0).alias("constant"))
     return c.needs_anchor(symbols, scored).select("query_id", "symbol", "constant")
 

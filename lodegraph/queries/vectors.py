@@ -35,8 +35,7 @@ def _short_mask(spark, d):
 
 def all_scores(spark, d):
     """Every question against every node: the question set in blocks against all rows."""
-    n = graph.node_emb(spark, d)
-    return v.top_k(graph.query_emb(spark, d), n, 1 << 30, typed=False).drop("rank")
+    return v.every(graph.query_emb(spark, d), graph.node_emb(spark, d))
 
 
 @query(f"WITH {EMB} SELECT * FROM sim")
@@ -59,17 +58,17 @@ w AS (SELECT query_id, {K} - count(*) AS wanted FROM mask GROUP BY 1), h AS (SEL
 rest AS (SELECT a.query_id, a.node_id, a.node_type, a.score, row_number() OVER (PARTITION BY a.query_id ORDER BY score DESC, a.node_id) AS r FROM alls a ANTI JOIN first f USING (query_id, node_id))
 SELECT * FROM first UNION ALL SELECT query_id, node_id, node_type, score, (r + coalesce(hits, 0))::INT FROM rest JOIN w USING (query_id) LEFT JOIN h USING (query_id) WHERE r <= wanted""")
 def vss_topk_complement(spark, d):
-    return v.with_complement(all_scores(spark, d), _short_mask(spark, d), K)
+    return v.with_complement(graph.query_emb(spark, d), graph.node_emb(spark, d), _short_mask(spark, d), K)
 
 
 @query(f"WITH {EMB} SELECT query_id, node_id, node_type, score FROM alls WHERE score >= {CUTOFF}")
 def flt_cutoff(spark, d):
-    return v.cut(all_scores(spark, d), CUTOFF)
+    return v.every(graph.query_emb(spark, d), graph.node_emb(spark, d), CUTOFF)
 
 
 @query(f"WITH {EMB}, {MASK} SELECT query_id, node_id, node_type, score FROM alls SEMI JOIN mask USING (query_id, node_id)")
 def flt_mask(spark, d):
-    return v.masked(all_scores(spark, d), _mask(spark, d))
+    return v.masked(graph.query_emb(spark, d), graph.node_emb(spark, d), _mask(spark, d))
 
 
 @query(f"WITH {EMB}, {MASK} SELECT query_id, node_id, node_type, score FROM alls ANTI JOIN mask USING (query_id, node_id)")
@@ -118,6 +117,20 @@ def jn_emb_lookup(spark, d):
     return v.vectors_for(texts, known.where("node_id < 20"), by_query, known.where("node_id < 40")).select("query_id", "text", "source")
 
 
+@query("SELECT 'text ' || (vec_id % 50) || CASE WHEN vec_id % 4 = 0 THEN '' ELSE '_' || (vec_id % 4) END AS key, max(vec_id) AS last, (SELECT count(*) FROM (SELECT DISTINCT vec_id % 50, vec_id % 4 FROM embeddings)) AS size FROM embeddings GROUP BY 1")
+def vss_cache(spark, d):
+    """Vectors remembered by their text and the id's remainder by 4, of which 0 is no id, in two steps: the last one of a key stays."""
+    n = graph.node_emb(spark, d)
+    new = n.select(F.format_string("text %d", F.col("node_id") % 50).alias("text"), (F.col("node_id") % 4).alias("query_id"), F.array(F.col("node_id")).alias("embedding"), F.col("node_id").alias("seq"))
+    none = spark.createDataFrame([], "key string, embedding array<bigint>")
+    half = n.agg((F.max("node_id") / 2).alias("h"))
+    early, late = (new.join(F.broadcast(half), F.lit(True)).where(x).drop("h") for x in ("seq <= h", "seq > h"))  # one row
+    held = v.VectorCache(none).put(early).put(late)
+    asked = new.select("text", "query_id").distinct()
+    found = held.get(asked).select(v.cache_key("text", "query_id").alias("key"), F.col("embedding")[0].alias("last"))
+    return found.join(F.broadcast(held.held.agg(F.count("*").alias("size"))), F.lit(True))  # one row
+
+
 FLAGSHIP = f"""WITH {EMB}, found AS (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM alls WHERE node_id <> query_id QUALIFY rank <= {K}),
 truth AS (SELECT query_id, node_id FROM sim WHERE node_id <> query_id),
 per AS (SELECT t.query_id, count(*) AS total, max((rank = 1)::INT) AS h1, max((rank <= 5)::INT) AS h5, min(rank) AS first, count(rank) AS got FROM truth t LEFT JOIN found USING (query_id, node_id) GROUP BY 1)
