@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import cmp_to_key
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,6 +92,60 @@ def by_wins(answers: DataFrame, duels: DataFrame) -> DataFrame:
     return _ranked(both, [F.col("wins").desc(), F.col("rank")]).select("query_id", "node_id", "wins", "rank")
 
 
+def by_duels(answers: DataFrame, duels: DataFrame) -> DataFrame:
+    """Reordered by a stable sort that asks the recorded duels (query_id, a, b, response) for each comparison, also where they run in circles.
+
+    A duel recorded the other way round counts turned; one that isn't recorded or can't be read is a tie, which keeps the order.
+    A question's list and its duels go to one task; lists are short, for each pair of them is a model's answer.
+    """
+    won = F.trim(F.regexp_replace("response", "[\"']", ""))
+    named = won.try_cast("long")
+    sign = F.when((won == "A") | (named == F.col("a")), 1).when((won == "B") | (named == F.col("b")), -1).otherwise(0)
+    told = duels.groupBy("query_id").agg(F.collect_list(F.struct("a", "b", sign.cast("long").alias("s"))).alias("told"))
+    lists = answers.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "node_id"))), lambda x: x["node_id"]).alias("list"))
+    whole = lists.join(told, "query_id", "left")
+
+    def order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for id_, nodes, told in zip(batch["query_id"], batch["list"], batch["told"], strict=True):
+                said = {}
+                for t in told if told is not None else ():
+                    said.setdefault((t["b"], t["a"]), -t["s"])
+                said |= {(t["a"], t["b"]): t["s"] for t in (told if told is not None else ())}
+                better = sorted(nodes, key=cmp_to_key(lambda x, y, said=said: said.get((x, y), 0)), reverse=True)
+                out += [(id_, node, place) for place, node in enumerate(better, 1)]
+            yield pd.DataFrame(out, columns=["query_id", "node_id", "rank"])
+
+    return whole.mapInPandas(order, "query_id long, node_id long, rank int")
+
+
+#: Ways to rerank, by the number that a run's settings give; fixed values.
+METHODS = {0: "score", 1: "list", 2: "pairwise", 3: "neural"}
+
+
+def reranked(questions: DataFrame, method: int, recorded: DataFrame, most: int = SIZE) -> DataFrame:
+    """``questions`` (query_id, answers, ...) with ``reranked``: the first ``most`` answers as ``METHODS[method]`` orders what is recorded for it.
+
+    ``recorded`` is what ``scored``, ``listed`` (query_id, response), ``by_duels`` or ``by_position`` reads. A column ``with_relations`` marks
+    responses to documents with their relations: a question that has none of these takes those without. A question without
+    answers gets an empty list; its other columns, such as its row's place, stay. An unknown method is an error.
+    """
+    if method not in METHODS:
+        raise ValueError(f"unknown reranking method: {method}")
+    if "with_relations" in recorded.columns:
+        fullest = F.max("with_relations").over(Window.partitionBy("query_id"))
+        recorded = recorded.withColumn("_best", fullest).where(F.col("with_relations") == F.col("_best")).drop("_best", "with_relations")
+    short = F.slice(F.coalesce("answers", F.array().cast("array<bigint>")), 1, most)
+    if method == 1:
+        said = recorded.select("query_id", F.col("response").alias("_said"))
+        return questions.join(said, "query_id", "left").withColumn("reranked", listed(short, F.col("_said"))).drop("_said")
+    each = questions.select("query_id", F.posexplode(short).alias("rank", "node_id")).withColumn("rank", F.col("rank") + 1)
+    new = {0: lambda: scored(each, recorded, most), 2: lambda: by_duels(each, recorded), 3: lambda: by_position(each, recorded)}[method]()
+    lists = new.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "node_id"))), lambda x: x["node_id"]).alias("reranked"))
+    return questions.join(lists, "query_id", "left").withColumn("reranked", F.coalesce("reranked", F.array().cast("array<bigint>")))
+
+
 def by_position(answers: DataFrame, returned: DataFrame) -> DataFrame:
     """Reordered as a reranker's returned positions (query_id, index from 0, position) say; a question without any keeps its order."""
     placed = answers.join(returned.select("query_id", (F.col("index") + 1).alias("rank"), "position"), ["query_id", "rank"], "left")

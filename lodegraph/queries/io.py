@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources import files
 from ..sources.tables import table
-from . import query
+from . import ORACLES, evaluation, query
 
 
 @query("""SELECT '{"custom_id":"qid-' || o_orderkey || '","method":"POST","url":"/v1/embeddings","body":{"input":"' || o_orderpriority || '","model":"embedding-model","encoding_format":"float"}}' AS value FROM orders""")
@@ -105,3 +105,25 @@ def snk_data_dump(spark, d):
 @query("SELECT count(*) AS total_queries, round(avg(o_totalprice), 4) AS avg_total FROM orders")
 def snk_aggregate_csv(spark, d):
     return table(spark, d, "orders").agg(F.count("*").alias("total_queries"), F.round(F.avg("o_totalprice"), 4).alias("avg_total"))
+
+
+@query(f"""SELECT 1 AS "Method", 'orders' AS "Dataset", round(avg(hit_1), 6) AS "Hit@1", round(avg(hit_5), 6) AS "Hit@5", round(avg(mrr), 6) AS "MRR", round(avg(recall), 6) AS "Recall@20", count(*) AS "Num_queries" FROM ({ORACLES["ev_metrics_rr"]})""")
+def snk_rerank_3files(spark, d):
+    """The summary of the reranker's judgements; the lists and the judgements themselves are the other two files."""
+    found = files.rerank_summary(evaluation.ev_metrics_rr(spark, d).withColumnRenamed("recall", "recall_20"), 1, "orders")
+    return found.select(*(F.round(F.col(f"`{c}`"), 6).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in found.dtypes))
+
+
+@query("""SELECT o_orderkey AS query_id, o_orderpriority AS query_text, (o_orderkey % 7)::INT AS total_answers, 0::INT AS retrieved_count, 0::INT AS missed_count, 0::DOUBLE AS "recall@50", 0.5::DOUBLE AS "recall@20", 0::DOUBLE AS "hit@1", CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END::DOUBLE AS "hit@5", 0::DOUBLE AS mrr, 0::DOUBLE AS "recall@20_alpha_12", 0.25::DOUBLE AS "recall@20_alpha_13" FROM orders""")
+def snk_metrics_csv(spark, d):
+    """Metric rows as they are appended: some columns are missing, some values null."""
+    o = table(spark, d, "orders")
+    rows = o.select(F.col("o_orderkey").alias("query_id"), F.col("o_orderpriority").alias("query_text"), (F.col("o_orderkey") % 7).alias("total_answers"), F.lit(0.5).alias("recall@20"), F.when(F.col("o_orderkey") % 3 == 0, 1.0).alias("hit@5"), F.lit(0.25).alias("recall@20_alpha_13"))
+    return files.metric_rows(rows, (12, 13))
+
+
+@query("SELECT o_orderkey::VARCHAR AS query_id, '[\"' || o_orderstatus || '\"]' AS cell, '[]' AS blank, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE '' END AS text FROM orders")
+def snk_serialize_old(spark, d):
+    """The earlier dump's cells: lists as JSON, empty ones too, nulls as nothing."""
+    o = table(spark, d, "orders")
+    return files.serialized(o.select(F.col("o_orderkey").alias("query_id"), F.array("o_orderstatus").alias("cell"), F.array().cast("array<string>").alias("blank"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("text")))

@@ -108,6 +108,27 @@ def rr_pairwise(spark, d):
     return m.by_wins(a, duels)
 
 
+@query(f"WITH {LINES} SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY node_id DESC)::INT AS rank FROM ans")
+def rr_pairwise_sorted(spark, d):
+    """The sort by duels where the greater number wins each of them, half of them recorded the other way round."""
+    a = _lines(spark, d)
+    x, y = a.select("query_id", F.col("node_id").alias("a")), a.select("query_id", F.col("node_id").alias("b"))
+    duels = x.join(y, "query_id").where(F.when((F.col("a") + F.col("b")) % 2 == 0, F.col("a") < F.col("b")).otherwise(F.col("a") > F.col("b")))
+    return m.by_duels(a, duels.withColumn("response", F.when(F.col("a") > F.col("b"), "'A'").otherwise(F.col("b").cast("string"))))
+
+
+@query(f"SELECT query_id, CASE WHEN query_id % 5 = 0 THEN '' ELSE string_agg(node_id::VARCHAR, ',' ORDER BY rank) END AS answers FROM ({_score_sql('s')}) GROUP BY 1")
+def rr_dispatch(spark, d):
+    """Reranking by scores, chosen by its number: every fifth list is empty, odd questions have responses without relations only."""
+    a = _lines(spark, d)
+    lists = a.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "node_id"))).alias("l"))
+    asked = lists.select("query_id", F.when(F.col("query_id") % 5 != 0, F.transform("l", lambda x: x["node_id"])).alias("answers"))
+    even, said = F.col("query_id") % 2 == 0, _recorded(a)
+    without = said.withColumn("response", F.when(even, "0.1").otherwise(F.col("response")))
+    both = said.where(even).withColumn("with_relations", F.lit(True)).unionByName(without.withColumn("with_relations", F.lit(False)))
+    return m.reranked(asked, 0, both).select("query_id", F.array_join("reranked", ",").alias("answers"))
+
+
 @query(f"WITH {LINES}, r AS (SELECT query_id, node_id, rank, CASE WHEN query_id % 4 <> 0 THEN row_number() OVER (PARTITION BY query_id ORDER BY node_id % 7, node_id) END AS position FROM ans) SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY position, rank)::INT AS rank FROM r")
 def rr_neural(spark, d):
     """Returned positions follow the part number's remainder by 7; a fourth of the questions have none."""

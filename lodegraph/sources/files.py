@@ -45,6 +45,36 @@ def _flat(field: T.StructField) -> Column:
     return F.col(field.name)
 
 
+def metric_rows(rows: DataFrame, alphas: Sequence[int] = range(12, 21)) -> DataFrame:
+    """``rows`` with the columns of a run's metrics and a recall for each alpha, in their order; what is missing or null counts as 0."""
+    kinds = [(f.name, f.dataType) for f in T._parse_datatype_string(METRICS).fields] + [(f"recall@20_alpha_{a}", T.DoubleType()) for a in alphas]
+    zero = lambda c, kind: F.lit("" if isinstance(kind, T.StringType) else 0).cast(kind)
+    return rows.select(*((F.coalesce(F.col(f"`{c}`").cast(kind), zero(c, kind)) if c in rows.columns else zero(c, kind)).alias(c) for c, kind in kinds))
+
+
+def append_metrics(rows: DataFrame, path: str) -> None:
+    """Metric rows behind those that are there; every file has its header."""
+    write_csv(metric_rows(rows), path)
+
+
+def serialized(rows: DataFrame) -> DataFrame:
+    """The earlier dump's cells: nulls are empty text, nested values JSON (empty ones, too), all others as they are, as text."""
+    nested_kinds = (T.ArrayType, T.MapType, T.StructType)
+    return rows.select(*(F.coalesce(F.to_json(f.name) if isinstance(f.dataType, nested_kinds) else F.col(f.name).cast("string"), F.lit("")).alias(f.name) for f in rows.schema.fields))
+
+
+def rerank_summary(judged: DataFrame, method: int, dataset: str) -> DataFrame:
+    """One row of a reranking's judgements (hit_1, hit_5, mrr, recall_20 of each question)."""
+    means = (F.avg(c).alias(n) for c, n in (("hit_1", "Hit@1"), ("hit_5", "Hit@5"), ("mrr", "MRR"), ("recall_20", "Recall@20")))
+    return judged.agg(F.count("*").alias("Num_queries"), *means).select(F.lit(method).alias("Method"), F.lit(dataset).alias("Dataset"), "Hit@1", "Hit@5", "MRR", "Recall@20", "Num_queries")
+
+
+def write_rerank(reranked: DataFrame, judged: DataFrame, base: str, method: int, dataset: str) -> None:
+    """A reranking's three outputs: ``base``.csv with the lists, ``base``_details.csv with each question's metrics, ``base``_summary.csv."""
+    for rows, name in ((reranked, ""), (judged, "_details"), (rerank_summary(judged, method, dataset).coalesce(1), "_summary")):
+        write_csv(rows, f"{base}{name}.csv", "overwrite")
+
+
 def nested(text: Column, kind: str) -> Column:
     """A dump's nested cell, read back; null where it is empty or can't be read."""
     return F.from_json(F.when(text != "", text), kind)

@@ -1,5 +1,7 @@
 """Cases by hand: empty and null input, ties, files, streams, and the whole way to an answer."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +10,7 @@ from lodegraph.functions import parsing
 from lodegraph.functions import text as t
 from lodegraph.operators import analysis, candidates, merging, metrics, runs
 from lodegraph.operators import vectors as v
-from lodegraph.plans import answering
+from lodegraph.plans import answering, config
 from lodegraph.sources import files
 from lodegraph.streaming import runs as streaming
 
@@ -181,3 +183,69 @@ def test_choices(spark):
     df = spark.createDataFrame([(k, x) for k, x in enumerate(said)], "k int, x string")
     got = [r.c for r in df.select("k", candidates.choice_of(F.col("x"), F.lit(3)).alias("c")).orderBy("k").collect()]
     assert got == [2, 1, 3, 2, 2, 0, 0, 0, 0, 0, 0, 0]
+
+
+def test_duels_that_run_in_circles(spark):
+    answers = spark.createDataFrame([(1, n, r) for r, n in enumerate((10, 20, 30), 1)] + [(2, 5, 1), (2, 6, 2), (3, 7, 1)], "query_id long, node_id long, rank int")
+    duels = spark.createDataFrame([(1, 10, 20, "A"), (1, 20, 30, "'20'"), (1, 10, 30, ' "B" '), (2, 6, 5, "A"), (2, 5, 6, "?")], "query_id long, a long, b long, response string")
+    got = {q: [r.node_id for r in merging.by_duels(answers, duels).where(f"query_id = {q}").orderBy("rank").collect()] for q in (1, 2, 3)}
+    better = {(10, 20): 1, (20, 30): 1, (10, 30): -1}
+    import functools
+
+    asked = lambda a, b: better.get((a, b), -better.get((b, a), 0))
+    assert got == {1: sorted([10, 20, 30], key=functools.cmp_to_key(asked), reverse=True), 2: [5, 6], 3: [7]}
+
+
+def test_reranking_by_number(spark):
+    asked = spark.createDataFrame([(0, 1, [5, 6, 7]), (1, 2, []), (2, 3, None), (3, 4, [8, 9])], "place int, query_id long, answers array<long>")
+    lists = lambda *a: [r.reranked for r in merging.reranked(asked, *a).orderBy("place").collect()]
+    scores = spark.createDataFrame([(1, 5, "0.1", True), (1, 7, "0.9", True), (1, 6, "1", False), (4, 9, "1", False)], "query_id long, node_id long, response string, with_relations boolean")
+    assert lists(0, scores) == [[7, 6, 5], [], [], [9, 8]]
+    assert lists(1, spark.createDataFrame([(1, "7, 1, 5"), (4, "?")], "query_id long, response string")) == [[7, 5, 6], [], [], [8, 9]]
+    assert lists(2, spark.createDataFrame([(4, 8, 9, "B")], "query_id long, a long, b long, response string")) == [[5, 6, 7], [], [], [9, 8]]
+    assert lists(3, spark.createDataFrame([(1, 2, 1), (1, 0, 2), (1, 1, 3)], "query_id long, index int, position int")) == [[7, 5, 6], [], [], [8, 9]]
+    assert lists(1, spark.createDataFrame([], "query_id long, response string"), 1) == [[5], [], [], [8]]
+    with pytest.raises(ValueError, match="unknown reranking method"):
+        lists(4, scores)
+
+
+def test_outputs_of_a_reranking(spark, tmp_path):
+    judged = spark.createDataFrame([(1, 1.0, 1.0, 0.5, 0.25), (2, 0.0, 1.0, 0.5, 0.75)], "query_id long, hit_1 double, hit_5 double, mrr double, recall_20 double")
+    files.write_rerank(spark.createDataFrame([(1, [3, 2])], "query_id long, reranked array<long>"), judged, f"{tmp_path}/out", 2, "kg")
+    read = lambda name: spark.read.option("header", True).option("escape", '"').csv(f"{tmp_path}/out{name}.csv").collect()
+    assert [r.reranked for r in read("")] == ["[3,2]"] and len(read("_details")) == 2
+    assert tuple(read("_summary")[0]) == ("2", "kg", "0.5", "1.0", "0.5", "0.5", "2")
+
+
+def test_metrics_are_appended(spark, tmp_path):
+    for k in (1, 2):
+        files.append_metrics(spark.createDataFrame([(k, None)], "query_id long, mrr double"), f"{tmp_path}/m")
+    back = spark.read.option("header", True).csv(f"{tmp_path}/m").orderBy("query_id").collect()
+    assert [(r.query_id, r.mrr, r["recall@20_alpha_20"]) for r in back] == [("1", "0.0", "0.0"), ("2", "0.0", "0.0")]
+
+
+def test_vector_cache(spark):
+    new = lambda *r: spark.createDataFrame(list(r), "text string, query_id long, embedding array<double>, seq int")
+    cache = v.VectorCache(spark.createDataFrame([], "key string, embedding array<double>")).put(new(("a", 0, [1.0], 1), ("a", None, [2.0], 2), ("a", 7, [3.0], 1), ("b", 1, None, 1)))
+    later = cache.put(new(("a", 0, [9.0], 1)))
+    asked = spark.createDataFrame([("a", 0), ("a", 7), ("a", 8), ("b", 1)], "text string, query_id long")
+    assert rows(later.get(asked), "text", "query_id", "embedding") == [("a", 0, [9.0]), ("a", 7, [3.0]), ("a", 8, None), ("b", 1, None)]
+    assert (cache.size(), later.size(), later.clear().size()) == (2, 2, 0) and cache.get(asked).where("query_id = 0").first().embedding == [2.0]
+
+
+def test_scores_without_ranks(spark):
+    q = spark.createDataFrame([(1, "x", [1.0, 0.0]), (2, "y", [0.0, 1.0])], "query_id long, node_type string, embedding array<float>")
+    n = spark.createDataFrame([(i, "x", [float(i), 0.5]) for i in range(3)] + [(9, "x", None)], "node_id long, node_type string, embedding array<float>")
+    assert v.every(q, n).count() == 6 and rows(v.every(q, n, 0.6), "query_id", "node_id") == [(1, 1), (1, 2)] and v.every(q.limit(0), n).count() == 0
+    mask = spark.createDataFrame([(1, 0), (1, 0), (1, 77), (2, 2), (2, 9)], "query_id long, node_id long")
+    assert rows(v.masked(q, n, mask), "query_id", "node_id", "score") == [(1, 0, 0.0), (2, 2, 0.5)]
+
+
+def test_settings_from_a_file(tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps({"experiment": {"dataset": "a"}, "grounding_params": {"score_decay": 0.5}}))
+    read = config.load(tmp_path / "c.json", alpha=14, dataset=None, split="test")
+    made = config.settings(read)
+    assert (made.alpha, made.policy.decay, config.value(read, "dataset"), config.value(read, "split")) == (14, 0.5, "a", "test")
+    assert config.settings({}) == answering.Settings()
+    with pytest.raises(KeyError):
+        config.load(tmp_path / "c.json", other=1)
