@@ -144,12 +144,12 @@ def add_columns(df: DataFrame, text: str, fields: list[T.StructField], step: Cal
                 made = make(part.column(at).to_pylist())
                 new = [x if isinstance(x, pa.Array) else pa.array(x, kind.type) for x, kind in zip(made, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), *new], names=[*kept, *(k.name for k in kinds)])
-        _give_back()
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return to the system what a task has freed: workers live on from task to task, and each would keep the most it ever held."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
@@ -203,6 +203,11 @@ def spare(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def quoted(name: str) -> str:
+    """A column's name as a reference, whatever stands in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def remainder(column: str | Column, modulus: int) -> Column:
     """crc32 of an id's decimal text, modulo ``modulus``; a null id counts as empty text."""
     id_ = F.col(column) if isinstance(column, str) else column

@@ -6,6 +6,7 @@ control; what needs these is tested against brute force.
 
 from .byte_bpe import op1_byte_bpe
 from .decontaminate import op9_decontaminate
+from .fill_in_middle import op12_fill_in_middle
 from .language import op8_language
 from .ngram_lm import op10_ngram_lm
 from .pii import op4_pii
@@ -15,7 +16,7 @@ from .simhash import op3_simhash
 from .toxicity import op6_toxicity
 from .warc import op5_warc
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_simhash, op4_pii, op5_warc, op6_toxicity, op7_secrets, op8_language, op9_decontaminate, op10_ngram_lm)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_simhash, op4_pii, op5_warc, op6_toxicity, op7_secrets, op8_language, op9_decontaminate, op10_ngram_lm, op12_fill_in_middle)}
 
 _QUALITY = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(1)) AS source, coalesce(text, '') AS t FROM documents),
@@ -50,4 +51,14 @@ o AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT ite
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN o USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op2_quality": _QUALITY, "op5_warc": _WARC, "op9_decontaminate": _CONTAMINATED}
+_FILL_IN_MIDDLE = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+g AS (SELECT *, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+p AS (SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE t END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p"""
+
+ORACLES: dict[str, str] = {"op2_quality": _QUALITY, "op5_warc": _WARC, "op9_decontaminate": _CONTAMINATED, "op12_fill_in_middle": _FILL_IN_MIDDLE}
