@@ -15,8 +15,9 @@ from .secrets import op7_secrets
 from .simhash import op3_simhash
 from .toxicity import op6_toxicity
 from .warc import op5_warc
+from .whitening import op13_whitening
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_simhash, op4_pii, op5_warc, op6_toxicity, op7_secrets, op8_language, op9_decontaminate, op10_ngram_lm, op12_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_simhash, op4_pii, op5_warc, op6_toxicity, op7_secrets, op8_language, op9_decontaminate, op10_ngram_lm, op12_fill_in_middle, op13_whitening)}
 
 _QUALITY = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(1)) AS source, coalesce(text, '') AS t FROM documents),
