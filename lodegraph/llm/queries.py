@@ -5,6 +5,7 @@ control; what needs these is tested against brute force.
 """
 
 from .byte_bpe import op1_byte_bpe
+from .chunked_bpe import op11_chunked_bpe
 from .decontaminate import op9_decontaminate
 from .fill_in_middle import op12_fill_in_middle
 from .language import op8_language
@@ -17,7 +18,7 @@ from .toxicity import op6_toxicity
 from .warc import op5_warc
 from .whitening import op13_whitening
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_simhash, op4_pii, op5_warc, op6_toxicity, op7_secrets, op8_language, op9_decontaminate, op10_ngram_lm, op12_fill_in_middle, op13_whitening)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_simhash, op4_pii, op5_warc, op6_toxicity, op7_secrets, op8_language, op9_decontaminate, op10_ngram_lm, op11_chunked_bpe, op12_fill_in_middle, op13_whitening)}
 
 _QUALITY = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(1)) AS source, coalesce(text, '') AS t FROM documents),
