@@ -25,9 +25,9 @@ from .components import components
 from .simhash import BLOCK, _dealt, majority, shingle_hashes, words_of
 from .simhash import links as simhash_links
 
-#: Words of a shingle; one document in so many is looked at for frequent shingles; seen so often there, a shingle is frequent.
-#: The last two decide how much is compared, not what is found.
-WIDTH, SAMPLED, FREQUENT = 5, 16, 3
+#: Words of a shingle; one document in so many is looked at for frequent shingles; seen so often there, a shingle is frequent; so many
+#: of these, the most frequent ones, are told to all tasks (4 MB). All but the first decide how much is compared, not what is found.
+WIDTH, SAMPLED, FREQUENT, TOLD = 5, 16, 3, 1 << 18
 #: Cells that a set's shingles are counted in; larger sets than this are not counted, and so only verified.
 CELLS, COUNTED = 256, 16_384
 
@@ -44,9 +44,10 @@ def _sets(df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
 
 
 def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that stand often in a sample of ``docs`` (_row, text), ascending, and how often."""
+    """The ``TOLD`` shingles that stand most often in a sample of ``docs`` (_row, text), ascending, and how often."""
     sample = _sets(docs.where(F.pmod(F.xxhash64("_row"), F.lit(SAMPLED)) == 0), ())
-    seen = sample.select(F.explode("shingles").alias("s")).groupBy("s").count().where(F.col("count") >= FREQUENT).toPandas()
+    seen = sample.select(F.explode("shingles").alias("s")).groupBy("s").count().where(F.col("count") >= FREQUENT)
+    seen = seen.orderBy(F.desc("count"), "s").limit(TOLD).toPandas()
     hashes, times = seen["s"].to_numpy(np.int64).view(np.uint64), seen["count"].to_numpy(np.int64)
     order = np.argsort(hashes)
     return hashes[order], times[order]

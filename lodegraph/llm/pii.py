@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from .common import add_columns, table
 
-#: Rounds of the network; pseudonyms that a Python worker remembers; letters and digits of a long value that are one number.
-ROUNDS, REMEMBERED, BLOCK = 8, 100_000, 32
+#: Rounds of the network; pseudonyms that a Python worker remembers, of values of so many characters at most; letters and digits of a long value that are one number.
+ROUNDS, REMEMBERED, LONGEST, BLOCK = 8, 100_000, 64, 32
 #: Dates within these years stay within them, all others outside.
 YEARS = (1900, 2100)
 #: The key that queries and tests use. Real data needs a key of its own, kept apart from the data.
@@ -42,7 +42,7 @@ TWO_DIGIT_CODES = (
 KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
 _FIND = regex.compile(
     r"""
-    (?<![\p{L}\p{M}0-9._%+-])(?P<email>[\p{L}\p{M}0-9._%+-][\p{L}\p{M}0-9._%+'-]*+@(?:[\p{L}\p{M}\p{N}-]+\.)+(?:xn--[A-Za-z0-9-]+|[\p{L}\p{M}]{2,})(?![\p{L}\p{M}\p{N}]))
+    (?=[\p{L}\p{M}0-9._%+-])(?<![\p{L}\p{M}0-9._%+-]'*)(?P<email>[\p{L}\p{M}0-9._%+-][\p{L}\p{M}0-9._%+'-]*+@(?:[\p{L}\p{M}\p{N}-]+\.)+(?:xn--[A-Za-z0-9-]+|[\p{L}\p{M}]{2,})(?![\p{L}\p{M}\p{N}]))
     |(?<![\p{L}0-9])(?P<iban>[A-Z]{2}[0-9]{2}(?:(?P<space>[ ]?)[A-Z0-9]{4})(?:(?P=space)[A-Z0-9]{4}){1,6}(?:(?P=space)[A-Z0-9]{1,4})?)(?![\p{L}0-9])
     |(?<![0-9.])(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9]|\.[0-9])
     |(?<![0-9/.-])(?P<date>[0-9]{4}(?P<of>[/-])[0-9]{1,2}(?P=of)[0-9]{1,2}|[0-9]{1,2}(?P<by>[./-])[0-9]{1,2}(?P=by)[0-9]{4})(?![0-9/-]|\.[0-9])
@@ -150,7 +150,10 @@ class Pseudonyms:
 
     def __init__(self, key: bytes, back: bool = False):
         self.permuter, self.back = Permuter(key), back
-        self.of = lru_cache(REMEMBERED)(self._of)
+        self._remembered = lru_cache(REMEMBERED)(self._of)
+
+    def of(self, kind: str, found: str) -> str | None:
+        return self._remembered(kind, found) if len(found) <= LONGEST else self._of(kind, found)
 
     def _of(self, kind: str, found: str) -> str | None:
         """The pseudonym, None where ``found`` isn't valid and so stays."""
@@ -191,7 +194,7 @@ class Pseudonyms:
         return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
 
     def _phone(self, found: str) -> str:
-        """The country code stays; all behind it is permuted. Without one, all digits are but a 1 before them."""
+        """The country code stays; all behind it is permuted. A number without one is a national number of +1, with a 1 before it or not."""
         if found[0] == "+":
             set_off = regex.match(r"\+[0-9]{1,3}(?=[ .(-])", found)
             long = 1 if found[1] in SHORT_CODES else 2 if found[1:3] in TWO_DIGIT_CODES else 3
@@ -199,7 +202,7 @@ class Pseudonyms:
         else:
             head = regex.match(r"(?:1[ .-])?", found)[0]
         rest = found[len(head) :]
-        return head + _like(rest, self.permuter.digits("phone" + head.rstrip(" .-"), "".join(c for c in rest if c.isdigit()), self.back))
+        return head + _like(rest, self.permuter.digits("phone" + (head if found[0] == "+" else "+1"), "".join(c for c in rest if c.isdigit()), self.back))
 
     def _ip(self, found: str) -> str | None:
         parts = found.split(".")

@@ -56,3 +56,22 @@ def test_repeated_id_of_unrelated_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/docs")
     kept = c.near_duplicates(spark, spark.read.parquet(f"{tmp_path}/docs"), "").collect()
     assert sorted((str(r.doc_id), r.text[:2]) for r in kept) == [("1", "x0"), ("1", "y0"), ("None", "qu"), ("None", "z0")]
+
+
+def test_frequent_shingles_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SAMPLED", 1)
+    df = spark.createDataFrame([(k, "one two three four five six seven " + ("eight nine " * (k % 3))) for k in range(12)], "_row long, text string")
+    every = jaccard.frequent(df)
+    monkeypatch.setattr(jaccard, "TOLD", 2)
+    hashes, times = jaccard.frequent(df)
+    assert len(hashes) == 2 < len(every[0]) and sorted(times) == sorted(every[1])[-2:]
+
+
+def test_sieve(spark):
+    from lodegraph.llm.common import sieve, sifted
+
+    ids = spark.range(0, 5000).withColumnRenamed("id", "row")
+    some = ids.where("row % 7 = 0")
+    inside, outside = sifted(ids, "row", sieve(some, "row")), sifted(ids, "row", sieve(some, "row"), inside=False)
+    assert some.exceptAll(inside).isEmpty() and inside.count() < some.count() + 20 and inside.count() + outside.count() == 5000
+    assert sifted(ids, "row", sieve(some.limit(0), "row")).isEmpty()

@@ -113,3 +113,31 @@ def test_query_links_and_hides(spark):
             shift, at, total = shift + len(value) - (b - a), b, total + 1
         assert new[i].text is None if text is None else new[i].text[at + shift :] == text[at:]
     assert len(set(seen.values())) == len(seen) and total > 30
+
+
+def test_a_line_of_quotes_takes_linear_time():
+    import time
+
+    worker = pii.Pseudonyms(b"key")
+    for unit in ("a'", "a''", "'", "a'b''"):
+        began = time.perf_counter()
+        line = unit * 200_000 + "1"
+        assert worker.replace(line) == (line, [])
+        assert time.perf_counter() - began < 5
+    text, spans = worker.replace("x='it's@example.org' 'o'neil@example.org'")
+    assert [text[a:b].endswith("@example.org") for _, a, b in spans] == [True, True]
+
+
+def test_a_number_is_one_number_however_it_is_written():
+    worker = pii.Pseudonyms(b"key")
+    forms = ["+1 555 123 4567", "1-555-123-4567", "555-123-4567", "(555) 123-4567", "+1 (555) 123-4567", "555.123.4567"]
+    new = {"".join(c for c in worker.replace(f)[0] if c.isdigit())[-10:] for f in forms}
+    assert len(new) == 1 and new != {"5551234567"}
+    back = pii.Pseudonyms(b"key", back=True)
+    assert [back.replace(worker.replace(f)[0])[0] for f in forms] == forms
+
+
+def test_long_values_are_not_remembered():
+    worker = pii.Pseudonyms(b"key")
+    worker.replace("a" * 5000 + "@example.org and b@example.org")
+    assert worker._remembered.cache_info().currsize == 1
