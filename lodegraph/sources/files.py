@@ -85,10 +85,12 @@ def answers_of(text: Column) -> Column:
     return F.slice(F.coalesce(nested(text, "array<bigint>"), F.array().cast("array<bigint>")), 1, MOST_ANSWERS)
 
 
-def request_lines(queries: DataFrame, model: str = "embedding-model") -> DataFrame:
-    """(value): a JSON line for each question, asking for its vector; ready for a text sink."""
+def request_lines(queries: DataFrame, model: str = "embedding-model", keep: Sequence[str] = ()) -> DataFrame:
+    """(value): a JSON line for each question, asking for its vector; ready for a text sink. Columns of ``keep`` stay. Names are the service's: fixed values."""
     body = F.struct(F.col("query").alias("input"), F.lit(model).alias("model"), F.lit("float").alias("encoding_format"))
-    return queries.select(F.to_json(F.struct(F.concat(F.lit("qid-"), F.col("query_id")).alias("custom_id"), F.lit("POST").alias("method"), F.lit("/v1/embeddings").alias("url"), body.alias("body"))).alias("value"))
+    id_ = F.concat(F.lit("qid-"), F.col("query_id")).alias("custom_id")
+    line = F.struct(id_, F.lit("POST").alias("method"), F.lit("/v1/embeddings").alias("url"), body.alias("body"))
+    return queries.select(F.to_json(line).alias("value"), *keep)
 
 
 def results(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import re
 import tempfile
 import uuid
@@ -62,16 +63,21 @@ def names(spark: SparkSession, path: str) -> list[str]:
 
 
 def create(spark: SparkSession, path: str, text: str) -> bool:
-    """A small file that comes to be whole or not at all; False where it is there already. The rename decides between writers."""
+    """A small file that comes to be whole or not at all; False where there is one already. Of several writers one succeeds."""
     system, at = _at(spark, path)
-    _, aside = _at(spark, f"{path}.{uuid.uuid4().hex}")
+    _, aside = _at(spark, f"{path}.{uuid.uuid4().hex}.tmp")
     out = system.create(aside, False)
     out.write(bytearray(text.encode()))
     out.close()
-    kept = not system.exists(at) and system.rename(aside, at)
-    if not kept:
+    try:
+        if system.getScheme() == "file":  # its rename would replace
+            os.link(aside.toUri().getPath(), at.toUri().getPath())
+            return True
+        return not system.exists(at) and system.rename(aside, at)
+    except FileExistsError:
+        return False
+    finally:
         system.delete(aside, False)
-    return bool(kept)
 
 
 def content(spark: SparkSession, path: str) -> str:
