@@ -2,4 +2,4 @@
 
 from __future__ import annotations
 
-from .queries import ORACLES, QUERIES, analysis, appended, dispatch, evaluation, grounding, io, merging, parsing, plans, runs, vector_files, vectors  # noqa: F401
+from .queries import ORACLES, QUERIES, analysis, appended, dispatch, evaluation, grounding, io, merging, parsing, plans, runs, staged, vector_files, vectors  # noqa: F401
