@@ -1,21 +1,22 @@
 """Vector search by inner product, exact, with types, masks, exclusions, cutoffs and complements.
 
 Scores are rounded to ``DIGITS`` before they are ranked, and ties go to the smaller node id, so results are the same
-on every cluster. Questions are held in blocks of at most ``BLOCK_QUERIES``; each task multiplies a batch of node
-vectors with a block and passes on only each question's best k, so what is shuffled doesn't grow with the nodes.
+on every cluster. All questions meet all nodes in one stage; each task multiplies its nodes with a block of questions and
+passes on each question's best k alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DIGITS, BLOCK_QUERIES = 6, 4096
+#: Digits of a score; bytes of question vectors, and of a task's node vectors, as doubles, that are held at once; bytes of a product; scored
+#: rows that a task holds before it drops those that can't be among the best.
+DIGITS, QUESTION_BYTES, NODE_BYTES, PRODUCT_BYTES, HELD_ROWS = 6, 32 << 20, 64 << 20, 8 << 20, 1 << 20
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -49,36 +50,143 @@ def cut(scored: DataFrame, cutoff: float | None) -> DataFrame:
     return scored if cutoff is None or cutoff <= 0 else scored.where(F.col("score") >= cutoff)
 
 
-def _block_best(nodes: DataFrame, block: list, k: int | None, least: float | None, typed: bool, by_type: bool) -> DataFrame:
-    """Each batch's best ``k`` for each question (null: all) that score ``least`` or more, and with ``by_type`` for each type, those that tie with the last one too."""
-    ids = np.array([r["query_id"] for r in block], dtype=np.int64)
-    matrix = np.array([r["embedding"] for r in block], dtype=np.float64)
-    types = [r["node_type"] for r in block] if typed else None
-    held = nodes.sparkSession.sparkContext.broadcast((ids, matrix, types))  # at most BLOCK_QUERIES vectors
+class _Questions:
+    """Question vectors as a matrix, with their lengths; each question has a type."""
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix, types = held.value
-        for batch in batches:
-            if not batch.num_rows:
+    def __init__(self, ids: np.ndarray, types: Sequence[str | None], matrix: np.ndarray):
+        self.ids, self.types, self.matrix = ids, np.array(types, dtype=object), matrix
+        self.norms = np.linalg.norm(matrix, axis=1)
+
+
+class _Best:
+    """The best ``k`` nodes of each question: rows that can't be among them are dropped as others come."""
+
+    def __init__(self, questions: int, k: int):
+        self.k, self.least = k, np.full(questions, -np.inf)
+        self.rows: list[tuple[np.ndarray, ...]] = []  # question, node, kind, score
+        self.held = 0
+
+    def add(self, *row: np.ndarray) -> None:
+        self.rows.append(row)
+        self.held += len(row[0])
+        if self.held > HELD_ROWS:
+            self.settle()
+
+    def settle(self) -> None:
+        """Keeps each question's first ``k``, best score first, then smaller node id."""
+        question, node, kind, score = (np.concatenate(c) for c in zip(*self.rows))
+        order = np.lexsort((node, -score, question))
+        question, node, kind, score = question[order], node[order], kind[order], score[order]
+        first = np.flatnonzero(np.concatenate([[True], question[1:] != question[:-1]]))
+        place = np.arange(len(question)) - np.repeat(first, np.diff(np.concatenate([first, [len(question)]])))
+        last = place == self.k - 1
+        self.least[question[last]] = score[last]
+        keep = place < self.k
+        self.rows, self.held = [(question[keep], node[keep], kind[keep], score[keep])], int(keep.sum())
+
+    def taken(self) -> tuple[np.ndarray, ...]:
+        self.settle()
+        (rows,) = self.rows
+        self.rows, self.held = [], 0
+        return rows
+
+
+def _search(q: _Questions, batches: Iterator[tuple], k: int | None, least: float | None, typed: bool, by_type: bool) -> Iterator[pa.RecordBatch]:
+    """Each question's best ``k`` (null: all) of the nodes (ids, types, vectors) that score ``least`` or more, and with ``by_type`` of each type.
+
+    Products are taken in slices of ``PRODUCT_BYTES``, longest node vectors first: where no question's length times the slice's longest reaches what it
+    has to beat, the rest is left out, for no product exceeds that of the lengths. What is held is ``HELD_ROWS`` and the best of each question; where
+    the types make that more, it is passed on early.
+    """
+    floor, names, best = -np.inf if least is None else least, [], {}
+
+    def rows(question, node, kind, score) -> pa.RecordBatch:
+        kinds = pa.array(names, pa.string()).take(pa.array(kind))
+        return pa.RecordBatch.from_arrays([pa.array(q.ids[question]), pa.array(node), kinds, pa.array(score)], names=["query_id", "node_id", "node_type", "score"])
+
+    for node, kinds, vectors in batches:
+        codes = np.empty(len(node), np.int64)
+        present = dict.fromkeys(kinds.tolist())
+        for name in present:
+            if name not in names:
+                names.append(name)
+            present[name] = names.index(name)
+        for i, name in enumerate(kinds):
+            codes[i] = present[name]
+        lengths = np.linalg.norm(vectors, axis=1)
+        for name, code in present.items() if typed or by_type else [(None, None)]:
+            asked = np.flatnonzero(q.types == name) if typed else np.arange(len(q.ids))
+            mine = np.arange(len(node)) if code is None else np.flatnonzero(codes == code)
+            if not len(asked):
                 continue
-            node, kind = batch.column(0).to_numpy(zero_copy_only=False), np.array(batch.column(1).to_pylist(), dtype=object)
-            vectors = batch.column(2)
-            scores = np.round(np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(vectors), -1) @ matrix.T, DIGITS)
-            of_type = {t: np.flatnonzero(kind == t) for t in set(kind)} if types is not None or by_type else {}
-            blank, whole, out = np.empty(0, dtype=np.int64), np.arange(len(node)), []
-            for j in range(len(ids)):
-                for at in [of_type.get(types[j], blank)] if types is not None else of_type.values() if by_type else [whole]:
-                    s = scores[at, j]
-                    if least is not None:
-                        at, s = at[s >= least], s[s >= least]
-                    if k is not None and len(at) > k:
-                        keep = s >= np.partition(s, len(s) - k)[len(s) - k]
-                        at, s = at[keep], s[keep]
-                    out.append((np.full(len(at), ids[j]), node[at], kind[at], s))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) if i != 2 else pa.array(np.concatenate(c).tolist(), pa.string()) for i, c in enumerate(zip(*out, strict=True))], names=["query_id", "node_id", "node_type", "score"])
-
-    whole = nodes.where(F.col("embedding").isNotNull()).select(F.col("node_id").cast("long"), "node_type", "embedding")
-    return whole.mapInArrow(best, "query_id long, node_id long, node_type string, score double")
+            mine = mine[np.argsort(-lengths[mine], kind="stable")]
+            own = None if k is None else best.setdefault(code if by_type else None, _Best(len(q.ids), k))
+            step = max(1, PRODUCT_BYTES // (8 * len(asked)))
+            for start in range(0, len(mine), step):
+                some = mine[start : start + step]
+                bar = np.full(len(asked), floor) if own is None else np.maximum(own.least[asked], floor)
+                reach = q.norms[asked] * lengths[some[0]]
+                if (reach + 1e-9 * reach + 10.0**-DIGITS < bar).all():
+                    break
+                scores = np.round(vectors[some] @ q.matrix[asked].T, DIGITS)
+                at, question = np.nonzero(scores >= bar)
+                found = asked[question], node[some[at]], codes[some[at]], scores[at, question]
+                if own is not None:
+                    own.add(*found)
+                elif len(at):
+                    yield rows(*found)
+        if sum(b.held for b in best.values()) > 2 * HELD_ROWS:
+            for b in best.values():
+                if b.rows:
+                    yield rows(*b.taken())
+    for b in best.values():
+        if b.rows:
+            yield rows(*b.taken())
+
+
+def _columns(table: pa.RecordBatch | pa.Table) -> tuple:
+    """(ids, types, vectors) of columns that stand in this order."""
+    ids, kinds, vectors = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.columns[:3])
+    width = len(vectors.flatten()) // max(1, len(vectors))
+    matrix = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), width)
+    return ids.to_numpy(zero_copy_only=False), np.array(kinds.to_pylist(), dtype=object), matrix
+
+
+def _found(queries: DataFrame, nodes: DataFrame, k: int | None, cutoff: float | None, typed: bool, by_type: bool) -> DataFrame:
+    """Questions of at most ``QUESTION_BYTES`` together are told to every task, which reads its part of the nodes once.
+
+    More of them are dealt into blocks of that size, the nodes into parts of ``NODE_BYTES``, and each block meets each part in a task of its own: what
+    is shuffled is nodes times blocks plus questions times parts, and a task holds one of each.
+    """
+    least = cutoff if cutoff is not None and cutoff > 0 else None
+    asked = queries.where("embedding is not null").select(F.col("query_id").cast("long"), "node_type", "embedding")
+    whole = nodes.where("embedding is not null").select(F.col("node_id").cast("long"), "node_type", "embedding")
+    n, width = asked.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    schema = "query_id long, node_id long, node_type string, score double"
+    if not n:
+        return queries.sparkSession.createDataFrame([], schema)
+    size = 8 * width
+    if n * size <= QUESTION_BYTES:
+        held = nodes.sparkSession.sparkContext.broadcast(_columns(asked.toArrow()))
+
+        def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step))
+            yield from _search(_Questions(*held.value), map(_columns, parts), k, least, typed, by_type)
+
+        step = max(1, NODE_BYTES // (8 * size))
+        return whole.mapInArrow(every, schema)
+    blocks, parts = -(-n * size // QUESTION_BYTES), max(1, -(-whole.count() * size // NODE_BYTES))
+    # a block's share is about even, as ids are hashed; half the room is left for it not to be
+    place = lambda *names: F.xxhash64(*names)
+    left = asked.withColumn("block", F.pmod(place("query_id", "node_type"), F.lit(2 * blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = whole.withColumn("part", F.pmod(place("node_id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2 * blocks - 1).cast("long"))))
+
+    def met(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = list(_search(_Questions(*_columns(a)), iter([_columns(b)]), k, least, typed, by_type)) if a.num_rows and b.num_rows else []
+        kinds = [("query_id", pa.int64()), ("node_id", pa.int64()), ("node_type", pa.string()), ("score", pa.float64())]
+        return pa.Table.from_batches(found, pa.schema(kinds))
+
+    return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(met, schema)
 
 
 def top_k(queries: DataFrame, nodes: DataFrame, k: int, cutoff: float | None = None, typed: bool = True, by_type: bool = False) -> DataFrame:
@@ -96,19 +204,6 @@ def every(queries: DataFrame, nodes: DataFrame, cutoff: float | None = None) ->
     return _found(queries, nodes, None, cutoff, typed=False, by_type=False)
 
 
-def _found(queries: DataFrame, nodes: DataFrame, k: int | None, cutoff: float | None, typed: bool, by_type: bool) -> DataFrame:
-    least = cutoff if cutoff is not None and cutoff > 0 else None
-    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    parts = []
-    for b in range(blocks):
-        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect() if blocks > 1 else queries.collect()
-        if block:
-            parts.append(_block_best(nodes, block, k, least, typed, by_type))
-    if not parts:
-        return queries.sparkSession.createDataFrame([], "query_id long, node_id long, node_type string, score double")
-    return reduce(DataFrame.unionByName, parts)
-
-
 def masked(queries: DataFrame, nodes: DataFrame, mask: DataFrame) -> DataFrame:
     """(query_id, node_id, node_type, score) of what the mask names, each pair once: no other vectors are multiplied. Unknown ids are left out."""
     pairs = mask.select("query_id", "node_id").distinct().join(nodes.select("node_id", "node_type"), "node_id")

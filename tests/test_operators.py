@@ -47,11 +47,51 @@ def test_top_k(spark):
         v.reordered(spark.createDataFrame([(1, 77, 1)], "query_id long, node_id long, ord int"), q, n).collect()
 
 
-def test_many_queries_go_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(v, "BLOCK_QUERIES", 3)
-    q = spark.range(10).select(F.col("id").alias("query_id"), F.lit("x").alias("node_type"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
-    n = q.select(F.col("query_id").alias("node_id"), "node_type", "embedding")
-    assert {r.query_id: r.node_id for r in v.top_k(q, n, 1).collect()} == {i: 9 if i else 0 for i in range(10)}
+@pytest.mark.parametrize("small", [False, True])
+@pytest.mark.parametrize("how", [{}, {"typed": False}, {"typed": False, "by_type": True}, {"cutoff": 0.4}])
+def test_questions_and_nodes_meet_in_blocks(spark, monkeypatch, small, how):
+    """Against all products: ties by id, types, cutoffs, vectors of very different lengths; told at once, and in blocks with little room."""
+    import numpy as np
+
+    if small:
+        for name, size in (("QUESTION_BYTES", 200), ("NODE_BYTES", 800), ("PRODUCT_BYTES", 300), ("HELD_ROWS", 5)):
+            monkeypatch.setattr(v, name, size)
+    r = np.random.default_rng(5)
+    kinds = ["a", "b", None]
+    nodes = [(i, kinds[i % 3], (np.round(r.normal(size=4), 1) * 10.0 ** -(i % 4)).tolist()) for i in range(200)]
+    nodes += [(1000 + i, "a", nodes[6][2]) for i in range(30)] + [(5000, "b", None)]
+    asked = [(i, kinds[i % 2], r.normal(size=4).tolist()) for i in range(25)] + [(3, "a", r.normal(size=4).tolist()), (77, "b", None)]
+    schema = "long, node_type string, embedding array<double>"
+    q, n = spark.createDataFrame(asked, f"query_id {schema}"), spark.createDataFrame(nodes, f"node_id {schema}").repartition(3)
+    typed, by_type, cutoff = how.get("typed", True), how.get("by_type", False), how.get("cutoff")
+    want = {}
+    for i, kind, e in asked:
+        for j, other, x in nodes:
+            if e is not None and x is not None and (not typed or kind == other and kind is not None):
+                s = round(float(np.dot(e, x)), 6)
+                if cutoff is None or s >= cutoff:
+                    want.setdefault((i, other) if by_type else i, []).append((-s, j))
+    got = {}
+    for x in v.top_k(q, n, 5, **how).collect():
+        got.setdefault((x.query_id, x.node_type) if by_type else x.query_id, []).append((x.rank, -x.score, x.node_id))
+    assert {key: [(s, j) for _, s, j in sorted(rows)] for key, rows in got.items()} == {key: sorted(rows)[:5] for key, rows in want.items()}
+    pairs = [(x.query_id, x.node_id) for x in v.every(q, n, cutoff).collect()]
+    assert len(pairs) == sum(1 for i, _, e in asked for j, _, y in nodes if e is not None and y is not None and (cutoff is None or round(float(np.dot(e, y)), 6) >= cutoff))
+
+
+def test_short_vectors_are_left_out(monkeypatch):
+    """Behind the first slices no product is taken, as lengths tell that none can be among the best."""
+    import numpy as np
+
+    monkeypatch.setattr(v, "PRODUCT_BYTES", 80)
+    monkeypatch.setattr(v, "HELD_ROWS", 4)
+    q = v._Questions(np.array([1]), ["x"], np.array([[1.0, 0.0]]))
+    vectors = np.array([[10.0 / (1 + i), 0.1] for i in range(500)])
+    taken = []
+    round_ = np.round
+    monkeypatch.setattr(v.np, "round", lambda a, d: (taken.append(len(a)), round_(a, d))[1])
+    (found,) = v._search(q, iter([(np.arange(500), np.array(["x"] * 500, dtype=object), vectors)]), 3, None, True, False)
+    assert found.column(1).to_pylist() == [0, 1, 2] and sum(taken) < 50
 
 
 @pytest.mark.parametrize("hits, size", [(0, 20), (1, 20), (20, 20), (21, 21)])
