@@ -4,9 +4,11 @@ One round takes, for each symbol in order, its best candidate that has not been
 from it, scores the neighbours against the symbol they would stand for, and adds or strengthens candidates there. Rounds
 go on until the answer is full or nothing is left. Two policies differ in how they choose, score and stop.
 
-The steps are DataFrame functions; a whole run is exact and order-dependent, so it is done question by question, each
-with only the part of the graph that it comes to: a run that takes a candidate beyond the part gathered so far is run again
-with more, until none does.
+The steps are DataFrame functions; a whole run is exact and order-dependent. Which neighbours a candidate has, and how alike
+they are, is not: only its best ones along each relation count, however many there are. These short lists are made for all
+questions at once, by joins and a ranking that is cut before the shuffle, so a node of very many edges meets no task whole. What
+depends on order is then a fold over lists whose number the policy bounds, question by question; a question that takes a
+candidate without lists is folded again when these have been made.
 """
 
 from __future__ import annotations
@@ -20,6 +22,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
+
+#: Lists that are made ahead of the fold in any case; deeper ones wait until a question comes to them. Results don't depend on it.
+AHEAD = 20_000
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -42,9 +50,8 @@ ALTERNATIVE = Policy(neighbors=10, boost=0.15, answers=100, per_symbol=100, choo
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The frame with its lineage cut: a checkpoint in the folder that the session names, persisted where it names none."""
-    named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext.getCheckpointDir()
-    return df.checkpoint() if named else df.persist()
+    """The frame as a table in shared storage, so that its lineage ends there."""
+    return written(df, "cut")
 
 
 def propagated(similarity: Column, source: Column, policy: Policy = MAIN) -> Column:
@@ -142,9 +149,7 @@ class Candidate:
 class Run:
     """One question's grounding, held in memory: its candidates, the edges and similarities that it can reach."""
 
-    def __init__(self, symbols: list[str], types: dict[str, set], relations: list[tuple[str, str, str]], edges: dict, kinds: dict, similar: dict, policy: Policy, known: set | None = None):
-        #: The nodes whose edges are at hand; None: all.
-        self.known = known
+    def __init__(self, symbols: list[str], types: dict[str, set], relations: list[tuple[str, str, str]], edges: dict, kinds: dict, similar: dict, policy: Policy):
         self.symbols, self.types, self.edges, self.kinds, self.similar, self.policy = symbols, types, edges, kinds, similar, policy
         self.around: dict[str, list] = defaultdict(list)
         for a, b, r in relations:
@@ -182,13 +187,21 @@ class Run:
             return self.similar[symbol, node]
         return None if self.policy.unscored == "drop" else 0.5
 
+    def near(self, node: int, relation: str, symbol: str) -> list[tuple[float, int]]:
+        """(likeness, neighbour): the best neighbours along a relation as candidates of ``symbol``."""
+        found = [(s, n) for n in self.edges.get((node, relation), ()) if (s := self.likeness(symbol, n)) is not None]
+        return sorted(found, key=lambda x: (-x[0], x[1]))[: self.policy.neighbors]
+
+    def ready(self, symbol: str, node: int) -> bool:
+        """Whether all that expanding takes is at hand."""
+        return True
+
     def expand(self, symbol: str, source: Candidate) -> None:
         p = self.policy
         self.done[symbol].add(source.node)
         score, d = source.score, source.score * p.decay
         for other, relation in self.around[symbol]:
-            near = [(s, n) for n in self.edges.get((source.node, relation), ()) if (s := self.likeness(other, n)) is not None]
-            for s, node in sorted(near, key=lambda x: (-x[0], x[1]))[: p.neighbors]:
+            for s, node in self.near(source.node, relation, other):
                 if node not in self.done[other]:
                     self.arrive(symbol, source.node, score, relation, other, node, self.blend(s, d))
 
@@ -219,12 +232,8 @@ class Run:
                 c.waits, c.entries = c.score, 1
         c.paths[origin].append((source, source_score))
 
-    def beyond(self) -> set[int]:
-        """Candidates that may yet be expanded and whose edges are not at hand."""
-        return {n for s in self.symbols if s != "ANSWER" and self.around[s] for n in self.held.get(s, {}) if n not in self.known and n not in self.done[s]}
-
     def all(self) -> dict[str, dict[int, Candidate]] | None:
-        """None: the next candidate's edges are not at hand."""
+        """None: the next candidate isn't ready."""
         p, waiting = self.policy, [s for s in self.symbols if s != "ANSWER"]
         while True:
             moved, still = False, []
@@ -241,7 +250,7 @@ class Run:
                     continue
                 still.append(symbol)
                 if c.node not in self.done[symbol]:  # else the symbol's turn is lost
-                    if self.known is not None and self.around[symbol] and c.node not in self.known:
+                    if not self.ready(symbol, c.node):
                         return None
                     self.expand(symbol, c)
                     moved = True
@@ -250,89 +259,136 @@ class Run:
                 return self.held
 
 
-def reachable(starts: DataFrame, relations: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
-    """(query_id, src, relation, dst): the edges that ``hops`` steps along the question's relations can reach from its candidates."""
-    named = relations.select("query_id", "relation").distinct()
-    front, parts = starts.select("query_id", F.col("node_id").alias("src")).distinct(), []
-    for _ in range(hops):
-        step = front.join(named, "query_id").join(edges, ["src", "relation"]).select("query_id", "src", "relation", "dst")
-        parts.append(step)
-        front = step.select("query_id", F.col("dst").alias("src")).distinct()
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole.distinct()
+class ListedRun(Run):
+    """A run over lists of best neighbours by (node, relation, symbol), as far as they have been made."""
 
+    def __init__(self, symbols: list[str], relations: list[tuple[str, str, str]], lists: dict, policy: Policy):
+        super().__init__(symbols, {}, relations, {}, {}, {}, policy)
+        self.lists = lists
 
-def ground(symbols: DataFrame, relations: DataFrame, candidates: DataFrame, edges: DataFrame, nodes: DataFrame, similar: DataFrame | Callable[[DataFrame], DataFrame], policy: Policy = MAIN, hops: int = 3, part: DataFrame | None = None) -> DataFrame:
+    def near(self, node: int, relation: str, symbol: str) -> list[tuple[float, int]]:
+        return self.lists[node, relation, symbol]
+
+    def ready(self, symbol: str, node: int) -> bool:
+        return all((node, relation, other) in self.lists for other, relation in self.around[symbol])
+
+    def lacking(self) -> list[tuple[str, int]]:
+        """(symbol, node): candidates that may yet be expanded and have not all their lists."""
+        return [(s, n) for s in self.symbols if s != "ANSWER" for n in self.held.get(s, {}) if n not in self.done[s] and not self.ready(s, n)]
+
+
+@dataclass
+class Gathering:
+    """What lists of best neighbours are made of; ``similar`` makes (query_id, symbol, node_id, score) from pairs (query_id, node_id)."""
+
+    symbols: DataFrame
+    relations: DataFrame
+    edges: DataFrame
+    nodes: DataFrame
+    similar: Callable[[DataFrame], DataFrame]
+    policy: Policy
+    #: (query_id, other, _has): symbols that have similarities; by default those that have some among the first lists' neighbours.
+    vectors: DataFrame | None = None
+
+    def lists(self, wanted: DataFrame, known: DataFrame | None) -> DataFrame:
+        """(query_id, other, relation, node_id, near) for candidates (query_id, symbol, node_id) that ``known`` doesn't have; near may be empty."""
+        key = ["query_id", "other", "relation", "node_id"]
+        asked = wanted.join(adjacency(self.relations).select("query_id", "symbol", "other", "relation").distinct(), ["query_id", "symbol"]).select(*key).distinct()
+        asked = asked if known is None else asked.join(known.select(*key), key, "left_anti")
+        e = self.edges.select(F.col("src").alias("node_id"), "relation", F.col("dst").alias("neighbor"))
+        met = cut(asked.join(e, ["node_id", "relation"], "left").distinct())  # a key without edges stands there with a null neighbour
+        kinds = self.nodes.select(F.col("node_id").alias("neighbor"), "node_type")
+        types = self.symbols.select("query_id", F.col("symbol").alias("other"), F.filter("types", lambda t: t.isNotNull() & (t != "")).alias("_types"))
+        pairs = met.where("neighbor is not null").select("query_id", F.col("neighbor").alias("node_id")).distinct()
+        scores = self.similar(pairs).select("query_id", F.col("symbol").alias("other"), F.col("node_id").alias("neighbor"), F.col("score").alias("_s"))
+        if self.vectors is None:
+            self.vectors = cut(scores.select("query_id", "other").distinct().withColumn("_has", F.lit(True)))
+        vectors = self.vectors
+        rows = met.join(kinds, "neighbor", "left").join(types, ["query_id", "other"], "left").join(vectors, ["query_id", "other"], "left")
+        rows = rows.join(scores, ["query_id", "other", "neighbor"], "left")
+        unscored = F.lit(None).cast("double") if self.policy.unscored == "drop" else F.lit(0.5)
+        blind = (F.coalesce(F.size("_types"), F.lit(0)) <= 0) | F.col("_has").isNull()
+        fits = F.coalesce(F.array_contains("_types", F.col("node_type")), F.lit(False)) & F.col("_s").isNotNull()
+        similarity = F.when(F.col("neighbor").isNotNull(), F.when(blind, F.lit(0.5)).when(fits, F.col("_s")).otherwise(unscored))
+        # what isn't like comes last, and a first row of each key stays, so that every key has a list
+        best = best_neighbors(rows.withColumn("similarity", similarity), key, self.policy.neighbors)
+        return best.groupBy(*key).agg(F.array_sort(F.collect_list(F.when(F.col("similarity").isNotNull(), F.struct("rank", "similarity", "neighbor")))).alias("near"))
+
+    def around(self, wanted: DataFrame, known: DataFrame | None, hops: int) -> DataFrame:
+        """``known`` with the lists of ``wanted`` (query_id, symbol, node_id), and of what stands on them, ``hops`` deep, or deeper while they are few."""
+        hop, made = 0, 0
+        while hop < hops or made < AHEAD:
+            new = cut(self.lists(wanted, known))
+            known = new if known is None else known.unionByName(new)
+            count = new.count()
+            if not count:  # all that stands on the lists has lists
+                break
+            hop, made = hop + 1, made + count
+            wanted = new.select("query_id", F.col("other").alias("symbol"), F.explode("near").alias("n")).where("symbol <> 'ANSWER'")
+            wanted = wanted.select("query_id", "symbol", F.col("n.neighbor").alias("node_id")).distinct()
+        return known
+
+
+def ground(
+    symbols: DataFrame, relations: DataFrame, candidates: DataFrame, edges: DataFrame, nodes: DataFrame,
+    similar: DataFrame | Callable[[DataFrame], DataFrame], policy: Policy = MAIN, hops: int = 3,
+) -> DataFrame:
     """(query_id, symbol, node_id, score, support, seq): every symbol's candidates, seq in the order they were found.
 
     ``symbols`` (query_id, symbol, ord, types), ``relations`` (query_id, src_sym, dst_sym, relation, ord), ``candidates``
     (query_id, symbol, node_id, score, ord), ``edges`` (src, relation, dst; symmetric), ``nodes`` (node_id, node_type), ``similar``
-    (query_id, symbol, node_id, score), or what makes it from pairs (query_id, node_id); a symbol without similarities has
-    no vector. ``part``, what ``reachable`` gives, may be at hand. ``hops`` is how many steps are gathered at once and bounds
-    nothing: questions that come to a candidate further out are run again with the edges around what they hold. A question's
-    part must fit one task.
+    (query_id, symbol, node_id, score), or what makes it from pairs (query_id, node_id); a symbol without similarities (of those made:
+    to its candidates' neighbours) has no vector. ``hops`` is how deep lists are made ahead and bounds nothing: questions that come to a candidate without lists are
+    folded again with more, a step deeper each time. What a task holds of a question is its candidates and their lists: ``policy.per_symbol`` candidates
+    a symbol and ``policy.neighbors`` entries a list, whatever the edges of a node.
     """
-    starts = candidates.select("query_id", "node_id").distinct()
-    part = cut(reachable(candidates, relations, edges, hops) if part is None else part)
-    known = starts.union(part.select("query_id", "src")).distinct()
-    ended = []
+    candidates = cut(candidates)
+    made = similar if callable(similar) else (lambda pairs: similar.join(pairs, ["query_id", "node_id"], "left_semi"))
+    vectors = None if callable(similar) else similar.select("query_id", F.col("symbol").alias("other")).distinct().withColumn("_has", F.lit(True))
+    gather = Gathering(symbols, relations, edges, nodes, made, policy, vectors)
+    lists = gather.around(candidates.where("symbol <> 'ANSWER'").select("query_id", "symbol", "node_id").distinct(), None, hops)
+    ended, given = [], (symbols, relations, candidates)
     while True:
-        pairs = part.select("query_id", F.col("dst").alias("node_id")).distinct()
-        found = cut(_attempt(symbols, relations, candidates, part, known, nodes, similar(pairs) if callable(similar) else similar, policy))
-        ended.append(found.where("symbol is not null"))
-        lacking = cut(found.where("symbol is null").select("query_id", "node_id"))
+        found = cut(_folded(*given, lists, policy))
+        ended.append(found.where("seq is not null"))
+        lacking = found.where("seq is null").select("query_id", "symbol", "node_id")
         if lacking.isEmpty():
             break
-        again = cut(lacking.select("query_id").distinct())
-        symbols, relations, candidates, part, known = (cut(df.join(again, "query_id", "left_semi")) for df in (symbols, relations, candidates, part, known))
-        more = cut(reachable(lacking, relations, edges, hops))
-        part = cut(part.unionByName(more.select(part.columns)).distinct())
-        known = cut(known.union(lacking).union(more.select("query_id", "src")).distinct())
-        if not callable(similar):
-            similar = similar.join(again, "query_id", "left_semi")
+        hops += 1  # few questions are left, so their lists are made deeper
+        again = lacking.select("query_id").distinct()
+        given = [df.join(again, "query_id", "left_semi") for df in (symbols, relations, candidates)]
+        lists = gather.around(lacking, cut(lists.join(again, "query_id", "left_semi")), hops)
     whole = ended[0]
     for e in ended[1:]:
         whole = whole.unionByName(e)
     return whole
 
 
-def _attempt(symbols: DataFrame, relations: DataFrame, candidates: DataFrame, part: DataFrame, known: DataFrame, nodes: DataFrame, similar: DataFrame, policy: Policy) -> DataFrame:
-    """What ``ground`` gives for the questions whose edges in ``part`` suffice; of others the nodes to gather next, without a symbol."""
-    typed = part.join(nodes.select(F.col("node_id").alias("dst"), "node_type"), "dst", "left")
-    blank = {"a": "string", "b": "string", "c": "string", "n": "long", "m": "long", "x": "double", "k": "int"}
+def _folded(symbols: DataFrame, relations: DataFrame, candidates: DataFrame, lists: DataFrame, policy: Policy) -> DataFrame:
+    """What ``ground`` gives for the questions whose lists suffice; of others the candidates that lack some, without seq."""
+    blank = {"a": "string", "b": "string", "c": "string", "n": "long", "x": "double", "k": "int", "near": "array<struct<rank: int, similarity: double, neighbor: bigint>>"}
 
     def rows(df: DataFrame, kind: str, **columns: Column) -> DataFrame:
         return df.select("query_id", F.lit(kind).alias("kind"), *(columns.get(c, F.lit(None)).cast(t).alias(c) for c, t in blank.items()))
 
     col = F.col
     fed = (
-        rows(symbols, "symbol", a=col("symbol"), b=F.array_join("types", "\x1f"), k=col("ord"))
+        rows(symbols, "symbol", a=col("symbol"), k=col("ord"))
         .unionByName(rows(relations, "relation", a=col("src_sym"), b=col("dst_sym"), c=col("relation"), k=col("ord")))
         .unionByName(rows(candidates, "candidate", a=col("symbol"), n=col("node_id"), x=col("score"), k=col("ord")))
-        .unionByName(rows(typed, "edge", c=col("relation"), n=col("src"), m=col("dst"), b=col("node_type")))
-        .unionByName(rows(known, "known", n=col("node_id")))
-        .unionByName(rows(similar, "similar", a=col("symbol"), n=col("node_id"), x=col("score")))
+        .unionByName(rows(lists, "list", a=col("other"), c=col("relation"), n=col("node_id"), near=col("near")))
     )
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = {kind: list(g.itertuples(index=False)) for kind, g in pdf.groupby("kind")}
         ordered = lambda kind: sorted(parts.get(kind, []), key=lambda r: (r.k, str(r.a), str(r.b), str(r.c), 0 if pd.isna(r.n) else r.n))
-        names = ordered("symbol")
-        edges_of: dict = defaultdict(set)
-        kinds = {}
-        for r in parts.get("edge", []):
-            edges_of[int(r.n), r.c].add(int(r.m))
-            kinds[int(r.m)] = r.b
-        likeness = {(r.a, int(r.n)): float(r.x) for r in parts.get("similar", [])}
-        likeness |= {(a, None): 0.0 for a, _ in list(likeness)}
-        run = Run([r.a for r in names], {r.a: set(filter(None, (r.b or "").split("\x1f"))) for r in names}, [(r.a, r.b, r.c) for r in ordered("relation")], edges_of, kinds, likeness, policy, {int(r.n) for r in parts.get("known", [])})
+        near = {(int(r.n), r.c, r.a): [(float(x["similarity"]), int(x["neighbor"])) for x in r.near] for r in parts.get("list", [])}
+        run = ListedRun([r.a for r in ordered("symbol")], [(r.a, r.b, r.c) for r in ordered("relation")], near, policy)
         for r in ordered("candidate"):
             run.start(r.a, int(r.n), float(r.x))
         query = int(pdf["query_id"].iloc[0])
         held = run.all()
-        out = list(_found(query, held)) if held is not None else [(query, None, n, None, None, None) for n in sorted(run.beyond())]
+        out = list(_found(query, held)) if held is not None else [(query, s, n, None, None, None) for s, n in run.lacking()]
         return pd.DataFrame(out, columns=["query_id", "symbol", "node_id", "score", "support", "seq"])
 
     return fed.groupBy("query_id").applyInPandas(one, "query_id long, symbol string, node_id long, score double, support int, seq int")

@@ -250,7 +250,7 @@ def _ground(spark, d, policy):
     def similar(pairs):
         return v.pair_scores(pairs, q, n).where("score is not null").select("query_id", F.explode(F.array(F.lit("B"), F.lit("ANSWER"), F.lit("A"))).alias("symbol"), "node_id", "score")
 
-    return g.ground(symbols, relations(spark, d), cands, graph.vector_edges(spark, d), n, similar, policy).withColumn("score", F.round("score", 6))
+    return g.ground(symbols, relations(spark, d), cands, g.cut(graph.vector_edges(spark, d)), n, similar, policy).withColumn("score", F.round("score", 6))
 
 
 @query()

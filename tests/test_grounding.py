@@ -116,3 +116,35 @@ def test_registered_query_is_unbounded(spark, alternative):
     assert got.keys() == want.keys()
     for k, (score, support) in want.items():
         assert got[k] == (pytest.approx(score, abs=1e-6, rel=1e-6), support), k
+
+
+@pytest.mark.parametrize("policy", [g.MAIN, replace(g.ALTERNATIVE, answers=30)])
+def test_hubs_are_cut_before_they_meet_a_question(spark, policy):
+    """A hub of 3000 neighbours: as simulated, and no list is longer than the policy has it."""
+    r = random.Random(21)
+    kinds, edges = {0: "x"}, defaultdict(set)
+    for n in range(1, 3001):
+        kinds[n] = r.choice("xy")
+        for a, b in ((0, n), (n, r.randrange(1, 3001))):
+            edges[a, "p"].add(b)
+            edges[b, "p"].add(a)
+    symbols, types = ["A", "B", "ANSWER"], {"A": {"x"}, "B": {"x", "y"}, "ANSWER": {"y"}}
+    relations, starts = [("A", "B", "p"), ("B", "ANSWER", "p")], [("A", 0, 1.0), ("A", 5, 0.9)]
+    near = {s: {n: round(r.uniform(-0.2, 1), 4) for n in kinds if n % 7} for s in symbols}
+    rule = {k: getattr(policy, k) for k in ("neighbors", "decay", "boost", "answers", "per_symbol")}
+    want = simulated(symbols, types, relations, starts, edges, kinds, near, **rule, alternative=policy.choose_by == "score")
+    make = spark.createDataFrame
+    given = (
+        make([(1, s, i, sorted(types[s])) for i, s in enumerate(symbols)], "query_id long, symbol string, ord int, types array<string>"),
+        make([(1, a, b, x, i) for i, (a, b, x) in enumerate(relations)], "query_id long, src_sym string, dst_sym string, relation string, ord int"),
+        make([(1, s, n, x, i) for i, (s, n, x) in enumerate(starts)], "query_id long, symbol string, node_id long, score double, ord int"),
+        make([(a, x, b) for (a, x), to in edges.items() for b in to], "src long, relation string, dst long"),
+        make(list(kinds.items()), "node_id long, node_type string"),
+    )
+    similar = make([(1, s, n, x) for s, of in near.items() for n, x in of.items()], "query_id long, symbol string, node_id long, score double")
+    got = {(x.symbol, x.node_id): (x.score, x.support) for x in g.ground(*given, similar, policy).collect()}
+    flat = {(s, n): v for s, of in want.items() for n, v in of.items()}
+    assert got.keys() == flat.keys() and all(got[k] == pytest.approx(flat[k]) for k in flat)
+    made = lambda pairs: similar.join(pairs, ["query_id", "node_id"], "left_semi")
+    lists = g.Gathering(*given[:2], *given[3:], made, policy).lists(given[2].select("query_id", "symbol", "node_id"), None).collect()
+    assert max(len(x.near) for x in lists) == policy.neighbors
