@@ -27,6 +27,8 @@ from ..storage import written
 
 #: Lists that are made ahead of the fold in any case; deeper ones wait until a question comes to them. Results don't depend on it.
 AHEAD = 20_000
+#: Edges of a question's part that a task holds at most; questions that come to more go by lists.
+PART = 200_000
 
 
 @dataclass(frozen=True)
@@ -149,7 +151,9 @@ class Candidate:
 class Run:
     """One question's grounding, held in memory: its candidates, the edges and similarities that it can reach."""
 
-    def __init__(self, symbols: list[str], types: dict[str, set], relations: list[tuple[str, str, str]], edges: dict, kinds: dict, similar: dict, policy: Policy):
+    def __init__(self, symbols: list[str], types: dict[str, set], relations: list[tuple[str, str, str]], edges: dict, kinds: dict, similar: dict, policy: Policy, known: set | None = None):
+        #: The nodes whose edges are at hand; None: all.
+        self.known = known
         self.symbols, self.types, self.edges, self.kinds, self.similar, self.policy = symbols, types, edges, kinds, similar, policy
         self.around: dict[str, list] = defaultdict(list)
         for a, b, r in relations:
@@ -194,7 +198,7 @@ class Run:
 
     def ready(self, symbol: str, node: int) -> bool:
         """Whether all that expanding takes is at hand."""
-        return True
+        return self.known is None or not self.around[symbol] or node in self.known
 
     def expand(self, symbol: str, source: Candidate) -> None:
         p = self.policy
@@ -232,6 +236,10 @@ class Run:
                 c.waits, c.entries = c.score, 1
         c.paths[origin].append((source, source_score))
 
+    def beyond(self) -> set[int]:
+        """Candidates that may yet be expanded and whose edges are not at hand."""
+        return {n for s in self.symbols if s != "ANSWER" and self.around[s] for n in self.held.get(s, {}) if n not in self.known and n not in self.done[s]}
+
     def all(self) -> dict[str, dict[int, Candidate]] | None:
         """None: the next candidate isn't ready."""
         p, waiting = self.policy, [s for s in self.symbols if s != "ANSWER"]
@@ -329,6 +337,20 @@ class Gathering:
         return known
 
 
+def reachable(starts: DataFrame, relations: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+    """(query_id, src, relation, dst): the edges that ``hops`` steps along the question's relations can reach from its candidates."""
+    named = relations.select("query_id", "relation").distinct()
+    front, parts = starts.select("query_id", F.col("node_id").alias("src")).distinct(), []
+    for _ in range(hops):
+        step = front.join(named, "query_id").join(edges, ["src", "relation"]).select("query_id", "src", "relation", "dst")
+        parts.append(step)
+        front = step.select("query_id", F.col("dst").alias("src")).distinct()
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole.distinct()
+
+
 def ground(
     symbols: DataFrame, relations: DataFrame, candidates: DataFrame, edges: DataFrame, nodes: DataFrame,
     similar: DataFrame | Callable[[DataFrame], DataFrame], policy: Policy = MAIN, hops: int = 3,
@@ -339,10 +361,45 @@ def ground(
     (query_id, symbol, node_id, score, ord), ``edges`` (src, relation, dst; symmetric), ``nodes`` (node_id, node_type), ``similar``
     (query_id, symbol, node_id, score), or what makes it from pairs (query_id, node_id); a symbol without similarities (of those made:
     to its candidates' neighbours) has no vector. ``hops`` is how deep lists are made ahead and bounds nothing: questions that come to a candidate without lists are
-    folded again with more, a step deeper each time. What a task holds of a question is its candidates and their lists: ``policy.per_symbol`` candidates
+    folded again with more, a step deeper each time. Questions whose part of the graph has ``PART`` edges at most are folded over it at once, all
+    others over lists; both give the same. What a task holds of a question is its candidates and their lists: ``policy.per_symbol`` candidates
     a symbol and ``policy.neighbors`` entries a list, whatever the edges of a node.
     """
     candidates = cut(candidates)
+    part = cut(reachable(candidates, relations, edges, hops))
+    known = candidates.select("query_id", "node_id").distinct().union(part.select("query_id", "src")).distinct()
+    ended, given, large = [], (symbols, relations, candidates), None
+    while True:
+        over = cut(part.groupBy("query_id").agg(F.count("*").alias("_n")).where(F.col("_n") > PART).select("query_id"))
+        if not over.isEmpty():
+            large = over if large is None else large.unionByName(over)
+            part, known = (df.join(over, "query_id", "left_anti") for df in (part, known))
+            given = [df.join(over, "query_id", "left_anti") for df in given]
+        pairs = part.select("query_id", F.col("dst").alias("node_id")).distinct()
+        found = cut(_attempt(*given, part, known, nodes, similar(pairs) if callable(similar) else similar, policy))
+        ended.append(found.where("symbol is not null"))
+        lacking = found.where("symbol is null").select("query_id", "node_id")
+        if lacking.isEmpty():
+            break
+        again = lacking.select("query_id").distinct()
+        given = [df.join(again, "query_id", "left_semi") for df in (symbols, relations, candidates)]
+        more = cut(reachable(lacking, relations, edges, hops))
+        part = cut(part.join(again, "query_id", "left_semi").unionByName(more.select(part.columns)).distinct())
+        known = cut(known.join(again, "query_id", "left_semi").union(lacking).union(more.select("query_id", "src")).distinct())
+    if large is not None:
+        given = (cut(df.join(large, "query_id", "left_semi")) for df in (symbols, relations, candidates))
+        ended.append(by_lists(*given, edges, nodes, similar, policy, hops))
+    whole = ended[0]
+    for e in ended[1:]:
+        whole = whole.unionByName(e)
+    return whole
+
+
+def by_lists(
+    symbols: DataFrame, relations: DataFrame, candidates: DataFrame, edges: DataFrame, nodes: DataFrame,
+    similar: DataFrame | Callable[[DataFrame], DataFrame], policy: Policy = MAIN, hops: int = 3,
+) -> DataFrame:
+    """``ground`` for questions whose part of the graph may be of any size."""
     made = similar if callable(similar) else (lambda pairs: similar.join(pairs, ["query_id", "node_id"], "left_semi"))
     vectors = None if callable(similar) else similar.select("query_id", F.col("symbol").alias("other")).distinct().withColumn("_has", F.lit(True))
     gather = Gathering(symbols, relations, edges, nodes, made, policy, vectors)
@@ -364,6 +421,46 @@ def ground(
     return whole
 
 
+def _attempt(symbols: DataFrame, relations: DataFrame, candidates: DataFrame, part: DataFrame, known: DataFrame, nodes: DataFrame, similar: DataFrame, policy: Policy) -> DataFrame:
+    """What ``ground`` gives for the questions whose edges in ``part`` suffice; of others the nodes to gather next, without a symbol."""
+    typed = part.join(nodes.select(F.col("node_id").alias("dst"), "node_type"), "dst", "left")
+    blank = {"a": "string", "b": "string", "c": "string", "n": "long", "m": "long", "x": "double", "k": "int"}
+
+    def rows(df: DataFrame, kind: str, **columns: Column) -> DataFrame:
+        return df.select("query_id", F.lit(kind).alias("kind"), *(columns.get(c, F.lit(None)).cast(t).alias(c) for c, t in blank.items()))
+
+    col = F.col
+    fed = (
+        rows(symbols, "symbol", a=col("symbol"), b=F.array_join("types", "\x1f"), k=col("ord"))
+        .unionByName(rows(relations, "relation", a=col("src_sym"), b=col("dst_sym"), c=col("relation"), k=col("ord")))
+        .unionByName(rows(candidates, "candidate", a=col("symbol"), n=col("node_id"), x=col("score"), k=col("ord")))
+        .unionByName(rows(typed, "edge", c=col("relation"), n=col("src"), m=col("dst"), b=col("node_type")))
+        .unionByName(rows(known, "known", n=col("node_id")))
+        .unionByName(rows(similar, "similar", a=col("symbol"), n=col("node_id"), x=col("score")))
+    )
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = {kind: list(g.itertuples(index=False)) for kind, g in pdf.groupby("kind")}
+        ordered = lambda kind: sorted(parts.get(kind, []), key=lambda r: (r.k, str(r.a), str(r.b), str(r.c), 0 if pd.isna(r.n) else r.n))
+        names = ordered("symbol")
+        edges_of: dict = defaultdict(set)
+        kinds = {}
+        for r in parts.get("edge", []):
+            edges_of[int(r.n), r.c].add(int(r.m))
+            kinds[int(r.m)] = r.b
+        likeness = {(r.a, int(r.n)): float(r.x) for r in parts.get("similar", [])}
+        likeness |= {(a, None): 0.0 for a, _ in list(likeness)}
+        run = Run([r.a for r in names], {r.a: set(filter(None, (r.b or "").split("\x1f"))) for r in names}, [(r.a, r.b, r.c) for r in ordered("relation")], edges_of, kinds, likeness, policy, {int(r.n) for r in parts.get("known", [])})
+        for r in ordered("candidate"):
+            run.start(r.a, int(r.n), float(r.x))
+        query = int(pdf["query_id"].iloc[0])
+        held = run.all()
+        out = list(_found(query, held)) if held is not None else [(query, None, n, None, None, None) for n in sorted(run.beyond())]
+        return pd.DataFrame(out, columns=["query_id", "symbol", "node_id", "score", "support", "seq"])
+
+    return fed.groupBy("query_id").applyInPandas(one, "query_id long, symbol string, node_id long, score double, support int, seq int")
+
+
 def _folded(symbols: DataFrame, relations: DataFrame, candidates: DataFrame, lists: DataFrame, policy: Policy) -> DataFrame:
     """What ``ground`` gives for the questions whose lists suffice; of others the candidates that lack some, without seq."""
     blank = {"a": "string", "b": "string", "c": "string", "n": "long", "x": "double", "k": "int", "near": "array<struct<rank: int, similarity: double, neighbor: bigint>>"}

@@ -142,9 +142,15 @@ def test_hubs_are_cut_before_they_meet_a_question(spark, policy):
         make(list(kinds.items()), "node_id long, node_type string"),
     )
     similar = make([(1, s, n, x) for s, of in near.items() for n, x in of.items()], "query_id long, symbol string, node_id long, score double")
-    got = {(x.symbol, x.node_id): (x.score, x.support) for x in g.ground(*given, similar, policy).collect()}
+    got = {(x.symbol, x.node_id): (x.score, x.support) for x in g.by_lists(*given, similar, policy).collect()}
     flat = {(s, n): v for s, of in want.items() for n, v in of.items()}
     assert got.keys() == flat.keys() and all(got[k] == pytest.approx(flat[k]) for k in flat)
     made = lambda pairs: similar.join(pairs, ["query_id", "node_id"], "left_semi")
     lists = g.Gathering(*given[:2], *given[3:], made, policy).lists(given[2].select("query_id", "symbol", "node_id"), None).collect()
     assert max(len(x.near) for x in lists) == policy.neighbors
+
+
+def test_large_parts_go_by_lists(spark, monkeypatch):
+    """Of two questions one comes to more edges than a task may hold: both as simulated."""
+    monkeypatch.setattr(g, "PART", 4)
+    test_distributed_is_the_same(spark)
