@@ -104,6 +104,12 @@ def sifted(df: DataFrame, column: str, places: DataFrame, inside: bool = True) -
     return df.join(F.broadcast(places), met, "left_semi" if inside else "left_anti")
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that Spark never tells to all tasks: it goes by the size of the files that a frame is read from, and of each row that
+    stands there an explode makes dozens, which the driver would have to hold."""
+    return df.hint("merge")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the session's Arrow batches by bytes: by rows alone, one batch of long texts can take a worker's memory. The workers get this package, too."""
     ship(spark)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, written
+from .common import apart, forget, written
 
 
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
@@ -23,9 +23,9 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
             break
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
-        large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
+        large = written(both.join(apart(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
         smallest = written(large.groupBy("u").agg(F.min("v").alias("m")), name)
-        small = large.join(smallest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(smallest.select("u", F.col("m").alias("v"))).distinct()
+        small = large.join(apart(smallest), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(smallest.select("u", F.col("m").alias("v"))).distinct()
         after = written(small, name)
         mark = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
         same = after.agg(*mark).first() == now.agg(*mark).first()

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, forget, table, union_all, written
+from .common import add_columns, apart, forget, table, union_all, written
 from .components import components
 
 #: (first bit, bits) of each segment; differing bits that still link; members of a bucket that one task compares.
@@ -124,13 +124,13 @@ def _pairs(left: DataFrame, right: DataFrame, large: DataFrame | None) -> DataFr
     same = F.col("x.key") == F.col("y.key")
     ends = [F.col("x.node").alias("a"), F.col("y.node").alias("b")]
     if large is None:
-        return left.alias("x").join(right.alias("y"), same & verified).select(*ends)
+        return left.alias("x").join(apart(right.alias("y")), same & verified).select(*ends)
     few = [side.join(large, "key", "left_anti") for side in (left, right)]
     many = [_dealt(side, large) for side in (left, right)]
     met = same & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
     own = (F.least("x.mine", "y.mine") == F.col("x.i")) & (F.greatest("x.mine", "y.mine") == F.col("x.j"))
-    cold = few[0].alias("x").join(few[1].alias("y"), same & verified).select(*ends)
-    return cold.union(many[0].alias("x").join(many[1].alias("y"), met & own & verified).select(*ends))
+    cold = few[0].alias("x").join(apart(few[1].alias("y")), same & verified).select(*ends)
+    return cold.union(many[0].alias("x").join(apart(many[1].alias("y")), met & own & verified).select(*ends))
 
 
 def links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -141,10 +141,10 @@ def links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     exact = _exact(nodes.select("node", "fp", "docs"))
     hubs = exact.groupBy("key").agg(F.max_by(F.struct("node", "fp"), F.struct("docs", "node")).alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = exact.join(hubs, "key").where((F.col("node") != F.col("hub.node")) & _near("fp", "hub.fp"))
+    stars = exact.join(apart(hubs), "key").where((F.col("node") != F.col("hub.node")) & _near("fp", "hub.fp"))
     stars = written(stars.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct(), "stars")
     first = written(components(stars, "star"), "clusters").withColumnRenamed("node", "_node")
-    named = nodes.join(first, F.col("node") == F.col("_node"), "left").select("node", "fp", F.coalesce("component", "node").alias("cluster"))
+    named = nodes.join(apart(first), F.col("node") == F.col("_node"), "left").select("node", "fp", F.coalesce("component", "node").alias("cluster"))
     named = written(named, "named")
     exact = _exact(named)
     large = _large(exact, block)
@@ -163,10 +163,10 @@ def near_duplicates(prints: DataFrame, doc: str = "doc_id", block: int = BLOCK,
     """
     nodes = written(prints.groupBy(F.col(fp).alias("node")).agg(F.min(doc).alias("least"), F.count("*").alias("docs")), "nodes")
     whole = components(links(nodes.withColumn("fp", F.col("node")), block), "links").withColumnRenamed("node", "_node")
-    ends = written(nodes.join(whole, F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("component", "node").alias("top")), "ends")
+    ends = written(nodes.join(apart(whole), F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("component", "node").alias("top")), "ends")
     tops = written(ends.groupBy("top").agg(F.min("least").alias("component_id")), "tops")  # a side of its own, so that a join with a large component can be split
-    found = ends.join(tops, "top").select("node", "component_id")
-    return prints.select(doc, fp, F.col(fp).alias("node")).join(found, "node").select(doc, fp, "component_id")
+    found = ends.join(apart(tops), "top").select("node", "component_id")
+    return prints.select(doc, fp, F.col(fp).alias("node")).join(apart(found), "node").select(doc, fp, "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,3 +124,12 @@ def test_repeated_rows_stay(spark):
     rows = [(3, 0b1111), (3, 0b1111), (1, 0), (9, (1 << 40) - 1), (3, (1 << 40) - 1), (None, 0)]
     got = s.near_duplicates(spark.createDataFrame(rows, "doc_id long, fp long")).collect()
     assert sorted((r.doc_id or 0, r.fp, r.component_id) for r in got) == sorted([(3, 15, 1), (3, 15, 1), (1, 0, 1), (9, (1 << 40) - 1, 3), (3, (1 << 40) - 1, 3), (0, 0, 1)])
+
+
+def test_exploded_rows_are_not_told_to_all_tasks(spark):
+    """A table of fingerprints is small beside its 66 rows of keys each; a join by its files' size would hold those in the driver."""
+    named = s.written(spark.range(1000).select(F.col("id").alias("node"), F.xxhash64("id").alias("fp"), F.col("id").alias("cluster")), "named")
+    exact = s._exact(named)
+    for pairs in (s._pairs(exact, exact, None), s._pairs(*s._variants(named), None)):
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
