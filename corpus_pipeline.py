@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.llm import byte_bpe, decontaminate, jaccard, language, pii
-from lodegraph.llm.common import sieve, sifted, spare, table, written
+from lodegraph.llm.common import apart, sieve, sifted, spare, table, written
 
 
 def _around(docs: DataFrame, own: tuple[str, ...], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -47,9 +47,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = jaccard.groups(numbered.select("doc_id", "text", F.col(row).alias("_row")))
     found = written(found.select("top", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("one")), "groups")
     first = written(found.groupBy("top").agg(F.min("one").alias("first")), "first")
-    gone = written(found.join(first, "top").where(F.col("one._row") != F.col("first._row")).select(F.col("one._row").alias(row)), "gone")
+    gone = written(found.join(apart(first), "top").where(F.col("one._row") != F.col("first._row")).select(F.col("one._row").alias(row)), "gone")
     places = sieve(gone, row)  # the rows that fall on none of these stay where they are
-    stay = sifted(numbered, row, places, inside=False).unionByName(sifted(numbered, row, places).join(gone, row, "left_anti"))
+    stay = sifted(numbered, row, places, inside=False).unionByName(sifted(numbered, row, places).join(apart(gone), row, "left_anti"))
     return stay.select(docs.columns)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, forget, sieve, sifted, union_all, written
+from .common import add_columns, apart, forget, sieve, sifted, union_all, written
 from .components import components
 from .simhash import BLOCK, _dealt, majority, shingle_hashes, words_of
 from .simhash import links as simhash_links
@@ -89,13 +89,13 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     few = sifted(nodes, "node", places)
     end = lambda e: few.select(F.col("node").alias(e), F.col("n").alias(f"n_{e}"), F.col("cells").alias(f"cells_{e}"))
     most = F.aggregate(F.zip_with("cells_a", "cells_b", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda acc, x: acc + x)
-    ends = pairs.join(end("a"), "a").join(end("b"), "b")
+    ends = pairs.join(apart(end("a")), "a").join(apart(end("b")), "b")
     met, pairs = pairs, written(ends.where(F.coalesce(9 * most >= 4 * (F.col("n_a") + F.col("n_b")), F.lit(True))).select("a", "b"), "pairs")
-    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(few.select("node", "_row"), "node"), "needed")
-    texts = sifted(docs, "_row", sieve(needed, "_row")).join(needed, "_row")
+    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(apart(few.select("node", "_row")), "node"), "needed")
+    texts = sifted(docs, "_row", sieve(needed, "_row")).join(apart(needed), "_row")
     sets = written(_sets(texts, ("node",)), "sets")
     side = lambda e: sets.select(F.col("node").alias(e), F.col("shingles").alias(f"_{e}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = pairs.join(apart(side("a")), "a").join(apart(side("b")), "b")
     shared = F.size(F.array_intersect("_a", "_b"))
     found = written(both.where(9 * shared >= 4 * (F.size("_a") + F.size("_b"))).select("a", "b"), "verified")
     forget(met, pairs, needed, sets)
@@ -126,37 +126,37 @@ def groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
     every = nodes.select("node", "n", "docs", F.posexplode("keys").alias("pos", "key"))
     held = every.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
-    rows = written(every.join(held, "key"), "rows")
-    in_cluster = lambda links, name: rows.join(_clusters(links, name), "node", "left").withColumn("cluster", F.coalesce("component", "node")).drop("component")
+    rows = written(every.join(apart(held), "key"), "rows")
+    in_cluster = lambda links, name: rows.join(apart(_clusters(links, name)), "node", "left").withColumn("cluster", F.coalesce("component", "node")).drop("component")
     named = written(in_cluster(near, "near"), "named")
     hubs = written(named.groupBy("key").agg(F.max_by(F.struct("node", "n", "pos", "cluster"), F.struct("docs", "node")).alias("hub")), "hubs")
-    met = named.alias("x").join(hubs, "key").where((F.col("x.cluster") != F.col("hub.cluster")) & _can("x", "hub"))
+    met = named.alias("x").join(apart(hubs), "key").where((F.col("x.cluster") != F.col("hub.cluster")) & _can("x", "hub"))
     stars = _verified(met.select(F.col("node").alias("a"), F.col("hub.node").alias("b")), nodes, docs)
     forget(named)
 
-    named = written(in_cluster(near.union(stars), "stars").join(hubs.select("key", F.col("hub.node").alias("hub")), "key"), "named")
+    named = written(in_cluster(near.union(stars), "stars").join(apart(hubs.select("key", F.col("hub.node").alias("hub"))), "key"), "named")
     forget(rows, hubs)
     # pairs of two clusters have an end outside the hub's cluster; those with the hub itself are known
     homes = named.where("node = hub").select("key", F.col("cluster").alias("home"))
-    mixed = named.where("node <> hub").join(homes, "key").select("key", "node", "n", "pos", "held", "cluster", (F.col("cluster") == F.col("home")).alias("inside"))
+    mixed = named.where("node <> hub").join(apart(homes), "key").select("key", "node", "n", "pos", "held", "cluster", (F.col("cluster") == F.col("home")).alias("inside"))
     mixed = written(mixed, "mixed")
     open_keys = written(mixed.where("not inside").groupBy("key").agg(F.ceil(F.max("held") / block).cast("int").alias("size")), "open")
-    right = written(mixed.drop("held").join(open_keys, "key"), "right")
+    right = written(mixed.drop("held").join(apart(open_keys), "key"), "right")
     ours = (F.col("x.cluster") != F.col("y.cluster")) & (F.col("y.inside") | (F.col("x.node") < F.col("y.node"))) & _can("x", "y")
     ends = [F.col("x.node").alias("a"), F.col("y.node").alias("b")]
     few = right.where("size = 1")
-    pairs = few.where("not inside").alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & ours).select(*ends)
+    pairs = few.where("not inside").alias("x").join(apart(few.alias("y")), (F.col("x.key") == F.col("y.key")) & ours).select(*ends)
     large = open_keys.where("size > 1").select("key", F.col("size").alias("n_blocks"))
     if not large.isEmpty():
         many = _dealt(right.where("size > 1").drop("size").withColumnRenamed("n", "n_set"), large.withColumnRenamed("n_blocks", "n")).withColumnRenamed("n_set", "n")
         same = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
         own = (F.least("x.mine", "y.mine") == F.col("x.i")) & (F.greatest("x.mine", "y.mine") == F.col("x.j"))
-        pairs = pairs.union(many.where("not inside").alias("x").join(many.alias("y"), same & own & ours).select(*ends))
+        pairs = pairs.union(many.where("not inside").alias("x").join(apart(many.alias("y")), same & own & ours).select(*ends))
     found = _verified(pairs, nodes, docs)
     forget(named, mixed, open_keys, right)
 
     clusters = _clusters(union_all([near, stars, found]), "links")
-    ends = written(nodes.select("node", "least").join(clusters, "node", "left").select("node", "least", F.coalesce("component", "node").alias("top")), "ends")
+    ends = written(nodes.select("node", "least").join(apart(clusters), "node", "left").select("node", "least", F.coalesce("component", "node").alias("top")), "ends")
     forget(nodes)
     tops = written(ends.groupBy("top").agg(F.min("least").alias("component_id")), "tops")
-    return names.join(ends.join(tops, "top").select("node", "top", "component_id"), "node")
+    return names.join(apart(ends.join(apart(tops), "top").select("node", "top", "component_id")), "node")

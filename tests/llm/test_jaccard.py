@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as c
 from lodegraph.llm import jaccard
+from lodegraph.llm.common import written
 
 from .test_simhash import brute_components
 
@@ -75,3 +76,19 @@ def test_sieve(spark):
     inside, outside = sifted(ids, "row", sieve(some, "row")), sifted(ids, "row", sieve(some, "row"), inside=False)
     assert some.exceptAll(inside).isEmpty() and inside.count() < some.count() + 20 and inside.count() + outside.count() == 5000
     assert sifted(ids, "row", sieve(some.limit(0), "row")).isEmpty()
+
+
+def test_only_sieves_are_told_to_all_tasks(spark, monkeypatch):
+    plans = []
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(jaccard, "written", noted)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(i, i, " ".join(words[: 30 + i % 3] + [f"x{i // 3}"])) for i in range(30)]
+    docs = written(spark.createDataFrame(rows, "doc_id long, _row long, text string"), "docs")
+    plans.append(jaccard.groups(docs)._jdf.queryExecution().executedPlan().toString())
+    joins = [line for plan in plans for line in plan.splitlines() if re.search(r"BroadcastHashJoin", line)]
+    assert len(plans) > 10 and joins and all("at#" in line for line in joins)
