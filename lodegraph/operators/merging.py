@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import metrics
+
 #: Answers of a merged list; how many of them the graph may give, at least and at most; the earlier pipeline's share.
 SIZE, ALPHAS, OLD_ALPHA = 20, (12, 20), 14
 #: Nearest vectors asked for, their cutoff, and the earlier pipeline's cutoff; type searched where the answer's is unknown.
@@ -40,6 +42,14 @@ def alpha_recall(merged: DataFrame, truths: DataFrame, size: int = SIZE) -> Data
     return asked.join(total, "query_id").join(hits, ["query_id", "alpha"], "left").select("query_id", "alpha", (F.coalesce("_h", F.lit(0)) / F.col("_t")).alias("recall"))
 
 
+def alpha_recall_of_groups(merged: DataFrame, asked: DataFrame, members: DataFrame, size: int = SIZE) -> DataFrame:
+    """What ``alpha_recall`` gives where the truths of a question are the members of its group, itself included."""
+    totals = metrics.group_totals(asked, members)
+    hits = metrics.group_hits(merged.where(F.col("rank") <= size), totals, members).groupBy("query_id", "alpha").agg(F.count_distinct("node_id").alias("_h"))
+    found = merged.select("query_id", "alpha").distinct().join(totals, "query_id").join(hits, ["query_id", "alpha"], "left")
+    return found.select("query_id", "alpha", (F.coalesce("_h", F.lit(0)) / F.col("total")).alias("recall"))
+
+
 def fallback(near: DataFrame, size: int = SIZE, distinct: bool = True) -> DataFrame:
     """(query_id, node_id, rank): the best ``size`` of each type, by score over all types, each node once where it is first; cut to ``size``."""
     each = near.withColumn("_t", F.row_number().over(Window.partitionBy("query_id", "node_type").orderBy(F.col("score").desc(), "node_id"))).where(F.col("_t") <= size)

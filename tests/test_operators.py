@@ -289,3 +289,17 @@ def test_settings_from_a_file(tmp_path):
     assert config.settings({}) == answering.Settings()
     with pytest.raises(KeyError):
         config.load(tmp_path / "c.json", other=1)
+
+
+def test_truths_by_group_are_never_made_pairs(spark):
+    """Questions judged by their groups' sizes: as if every truth stood in a row, also for a question alone in its group or without one."""
+    n = spark.createDataFrame([(i, None if i == 11 else f"t{i % 3 if i < 9 else i}") for i in range(12)], "node_id long, node_type string")
+    q = n.where("node_id in (0, 1, 10, 11)").withColumnRenamed("node_id", "query_id")
+    p = spark.createDataFrame([(0, 1, 0), (0, 2, 4), (0, 3, 3), (0, 7, 3), (1, 1, 2), (10, 1, 10), (11, 1, 11)], "query_id long, rank int, node_id long")
+    truths = q.join(n, "node_type").select("query_id", "node_id")
+    for itself in (True, False):
+        old = metrics.per_query(p, truths if itself else truths.where("query_id <> node_id"), cut=3)
+        new = metrics.per_query_of_groups(p, q, n, itself, cut=3)
+        assert new.columns == old.columns and sorted(new.collect()) == sorted(old.collect())
+    m = p.withColumn("alpha", F.lit(12))
+    assert sorted(merging.alpha_recall_of_groups(m, q, n, 3).collect()) == sorted(merging.alpha_recall(m, truths, 3).collect())
