@@ -303,3 +303,17 @@ def test_truths_by_group_are_never_made_pairs(spark):
         assert new.columns == old.columns and sorted(new.collect()) == sorted(old.collect())
     m = p.withColumn("alpha", F.lit(12))
     assert sorted(merging.alpha_recall_of_groups(m, q, n, 3).collect()) == sorted(merging.alpha_recall(m, truths, 3).collect())
+
+
+def test_masks_go_to_the_vectors_not_to_scores(spark):
+    """Nothing is joined or shuffled for each pair: what is named or not is told where the vectors are multiplied."""
+    n = spark.createDataFrame([(i, "t", None if i == 5 else [float(i), 1.0]) for i in range(6)], "node_id long, node_type string, embedding array<float>")
+    q = n.where("node_id in (1, 2)").withColumnRenamed("node_id", "query_id")
+    mask = spark.createDataFrame([(1, 0), (1, 0), (1, 5), (1, 99), (7, 3), (2, 2), (None, 4)], "query_id long, node_id long")
+    inside, outside = v.masked(q, n, mask), v.unmasked(q, n, mask)
+    assert rows(inside, "query_id", "node_id", "score") == [(1, 0, 1.0), (2, 2, 5.0)]
+    assert rows(outside, *outside.columns) == rows(v.excluded(v.every(q, n), mask), *outside.columns) and outside.count() == 8
+    assert v.masked(q, n, mask.limit(0)).isEmpty() and v.unmasked(q, n, mask.limit(0)).count() == 10
+    for df in (inside, outside):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan[: plan.index("MapInArrow")] for x in ("Join", "Exchange", "Window"))
