@@ -317,3 +317,13 @@ def test_masks_go_to_the_vectors_not_to_scores(spark):
     for df in (inside, outside):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan[: plan.index("MapInArrow")] for x in ("Join", "Exchange", "Window"))
+
+
+def test_rows_held_for_the_best_stay_few():
+    import numpy as np
+
+    best, most, r = v._Best(10, 5), 0, np.random.default_rng(3)
+    for start in range(0, 600_000, 10_000):
+        best.add(r.integers(0, 10, 10_000), np.arange(start, start + 10_000), np.zeros(10_000, np.int64), r.random(10_000))
+        most = max(most, best.held)
+    assert most <= 300_000 and len(best.taken()[0]) == 50
