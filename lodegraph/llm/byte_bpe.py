@@ -26,7 +26,7 @@ from .common import add_columns
 
 #: Pieces and pairs of tokens that a Python worker remembers before it forgets those not met since it last did; longest piece that
 #: is remembered, so that these have a bounded size; characters of a text whose matches are listed at once.
-PIECES, PAIRS, REMEMBERED, LISTED = 200_000, 400_000, 64, 1 << 20
+PIECES, PAIRS, REMEMBERED, LISTED = 100_000, 200_000, 64, 1 << 20
 
 
 def read_ranks(spark: SparkSession, path: str) -> bytes:
@@ -113,6 +113,10 @@ class _Pieces(dict):
             self[piece] = ids
         return ids
 
+    def forget(self) -> None:
+        self.old = {}
+        self.clear()
+
 
 @lru_cache(1)
 def vocabulary_of(rank_file: bytes) -> Vocabulary:
@@ -120,6 +124,15 @@ def vocabulary_of(rank_file: bytes) -> Vocabulary:
     return Vocabulary(rank_file)
 
 
+_encoders: list[_Pieces] = []
+
+
+def forget() -> None:
+    """A task's pieces go with it: a worker lives on, and would hold them under the steps that come after. Tokens and their pairs stay."""
+    while _encoders:
+        _encoders.pop().forget()
+
+
 def pack(ids: list[int]) -> bytes:
     out = array("I", ids)
     assert out.itemsize == 4
@@ -195,7 +208,9 @@ class PrefixTable:
 
 def _encoder(rank_file: bytes, pattern: str):
     """A function from a text to its packed ids."""
-    ids_of, compiled = vocabulary_of(rank_file).pieces.__getitem__, regex.compile(pattern)
+    pieces, compiled = vocabulary_of(rank_file).pieces, regex.compile(pattern)
+    _encoders.append(pieces)
+    ids_of = pieces.__getitem__
 
     def one(text: str | None) -> bytes:
         if not text:
@@ -224,7 +239,7 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: s
         one = _encoder(held.value, pattern)
         return lambda texts: [[one(t) for t in texts]]
 
-    return add_columns(df, text, [T.StructField(ids, T.BinaryType())], step, keep_text)
+    return add_columns(df, text, [T.StructField(ids, T.BinaryType())], step, keep_text, forget)
 
 
 def round_trip(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded", keep_text: bool = True) -> DataFrame:
@@ -240,7 +255,7 @@ def round_trip(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", id
 
         return both
 
-    return add_columns(df, text, [T.StructField(ids, T.BinaryType()), T.StructField(out, T.BinaryType())], step, keep_text)
+    return add_columns(df, text, [T.StructField(ids, T.BinaryType()), T.StructField(out, T.BinaryType())], step, keep_text, forget)
 
 
 def decode(df: DataFrame, ranks: bytes, ids: str = "ids", out: str = "decoded") -> DataFrame:

@@ -133,12 +133,12 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
-def add_columns(df: DataFrame, text: str, fields: list[T.StructField], step: Callable[[], Callable], keep_text: bool = True) -> DataFrame:
+def add_columns(df: DataFrame, text: str, fields: list[T.StructField], step: Callable[[], Callable], keep_text: bool = True, done: Callable[[], None] | None = None) -> DataFrame:
     """``df`` with ``fields`` computed from the column ``text`` by Arrow batches.
 
     ``step()`` runs once a task and returns a function from a list of texts (None where null) to one
     list or Arrow array for each field. A column of ``df`` that bears the name of a new one is replaced.
-    Without ``keep_text`` the texts go to Python only, not back.
+    Without ``keep_text`` the texts go to Python only, not back. ``done`` runs when a task has ended.
     """
     small_batches(df.sparkSession)
     names = {f.name for f in fields} | (set() if keep_text else {text})
@@ -155,6 +155,8 @@ def add_columns(df: DataFrame, text: str, fields: list[T.StructField], step: Cal
                 made = make(part.column(at).to_pylist())
                 new = [x if isinstance(x, pa.Array) else pa.array(x, kind.type) for x, kind in zip(made, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), *new], names=[*kept, *(k.name for k in kinds)])
+        if done:
+            done()
         give_back()
 
     return df.mapInArrow(run, schema)

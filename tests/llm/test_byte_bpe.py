@@ -85,3 +85,25 @@ def test_long_pieces_are_not_remembered():
         piece = "x" * (60 + k)
         assert b.unpack(v.pieces[piece]).tolist() == v.merged(piece.encode())
     assert max(map(len, v.pieces)) == b.REMEMBERED
+
+
+def test_pieces_go_with_their_task(spark, docs, ranks):
+    """A worker that encoded holds no pieces when the next step runs in it, and of pieces and pairs no more than some tens of MB while it does."""
+    assert b.PIECES <= 100_000 and b.PAIRS <= 200_000
+
+    def step(batches):
+        for _ in batches:
+            pass
+        one = b._encoder(held.value, P.PATTERN)
+        one("of a task")
+        pieces = b.vocabulary_of(held.value).pieces
+        before = len(pieces)
+        b.forget()
+        yield pa.RecordBatch.from_pydict({"before": [before], "after": [len(pieces) + len(pieces.old)]})
+
+    import pyarrow as pa
+
+    held = spark.sparkContext.broadcast(ranks)
+    b.round_trip(docs, ranks, P.PATTERN).collect()  # ends its tasks by forgetting, so that only the next one's pieces are found
+    (row,) = spark.range(1, numPartitions=1).mapInArrow(step, "before long, after long").collect()
+    assert (row.before, row.after) == (3, 0)
