@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Sequence
 
 import numpy as np
@@ -10,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
 from .numbering import positions
 from .scans import BLOCK, automaton, running_max, speculated
 
@@ -35,26 +35,63 @@ def admitted(calls: DataFrame, at: str, order: Sequence[str], keys: int, limit:
 def keyed(scheduled: DataFrame, keys: int, limit: int, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """``scheduled`` (position, start, ...) with ``key``: the first key with room when the call starts.
 
-    Which key that is depends on all calls that count then, and on when they took theirs. Blocks run at once and again where the calls before turn out to
-    have left other keys.
+    Which key that is depends on all calls that count then, and on when they took theirs. Where all keys were full before calls that start at one time, and those
+    that have stopped counting since had started at one time, too, the calls take their places in order, so each has the key of the one ``keys * limit``
+    before. Such calls change nothing for later ones: a key is kept for each remainder of positions by that number. Only the others choose; blocks of them
+    run at once and again where the choices before turn out to have left other keys. Each call then has the last choice of its remainder, a running maximum.
     """
+    many = keys * limit
+    held = written(_counting(scheduled, many, window, block), "counting")
+    chosen = written(positions(held.where("_chooses").select("position", "_held"), [], ["position"], "_at"), "choices")
 
     def run(rows: pd.DataFrame, state) -> tuple[pd.DataFrame, list]:
-        held = deque((int(s["start"]), int(s["key"])) for s in (state if state is not None else []))
-        used, out = [0] * keys, []
-        for _, k in held:
-            used[k] += 1
-        for start in rows["start"]:
-            while held and held[0][0] <= start - window:
-                used[held.popleft()[1]] -= 1
-            key = next(k for k in range(keys) if used[k] < limit)
+        taken, out = [-1] * many if state is None else [int(k) for k in state], []
+        used, before, oldest = [], None, 0
+        for position, counting in zip(rows["position"].tolist(), rows["_held"].tolist()):
+            if before is None or before + 1 < position:
+                used = [0] * (keys + 1)  # the last is of keys that aren't known
+                oldest = position - counting
+                for back in range(1, counting + 1):
+                    used[taken[(position - back) % many]] += 1
+            while oldest < position - counting:
+                used[taken[oldest % many]] -= 1
+                oldest += 1
+            # a start that is only guessed may have no room; it is found wrong
+            key = next((k for k in range(keys) if used[k] < limit), 0)
+            taken[position % many] = key
             used[key] += 1
-            held.append((int(start), key))
+            before = position
             out.append(key)
-        left = [{"start": s, "key": k} for s, k in held]
-        return pd.DataFrame({"position": rows["position"], "key": np.array(out, np.int32)}), left
-
-    return speculated(scheduled, "position", run, "array<struct<start: bigint, key: int>>", "key int", block)
+        for back in range(counting + 1, many):  # these have stopped counting, and must not make states differ
+            taken[(position - back) % many] = -1
+        return pd.DataFrame({"_at": rows["_at"], "key": np.array(out, np.int32)}), taken
+
+    made = speculated(chosen, "_at", run, "array<int>", "key int", block).select(F.col("position").alias("_p"), "key")
+    cut = held.join(made, F.col("position") == F.col("_p"), "left").withColumn("_lane", F.col("position") % many).withColumn("_turn", F.floor(F.col("position") / many))
+    last = running_max(cut, ["_lane"], "_turn", F.when(F.col("key").isNotNull(), F.col("_turn") * keys + F.col("key")), "_last", block)
+    return last.select(*scheduled.columns, (F.col("_last") % keys).cast("int").alias("key"))
+
+
+def _counting(scheduled: DataFrame, many: int, window: int, block: int) -> DataFrame:
+    """``scheduled`` with ``_held``: how many calls before each count when it starts, and ``_chooses``: whether its key isn't that of ``many`` calls before.
+
+    Starts rise with positions, so these are the last ones; a block is told the starts before it that this takes, of which ``many`` at most are equal."""
+    here = F.floor(F.col("position") / block)
+    starts = scheduled.select("position", "start")
+    steps = F.sequence(here, F.floor((F.col("position") + 2 * many + 1) / block))
+    dealt = starts.select("position", "start", F.explode(steps).alias("_b"))
+
+    def counted(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("position")
+        at, start = rows["position"].to_numpy(), rows["start"].to_numpy()
+        first, gone = np.searchsorted(start, start, "left"), np.searchsorted(start, start - window, "right")
+        left = np.maximum(first - many, 0)  # whose place the first of those that start with a call takes
+        follows = (first >= many) & (start[left] > start[first - 1] - window) & (start[gone - 1] == start[left])
+        own = at // block == rows["_b"].to_numpy()
+        return pd.DataFrame({"_p": at[own], "_held": (np.arange(len(start)) - gone)[own], "_chooses": ~follows[own]})
+
+    told = dealt.groupBy("_b").applyInPandas(counted, "_p long, _held int, _chooses boolean")
+    return scheduled.join(told, F.col("position") == F.col("_p")).drop("_p")
 
 
 def rotated(attempts: DataFrame, order: Sequence[str], refused: Column, keys: int, first: int = 0, block: int = BLOCK) -> DataFrame:

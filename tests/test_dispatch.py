@@ -139,3 +139,17 @@ def test_backends(spark):
     names = ["ollama/gpt-oss", "gpt-oss", "meta/x", "deepseek-v3", "nvidia/x", "gpt-4o", "gemini-pro", "r1_distill", "", None]
     got = [r.b for r in spark.createDataFrame(list(enumerate(names)), "k int, m string").select("k", d.backend(F.col("m")).alias("b")).orderBy("k").collect()]
     assert got == ["ollama", "nvidia", "nvidia", "nvidia", "nvidia", "openai", "google", "local", "local", None]
+
+
+def test_rounds_do_not_grow_with_a_full_log(spark, monkeypatch):
+    """Calls that always wait: which key each takes goes back to the first ones, and is found without a round for each block."""
+    calls, seen = [(k // 2, k) for k in range(1500)], []
+    inner = d.speculated
+
+    def counted(rows, *rest):
+        seen.append(rows.count())
+        return inner(rows, *rest)
+
+    monkeypatch.setattr(d, "speculated", counted)
+    assert held(spark, calls, 3, 4, 100, 50) == simulated(calls, 3, 4, 100)
+    assert seen == [12]
