@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.runs import resume
 from ..sources.appends import AppendLog
@@ -51,10 +49,10 @@ DIGITS = 12
 class ReplacingMeans:
     """Means over questions of which later rows replace earlier ones, kept as rows come.
 
-    The state holds each question's row of greatest ``seq``. A row that replaces it emits the old values with a minus and its own with a
-    plus; a row that comes late emits nothing. Each batch's emissions are summed to one row and committed once under the batch's
-    number, so a batch that is run again after a failure doesn't count twice. Sums are decimal: nothing is left of a value that
-    was replaced. Null values count as 0. State grows with the questions, the log by a row a batch.
+    The state holds each question's row of greatest ``seq``; a row that comes late changes nothing. It is Spark's own aggregate, which folds
+    a batch's rows before they are shuffled and calls no Python. After each batch the state is summed to one row, committed once under the batch's
+    number, so a batch that is run again after a failure doesn't count twice; the last one holds. Sums are decimal, so they don't depend
+    on the order of rows. Null values count as 0. State grows with the questions, the log by a row a batch.
     """
 
     def __init__(self, spark: SparkSession, path: str, columns: list[str], key: str = "query_id", seq: str = "seq"):
@@ -63,40 +61,27 @@ class ReplacingMeans:
         fields = [T.StructField("total_queries", T.LongType())] + [T.StructField(c, kind) for c in columns]
         self.log = AppendLog(spark, f"{path}/deltas", T.StructType(fields))
 
-    def changes(self, rows: DataFrame) -> DataFrame:
-        """(sign, columns...): what each question's rows put in and take out."""
-        columns, key, seq = self.columns, self.key, self.seq
-        numbers = ", ".join(f"`{c}` double" for c in columns)
-
-        def changed(_, parts, state):
-            held = state.get if state.exists else None
-            first, last = held, held
-            for part in parts:
-                for row in part[[seq, *columns]].itertuples(index=False):
-                    if last is None or row[0] > last[0]:
-                        last = tuple(row)
-            if last is not first:
-                state.update(last)
-                out = [(1, *last[1:])] + ([(-1, *first[1:])] if first is not None else [])
-                yield pd.DataFrame(out, columns=["sign", *columns])
-
-        zeros = rows.select(key, F.col(seq).cast("long").alias(seq), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns))
-        state = f"`{seq}` long, {numbers}"
-        return zeros.groupBy(key).applyInPandasWithState(changed, f"sign int, {numbers}", state, "append", GroupStateTimeout.NoTimeout)
+    def last(self, rows: DataFrame) -> DataFrame:
+        """(key, columns...): each question's row of greatest ``seq``, a null one counting as least; of equal ones that of greater values."""
+        seq = F.coalesce(F.col(self.seq).cast("long"), F.lit(-(1 << 63)))
+        values = (F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in self.columns)
+        row = F.struct(seq.alias("seq"), F.struct(*values).alias("values"))
+        return rows.groupBy(self.key).agg(F.max(row).alias("_last")).select(self.key, "_last.values.*")
 
     def start(self, rows: DataFrame) -> StreamingQuery:
         """Takes in all that is there and ends; started again it goes on where it stopped."""
 
         def each(batch: DataFrame, number: int) -> None:
             kind = f"decimal(38,{DIGITS})"
-            sums = (F.sum((F.col("sign") * F.col(c).cast("decimal(25,12)")).cast(kind)).alias(c) for c in self.columns)
-            self.log.append(batch.agg(F.sum("sign").alias("total_queries"), *sums), str(number))
+            sums = (F.sum(F.col(c).cast("decimal(25,12)").cast(kind)).alias(c) for c in self.columns)
+            self.log.append(batch.agg(F.count("*").alias("total_queries"), *sums), str(number))
 
-        stream = self.changes(rows).writeStream.outputMode("append").foreachBatch(each)
+        stream = self.last(rows).writeStream.outputMode("complete").foreachBatch(each)
         return stream.option("checkpointLocation", f"{self.path}/checkpoint").trigger(availableNow=True).start()
 
     def means(self) -> DataFrame:
         """(total_queries, avg_...): one row, of all batches that are committed; averages null where no question is in."""
-        n = F.coalesce(F.sum("total_queries"), F.lit(0)).cast("long")
-        mean = lambda c: F.when(n > 0, F.sum(c).cast("double") / n).alias(f"avg_{c}")
+        latest = lambda c: F.max_by(c, "commit")
+        n = F.coalesce(latest("total_queries"), F.lit(0)).cast("long")
+        mean = lambda c: F.when(n > 0, latest(c).cast("double") / n).alias(f"avg_{c}")
         return self.log.read().agg(n.alias("total_queries"), *(mean(c) for c in self.columns))

@@ -119,3 +119,12 @@ def test_means_follow_replacements_after_every_batch(spark, tmp_path):
 def test_means_of_nothing(spark, tmp_path):
     got = streaming.ReplacingMeans(spark, f"file://{tmp_path}/m", ["a"]).means().first()
     assert (got.total_queries, got.avg_a) == (0, None)
+
+
+def test_replacing_means_call_no_python(spark, tmp_path):
+    """The state is Spark's own; rows that come late or without a number change nothing, whatever their order."""
+    means = streaming.ReplacingMeans(spark, f"file://{tmp_path}/m", ["a"])
+    rows = spark.createDataFrame([(1, 5, 1.0), (1, 4, 9.0), (1, None, 7.0), (2, 3, None), (2, 2, 4.0), (3, 1, 2.0), (3, 1, 3.0)], "query_id long, seq long, a double")
+    assert {(r.query_id, r.a) for r in means.last(rows).collect()} == {(1, 1.0), (2, 0.0), (3, 3.0)}
+    plan = means.last(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
