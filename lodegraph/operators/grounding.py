@@ -19,6 +19,8 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -337,18 +339,20 @@ class Gathering:
         return known
 
 
-def reachable(starts: DataFrame, relations: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
-    """(query_id, src, relation, dst): the edges that ``hops`` steps along the question's relations can reach from its candidates."""
+def reachable(starts: DataFrame, relations: DataFrame, edges: DataFrame, hops: int, known: DataFrame | None = None) -> DataFrame:
+    """(query_id, src, relation, dst): the edges that ``hops`` steps along the question's relations can reach from ``starts`` (query_id, node_id).
+
+    Sources in ``known`` (query_id, src) are left out; a source that has no edges along a relation stands there with a null dst.
+    """
     named = relations.select("query_id", "relation").distinct()
-    front, parts = starts.select("query_id", F.col("node_id").alias("src")).distinct(), []
-    for _ in range(hops):
-        step = front.join(named, "query_id").join(edges, ["src", "relation"]).select("query_id", "src", "relation", "dst")
-        parts.append(step)
-        front = step.select("query_id", F.col("dst").alias("src")).distinct()
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole.distinct()
+    front = starts.select("query_id", F.col("node_id").alias("src")).distinct()
+    step = lambda: front.join(named, "query_id").join(edges.select("src", "relation", "dst"), ["src", "relation"], "left").select("query_id", "src", "relation", "dst")
+    for _ in range(hops - 1):
+        # what has been reached stays in the front, so that each step stands in the plan once
+        front = step().select("query_id", F.explode(F.array_compact(F.array("src", "dst"))).alias("src")).distinct()
+    if known is not None:
+        front = front.join(known, ["query_id", "src"], "left_anti")
+    return step()
 
 
 def ground(
@@ -366,26 +370,29 @@ def ground(
     a symbol and ``policy.neighbors`` entries a list, whatever the edges of a node.
     """
     candidates = cut(candidates)
-    part = cut(reachable(candidates, relations, edges, hops))
-    known = candidates.select("query_id", "node_id").distinct().union(part.select("query_id", "src")).distinct()
+    kinds = nodes.select(F.col("node_id").alias("dst"), "node_type")
+    part = cut(reachable(candidates, relations, edges, hops).join(kinds, "dst", "left"))
+    made = similar if callable(similar) else (lambda pairs: similar.join(pairs, ["query_id", "node_id"], "left_semi"))
+    vectors = None if callable(similar) else similar.select("query_id", "symbol").distinct()
     ended, given, large = [], (symbols, relations, candidates), None
     while True:
-        over = cut(part.groupBy("query_id").agg(F.count("*").alias("_n")).where(F.col("_n") > PART).select("query_id"))
+        over = part.where("dst is not null").groupBy("query_id").agg(F.count("*").alias("_n")).where(F.col("_n") > PART).select("query_id")
         if not over.isEmpty():
+            over = cut(over)
             large = over if large is None else large.unionByName(over)
-            part, known = (df.join(over, "query_id", "left_anti") for df in (part, known))
+            part = part.join(over, "query_id", "left_anti")
             given = [df.join(over, "query_id", "left_anti") for df in given]
-        pairs = part.select("query_id", F.col("dst").alias("node_id")).distinct()
-        found = cut(_attempt(*given, part, known, nodes, similar(pairs) if callable(similar) else similar, policy))
+        pairs = part.where("dst is not null").select("query_id", F.col("dst").alias("node_id")).distinct()
+        found = cut(_attempt(*given, part, made(pairs), vectors, policy))
         ended.append(found.where("symbol is not null"))
         lacking = found.where("symbol is null").select("query_id", "node_id")
         if lacking.isEmpty():
             break
         again = lacking.select("query_id").distinct()
         given = [df.join(again, "query_id", "left_semi") for df in (symbols, relations, candidates)]
-        more = cut(reachable(lacking, relations, edges, hops))
-        part = cut(part.join(again, "query_id", "left_semi").unionByName(more.select(part.columns)).distinct())
-        known = cut(known.join(again, "query_id", "left_semi").union(lacking).union(more.select("query_id", "src")).distinct())
+        part = part.join(again, "query_id", "left_semi")
+        more = reachable(lacking, given[1], edges, hops, part.select("query_id", "src").distinct()).join(kinds, "dst", "left")
+        part = cut(part.unionByName(more))
     if large is not None:
         given = (cut(df.join(large, "query_id", "left_semi")) for df in (symbols, relations, candidates))
         ended.append(by_lists(*given, edges, nodes, similar, policy, hops))
@@ -421,9 +428,11 @@ def by_lists(
     return whole
 
 
-def _attempt(symbols: DataFrame, relations: DataFrame, candidates: DataFrame, part: DataFrame, known: DataFrame, nodes: DataFrame, similar: DataFrame, policy: Policy) -> DataFrame:
-    """What ``ground`` gives for the questions whose edges in ``part`` suffice; of others the nodes to gather next, without a symbol."""
-    typed = part.join(nodes.select(F.col("node_id").alias("dst"), "node_type"), "dst", "left")
+def _attempt(symbols: DataFrame, relations: DataFrame, candidates: DataFrame, part: DataFrame, similar: DataFrame, vectors: DataFrame | None, policy: Policy) -> DataFrame:
+    """What ``ground`` gives for the questions whose edges in ``part`` suffice; of others the nodes to gather next, without a symbol.
+
+    A symbol has a vector if it has a row in ``similar`` or in ``vectors`` (query_id, symbol).
+    """
     blank = {"a": "string", "b": "string", "c": "string", "n": "long", "m": "long", "x": "double", "k": "int"}
 
     def rows(df: DataFrame, kind: str, **columns: Column) -> DataFrame:
@@ -434,31 +443,45 @@ def _attempt(symbols: DataFrame, relations: DataFrame, candidates: DataFrame, pa
         rows(symbols, "symbol", a=col("symbol"), b=F.array_join("types", "\x1f"), k=col("ord"))
         .unionByName(rows(relations, "relation", a=col("src_sym"), b=col("dst_sym"), c=col("relation"), k=col("ord")))
         .unionByName(rows(candidates, "candidate", a=col("symbol"), n=col("node_id"), x=col("score"), k=col("ord")))
-        .unionByName(rows(typed, "edge", c=col("relation"), n=col("src"), m=col("dst"), b=col("node_type")))
-        .unionByName(rows(known, "known", n=col("node_id")))
+        .unionByName(rows(part, "edge", c=col("relation"), n=col("src"), m=col("dst"), b=col("node_type")))
         .unionByName(rows(similar, "similar", a=col("symbol"), n=col("node_id"), x=col("score")))
     )
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = {kind: list(g.itertuples(index=False)) for kind, g in pdf.groupby("kind")}
-        ordered = lambda kind: sorted(parts.get(kind, []), key=lambda r: (r.k, str(r.a), str(r.b), str(r.c), 0 if pd.isna(r.n) else r.n))
-        names = ordered("symbol")
+    if vectors is not None:
+        fed = fed.unionByName(rows(vectors, "similar", a=col("symbol")))
+
+    def one(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        of = lambda name: table.filter(pc.equal(table.column("kind"), name))
+        ordered = lambda name: sorted(zip(*(c.to_pylist() for c in of(name).select(list(blank)).columns)), key=lambda r: (r[6] or 0, str(r[0]), str(r[1]), str(r[2]), r[3] or 0))
+        names, steps, likely = ordered("symbol"), of("edge"), of("similar")
+        known = set(_plain(steps, "n"))
+        steps, scored = steps.filter(pc.is_valid(steps.column("m"))), likely.filter(pc.is_valid(likely.column("x")))
         edges_of: dict = defaultdict(set)
-        kinds = {}
-        for r in parts.get("edge", []):
-            edges_of[int(r.n), r.c].add(int(r.m))
-            kinds[int(r.m)] = r.b
-        likeness = {(r.a, int(r.n)): float(r.x) for r in parts.get("similar", [])}
-        likeness |= {(a, None): 0.0 for a, _ in list(likeness)}
-        run = Run([r.a for r in names], {r.a: set(filter(None, (r.b or "").split("\x1f"))) for r in names}, [(r.a, r.b, r.c) for r in ordered("relation")], edges_of, kinds, likeness, policy, {int(r.n) for r in parts.get("known", [])})
-        for r in ordered("candidate"):
-            run.start(r.a, int(r.n), float(r.x))
-        query = int(pdf["query_id"].iloc[0])
+        for n, c, m in zip(_plain(steps, "n"), _plain(steps, "c"), _plain(steps, "m")):
+            edges_of[n, c].add(m)
+        kinds = dict(zip(_plain(steps, "m"), _plain(steps, "b")))
+        likeness = {(a, None): 0.0 for a in likely.column("a").unique().to_pylist()}
+        likeness |= zip(zip(_plain(scored, "a"), _plain(scored, "n")), _plain(scored, "x"))
+        run = Run([r[0] for r in names], {r[0]: set(filter(None, (r[1] or "").split("\x1f"))) for r in names}, [r[:3] for r in ordered("relation")], edges_of, kinds, likeness, policy, known)
+        for a, _, _, n, _, x, _ in ordered("candidate"):
+            run.start(a, n, math.nan if x is None else x)
+        query = table.column("query_id")[0].as_py()
         held = run.all()
         out = list(_found(query, held)) if held is not None else [(query, None, n, None, None, None) for n in sorted(run.beyond())]
-        return pd.DataFrame(out, columns=["query_id", "symbol", "node_id", "score", "support", "seq"])
+        schema = pa.schema([("query_id", pa.int64()), ("symbol", pa.string()), ("node_id", pa.int64()), ("score", pa.float64()), ("support", pa.int32()), ("seq", pa.int32())])
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, schema.types)], schema=schema)
 
-    return fed.groupBy("query_id").applyInPandas(one, "query_id long, symbol string, node_id long, score double, support int, seq int")
+    return fed.groupBy("query_id").applyInArrow(one, "query_id long, symbol string, node_id long, score double, support int, seq int")
+
+
+def _plain(table: pa.Table, name: str) -> list:
+    """A column's values; of strings, which repeat, each is made once. Numbers aren't null."""
+    column = table.column(name).combine_chunks()
+    if not (pa.types.is_string(column.type) or pa.types.is_large_string(column.type)):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    coded = column.dictionary_encode()
+    values = [*coded.dictionary.to_pylist(), None]
+    return [values[i] for i in coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).tolist()]
 
 
 def _folded(symbols: DataFrame, relations: DataFrame, candidates: DataFrame, lists: DataFrame, policy: Policy) -> DataFrame:

@@ -247,8 +247,10 @@ def _ground(spark, d, policy):
     symbols = symbols.withColumn("types", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(F.lit("t"), i)))
     cands = state(spark, d).select("query_id", "symbol", "node_id", "score", F.col("seq").alias("ord"))
 
+    scores = v.masking(q, n)
+
     def similar(pairs):
-        return v.pair_scores(pairs, q, n).where("score is not null").select("query_id", F.explode(F.array(F.lit("B"), F.lit("ANSWER"), F.lit("A"))).alias("symbol"), "node_id", "score")
+        return scores(pairs).select("query_id", F.explode(F.array(F.lit("B"), F.lit("ANSWER"), F.lit("A"))).alias("symbol"), "node_id", "score")
 
     return g.ground(symbols, relations(spark, d), cands, g.cut(graph.vector_edges(spark, d)), n, similar, policy).withColumn("score", F.round("score", 6))
 
